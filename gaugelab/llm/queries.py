@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, quality, simhash
+from . import fingerprints, html_text, idfiles, lines, mixing, packing, quality, secrets, simhash, urls
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == list(secrets.KINDS).index(kind))).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_live", "n_example")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -30,9 +40,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", *own, (F.col("failed").bitwiseAND(F.lit(quality.BASE_MASK)) != 0).alias("base_failed"), "kept", F.col("failed").alias("failed_bits"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.seed_model(spark)).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_best_fit_packing, op5_simhash, op6_quality_rules, op8_source_mixing)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = idfiles.round_trip(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_line_dedup, op3_fingerprints, op4_best_fit_packing, op5_simhash, op6_quality_rules, op7_url_filter, op8_source_mixing, op9_token_files, op10_html_text)
+}
 SQL: dict[str, str] = {}
