@@ -26,8 +26,12 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, null counting as empty."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), lambda w: w != "")
+    """The words of a text, null counting as empty. Blanks at either end go first, so that no empty strings have to be filtered."""
+
+    def cut(t: Column) -> Column:
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANKS, -1))
+
+    return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), cut)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import wide_hash
+from .common import WORD, wide_hash
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -21,7 +21,7 @@ def _lines(text: str) -> Column:
 
 
 def _blank(line: Column) -> Column:
-    return F.rtrim(F.translate(line, "\t\x0b\x0c\r", "")) == ""
+    return ~line.rlike(WORD)
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -7,10 +7,12 @@ without reading a text again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, words_of
+from .common import WORD, let, words_of
 
 #: Words that mark abuse; fixed values.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -20,8 +22,8 @@ RULES = {
     "too_few_words": lambda m: m["n_words"] < 50,
     "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
     "symbol_heavy": lambda m: 5 * m["n_symbols"] > m["n_words"],
-    "few_letter_words": lambda m: 10 * m["n_letter_words"] < 6 * m["n_words"],
-    "shouting": lambda m: 10 * m["n_upper"] > 4 * m["n_letters"],
+    "few_letters": lambda m: 10 * m["n_marks"] > 4 * m["word_chars"],
+    "shouting": lambda m: 10 * m["n_upper"] > 4 * (m["word_chars"] - m["n_marks"]),
     "bang_heavy": lambda m: 2 * m["n_bangs"] > m["n_words"],
     "odd_word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
@@ -38,19 +40,19 @@ def mask(*names: str) -> int:
 #: Versions are never edited, only added.
 POLICIES = {
     "base-1": BASE_MASK,
-    "web-1": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letter_words", "shouting", "bang_heavy", "odd_word_length", "repeated_lines"),
+    "web-1": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letters", "shouting", "bang_heavy", "odd_word_length", "repeated_lines"),
     "web-2": mask(*RULES),
 }
 CURRENT = "web-2"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_letters", "n_upper", "n_bangs", "n_abuse")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_bangs", "n_abuse")
 
 
 def _repeat_words(words: Column) -> Column:
     """Words inside a 3-word window that is found twice or more. Texts without such a window, which are most, skip the sort."""
 
     def count(ws: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
-        return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(hashes, repeated))
+        hashes = F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+        return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(F.slice(hashes, F.lit(1), F.size(ws) - 2), repeated))
 
     def repeated(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered))
@@ -66,28 +68,27 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``_m`` of the measurements. A null text counts as empty.
 
-    Words are runs of anything but the six ASCII blanks; lines are parted by ``\\n`` and count if they hold a word; letters are
-    code points with different cases.
+    Words are runs of anything but the six ASCII blanks; lines are parted by ``\\n`` and count if they hold a word; marks are the visible
+    ASCII characters that aren't letters, upper-case letters those from A to Z.
     """
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of(p: Column) -> Column:
         x, ws = p["t"], p["w"]
         size = F.char_length(x)
-        gone = lambda chars: size - F.char_length(F.translate(x, chars, ""))
-        lines = F.filter(F.split(x, "\n", -1), lambda s: F.rtrim(F.translate(s, "\t\x0b\x0c\r", "")) != "")
-        upper, lower = (F.char_length(F.regexp_replace(x, pattern, "")) for pattern in (r"[^\p{Lu}]+", r"[^\p{Ll}]+"))
+        count = lambda kept, alias: (size - F.char_length(kept)).cast("long").alias(alias)
+        lines = F.filter(F.split(x, "\n", -1), lambda s: s.rlike(WORD))
+        abuse = F.when(let(F.lower(x), lambda v: reduce(lambda a, b: a | b, [v.contains(w) for w in ABUSE])), F.regexp_count(x, F.lit(rf"(?i)\b(?:{'|'.join(ABUSE)})\b"))).otherwise(0)
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.char_length(F.regexp_replace(x, BLANKS, "")).cast("long").alias("word_chars"),
-            gone("#*$%&|<>").cast("long").alias("n_symbols"),
+            F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            count(F.regexp_replace(x, r"[#*$%&|<>]+", ""), "n_symbols"),
             let(lines, lambda s: F.struct(F.size(s).cast("long").alias("all"), (F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("dup"))).alias("lines"),
             _repeat_words(ws).alias("n_repeat_words"),
-            F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
-            lower.cast("long").alias("n_lower"),
-            upper.cast("long").alias("n_upper"),
-            gone("!").cast("long").alias("n_bangs"),
-            F.regexp_count(x, F.lit(rf"(?i)\b(?:{'|'.join(ABUSE)})\b")).cast("long").alias("n_abuse"),
+            count(F.regexp_replace(x, r"[!-@\[-`{-~]+", ""), "n_marks"),
+            count(F.regexp_replace(x, r"[A-Z]+", ""), "n_upper"),
+            count(F.replace(x, F.lit("!"), F.lit("")), "n_bangs"),
+            abuse.cast("long").alias("n_abuse"),
         )
 
     return docs.withColumn("_m", let(F.struct(t.alias("t"), words_of(F.col(text)).alias("w")), of))
@@ -96,7 +97,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements as columns of ``measures`` and the failure bits ``failed`` (long)."""
     m = F.col("_m")
-    parts = {"n_dup_lines": m["lines"]["dup"], "n_lines": m["lines"]["all"], "n_letters": m["n_lower"] + m["n_upper"]}
+    parts = {"n_dup_lines": m["lines"]["dup"], "n_lines": m["lines"]["all"]}
     out = measure(docs, text).withColumn("measures", F.struct(*[(parts[k] if k in parts else m[k]).alias(k) for k in MEASURES])).drop("_m")
     bits = [F.when(rule(F.col("measures")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     failed = bits[0]
