@@ -198,15 +198,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``docs``: ``(doc_id, ta, tb, fp, root, component_id)``; root is a fingerprint that names the component."""
-    known = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fp")
+def _classes_of(known: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` for each distinct fingerprint; root is a fingerprint that names the component."""
     least = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
     comp = components(links(least.select("fp")))
     comp = materialize(comp.unionAll(comp.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
     tops = comp.join(least, "fp").groupBy("root").agg(F.min("least").alias("top"))
-    of = least.join(comp.join(tops, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
-    return known.join(of, "fp").select("doc_id", "ta", "tb", "fp", "root", "component_id")
+    return least.join(comp.join(tops, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -215,14 +213,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is the smallest doc_id that links reach; null only if all those doc_ids are null. Equal fingerprints always link, those of
     empty texts too. Repeated rows are returned as often as they come.
     """
-    return classes(docs, doc_id, text, shingle).select("doc_id", "fp", "component_id")
+    known = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fp")
+    return known.join(_classes_of(known), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest doc_id (nulls last), then by its text's hash; of exact repeats, one."""
-    rows = classes(docs, doc_id, text, shingle).groupBy("root", "doc_id", "ta", "tb").agg(F.count("*").alias("n"))
+    known = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "ta", "tb", "n")).alias("k")
-    keep = rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("_d"), F.col("k.ta").alias("_ta"), F.col("k.tb").alias("_tb"), F.col("k.n").alias("_n"))
+    # one row for each fingerprint before components are looked up: a group of copies is reduced where it is read
+    per = known.groupBy("fp", "doc_id", "ta", "tb").agg(F.count("*").alias("n")).groupBy("fp").agg(first)
+    least = per.join(_classes_of(known).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k"))
+    keep = least.select(F.col("k.doc_id").alias("_d"), F.col("k.ta").alias("_ta"), F.col("k.tb").alias("_tb"), F.col("k.n").alias("_n"))
     keep = materialize(keep, "simhash-keep")
     ta, tb = wide_hash(F.col(text))
     out = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (ta == F.col("_ta")) & (tb == F.col("_tb")))
