@@ -63,4 +63,65 @@ QUERIES = {
     f.__name__: f
     for f in (op1_secret_scan, op2_line_dedup, op3_fingerprints, op4_best_fit_packing, op5_simhash, op6_quality_rules, op7_url_filter, op8_source_mixing, op9_token_files, op10_html_text)
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_HAS_WORD = r"regexp_matches({}, '[^\x20\x09-\x0D]')"
+
+_OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT DISTINCT r, source, line FROM (SELECT r, source, unnest(ls) AS line FROM d) WHERE {_HAS_WORD.format("line")}),
+totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+bad AS (SELECT c.source, list(line) AS drops FROM (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line) c
+  JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= {lines.MIN_PAGES} AND n > {lines.RATIO}::DOUBLE * pages GROUP BY c.source),
+k AS (SELECT doc_id, d.source, text, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(drops, x), false)) AS kept FROM d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text FROM k
+"""
+
+_CONDITIONS = {
+    "too_few_words": "n_words < 50",
+    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
+    "symbol_heavy": "5 * n_symbols > n_words",
+    "few_letters": "10 * n_marks > 4 * word_chars",
+    "shouting": "10 * n_upper > 4 * (word_chars - n_marks)",
+    "bang_heavy": "2 * n_bangs > n_words",
+    "odd_word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
+    "abusive": "n_abuse >= 3 AND 1000 * n_abuse >= 5 * n_words",
+}
+_OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
+reps AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: {_HAS_WORD.format("x")}) AS ls,
+  coalesce(n, 0) AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '[!-@\[-`{{-~]', '', 'g')) AS n_marks,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+  length(t) - length(replace(t, '!', '')) AS n_bangs,
+  len(regexp_extract_all(t, '(?i)\b(?:{"|".join(quality.ABUSE)})\b')) AS n_abuse
+  FROM d LEFT JOIN reps ON d.r = reps.r),
+x AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM m),
+f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {c} THEN {quality.BIT[n]} ELSE 0 END" for n, c in _CONDITIONS.items())} AS BIGINT) AS failed_bits FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {quality.BASE_MASK} <> 0 AS base_failed, failed_bits & {quality.POLICIES[quality.CURRENT]} = 0 AS kept, failed_bits FROM f
+"""
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(i - 1) % 3 + 1]::DOUBLE AS weight, {mixing.SHARE}::DOUBLE * sum(source_size) OVER () AS total FROM s),
+-- sources by the level at which they are full; with the first j of them full, the rest share what is left
+o AS (SELECT *, 2.0::DOUBLE * source_size / weight AS full_at, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, i) AS j FROM w),
+p AS (SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+  sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM o),
+level AS (SELECT min(j) AS j FROM p WHERE (total - given) / open <= full_at),
+t AS (SELECT source, source_size, CASE WHEN p.j < level.j THEN 2.0::DOUBLE * source_size ELSE (SELECT total - given FROM p, level WHERE p.j = level.j) * weight / (SELECT open FROM p, level WHERE p.j = level.j) END AS target FROM p, level),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
+g AS (SELECT source, k, sum(size) AS n FROM d GROUP BY source, k),
+c AS (SELECT source, k, n, sum(n) OVER (PARTITION BY source ORDER BY k) - n AS before FROM g)
+SELECT d.doc_id, d.size, q.source_size, q.target, CAST(d.size * (q.passes + CASE WHEN 2 * c.before + c.n <= 2 * (q.target - q.passes * q.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.k = d.k
+"""
+
+#: The other operators hash, tokenize, search or learn in ways SQL can't follow; tests hold them against plain versions.
+SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op8_source_mixing": _OP8}

@@ -188,3 +188,50 @@ def test_tokens_equal_the_library(docs):
     texts = [r[1] for r in docs] + odd
     got = [x.tolist() for x in tokens.encoded(pa.array(texts, pa.string()), tokens.default_tokenizer())]
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_sql_on_odd_rows(spark, odd, tmp_path):
+    """The SQL of the queries, over nulls, empty texts, ties and repeats."""
+    import duckdb
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert queries.SQL.keys() <= queries.QUERIES.keys()
+    for name, sql in queries.SQL.items():
+        cur = con.execute(sql)
+        names = [d[0] for d in cur.description]
+        want = Counter(cur.fetchall())
+        got = queries.QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+        assert Counter(map(tuple, got)) == want, name
+
+
+def test_extra_columns_with_clashing_names(spark, odd):
+    names = ["fp", "size", "shard", "n_words", "host", "_keep", "ls", "l", "i", "k", "row", "all", "uid", "length"]
+    wide = odd.select("*", *[quality.F.lit(1).alias(n) for n in names])
+    for f in (simhash.keep_one, lambda d: lines.drop_boilerplate(d), lambda d: mixing.mix(d), lambda d: quality.apply_policy(quality.ledger(d))):
+        out = f(wide)
+        assert set(names) <= set(out.columns)
+        assert out.count() >= 0
+    assert packing.pack_documents(wide, with_ids=False).count() == packing.pack_documents(odd, with_ids=False).count()
+
+
+def test_pipeline_against_a_plain_version(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    led = {r.doc_id: r.kept for r in queries.op6_quality_rules(spark, sf_dir).collect()}
+    rows = [r for r in docs if led[r[0]]]
+    rows = [(r[0], t, r[2], r[3]) for r, t in zip(rows, plain.line_dedup([(r[0], r[1], r[3]) for r in rows], lines.RATIO, lines.MIN_PAGES))]
+    comp = plain.components([r[0] for r in rows], [plain.simhash(r[1]) for r in rows])
+    rows = [r for r, c in zip(rows, comp) if r[0] == c]
+    stage = spark.createDataFrame([(*r, len(r[1])) for r in rows], plain.SCHEMA)
+    times = {r.doc_id: r.times for r in mixing.taken(stage).collect()}
+    mixed = [r for r in rows for _ in range(times[r[0]])]
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    n, floor = check_packing(mixed, got)
+    assert n <= floor + 3
+    now = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        now = f(spark, now, sf_dir)
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
