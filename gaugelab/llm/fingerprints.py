@@ -1,6 +1,6 @@
 """Improbable-feature digests of documents.
 
-Every window of 64 bytes has an entropy. Windows are ranked by the rarity of that entropy, those next to each other compete, and the ones
+Every window of 64 bytes (in short texts of 16 too) has an entropy. Windows are ranked by the rarity of that entropy, those next to each other compete, and the ones
 that win often enough are the document's features: places that two versions of a text choose alike, wherever they moved. Features are put,
 in the order of the text, into a chain of Bloom filters of 2,048 bits, a new one begun after 160 features. Two digests are alike by the
 overlap of their filters' bits, less what chance gives, over the most that is possible.
@@ -17,78 +17,89 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-WINDOW = 64
-#: A window is a feature if it is the rarest of so many of the runs of 64 neighbouring windows that hold it.
-POPULAR = 16
+WINDOW, SMALL = 64, 16
+#: Texts of fewer bytes get features of SMALL windows too, as they hold few others.
+SHORT = 512
+#: Usual entropy of running text in a window of so many bytes.
+USUAL = {WINDOW: 4.1, SMALL: 3.3}
+#: A window is a feature if it is the rarest in this share of the runs of neighbouring windows that hold it (a run has as many windows as a window has bytes).
+POPULAR = 0.25
 BITS, PER_FILTER, HASHES = 2048, 160, 5
 
 _STEPS = (np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * (1 << 16)).round().astype(np.int64)
 
 
-def _rarity_table() -> np.ndarray:
-    """Rank of each entropy in 1/256 bit, from 1: the further from the usual entropy of running text in any direction, the rarer.
+def _rarity_table(usual: float) -> np.ndarray:
+    """Rank of each entropy in 1/256 bit, from 1: the further from the usual one in any direction, the rarer.
 
-    Usual: 4.1 bits, with a spread of 0.25. Windows of under one bit are filler (runs of one byte) and get 0, never chosen.
+    The spread is 0.25 bits. Windows of under one bit are filler (runs of one byte) and get 0, never chosen.
     """
     h = np.arange(6 * 256 + 1) / 256
-    far = np.abs(h - 4.1) / 0.25
+    far = np.abs(h - usual) / 0.25
     return np.where(h < 1.0, 0, 1 + np.minimum(4000, far * 400)).astype(np.int64)
 
 
-_RARITY = _rarity_table()
+_RARITY = {w: _rarity_table(u) for w, u in USUAL.items()}
 _MIX = np.random.default_rng(64).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
 
-def _entropy(x: np.ndarray) -> np.ndarray:
-    """Of the 64-byte window at each place of ``x``, in 1/256 bit; integers, so that equal bytes give equal values anywhere."""
-    n = len(x) - WINDOW + 1
+def _entropy(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of the window at each place of ``x``, in 1/256 bit; integers, so that equal bytes give equal values anywhere."""
+    n = len(x) - window + 1
     ahead = np.zeros(len(x), np.uint8)  # equal bytes among the 63 that follow
     behind = np.zeros(len(x), np.uint8)
-    for k in range(1, WINDOW):
+    for k in range(1, window):
         same = (x[:-k] == x[k:]).view(np.uint8)
         ahead[:-k] += same
         behind[k:] += same
     gain = np.diff(_STEPS)
-    first = np.bincount(x[:WINDOW], minlength=256)
+    first = np.bincount(x[:window], minlength=256)
     # moving on by one place takes a byte with ``ahead`` equals away and adds one with ``behind`` equals
-    moves = gain[behind[WINDOW:]] - gain[ahead[: n - 1]]
+    moves = gain[behind[window:]] - gain[ahead[: n - 1]]
     total = _STEPS[first].sum() + np.concatenate([[0], np.cumsum(moves)])
-    return np.clip(6 * 256 - total // (WINDOW << 8), 0, 6 * 256)
+    return np.clip((window.bit_length() - 1) * 256 - total // (window << 8), 0, 6 * 256)
 
 
-def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 64-bit hash) of the features of all texts, in order."""
+def _chosen(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit sum) of the features of texts of at least ``window`` bytes, in order."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    pad = b"\0" * (2 * WINDOW)
+    pad = b"\0" * (2 * window)
     x = np.frombuffer(pad + b"".join(texts) + pad, np.uint8)
-    starts = 2 * WINDOW + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-    rank = _RARITY[_entropy(x)]
+    starts = 2 * window + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+    rank = _RARITY[window][_entropy(x, window)]
     n = len(rank)
     valid = np.zeros(n + 1, np.int32)
-    whole = sizes >= WINDOW
+    whole = sizes >= window
     np.add.at(valid, starts[whole], 1)
-    np.add.at(valid, (starts + sizes - WINDOW + 1)[whole], -1)
+    np.add.at(valid, (starts + sizes - window + 1)[whole], -1)
     inside = np.cumsum(valid[:-1]) > 0
-    # the largest (rank, then leftmost) of each run of 64 windows; windows of one text are 64 places or more from those of the next
+    # the largest (rank, then leftmost) of each run; windows of one text are a run's length or more from those of the next
     best = np.where(inside & (rank > 0), (rank << 40) + (n - np.arange(n)), 0)
     span = 1
-    while span < WINDOW:
+    while span < window:
         best = np.maximum(best[: len(best) - span], best[span:])
         span *= 2
     won = best[best > 0]
     at = n - (won & ((1 << 40) - 1))
-    chosen = np.flatnonzero(np.bincount(at, minlength=n) >= POPULAR)
-    doc = np.searchsorted(starts, chosen, "right") - 1 if len(starts) else chosen
-    h = np.zeros(len(chosen), np.uint64)
-    for k in range(WINDOW):
-        h += (x[chosen + k].astype(np.uint64) + np.uint64(1)) * _MIX[k]
-    short = np.flatnonzero(~whole & (sizes > 0))  # a text under 64 bytes is one feature
+    places = np.flatnonzero(np.bincount(at, minlength=n) >= POPULAR * window)
+    h = np.full(len(places), window, np.uint64)
+    for k in range(window):
+        h += (x[places + k].astype(np.uint64) + np.uint64(1)) * _MIX[k]
+    return (np.searchsorted(starts, places, "right") - 1 if len(starts) else places), h
+
+
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit hash) of the features of all texts: those of WINDOW bytes in order, then for short texts those of SMALL ones, and the whole of a tiny one."""
+    doc, h = _chosen(texts, WINDOW)
+    short = np.array([i for i, t in enumerate(texts) if 0 < len(t) < SHORT], np.int64)
     if len(short):
+        sub, more = _chosen([texts[i] for i in short], SMALL)
+        tiny = [i for i in short.tolist() if len(texts[i]) < SMALL]
         own = []
-        for i in short:
+        for i in tiny:
             b = np.frombuffer(texts[i], np.uint8).astype(np.uint64) + np.uint64(1)
             own.append((b * _MIX[: len(b)]).sum(dtype=np.uint64) ^ np.uint64(len(b)))
-        doc, h = np.concatenate([doc, short]), np.concatenate([h, np.array(own, np.uint64)])
+        doc, h = np.concatenate([doc, short[sub], np.array(tiny, np.int64)]), np.concatenate([h, more, np.array(own, np.uint64)])
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
     h ^= h >> np.uint64(31)
