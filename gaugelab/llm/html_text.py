@@ -268,9 +268,13 @@ def training_page(seed: int) -> str:
 
     def body():
         out = [f"<{(g := pick(('h1', 'h1', 'h2')))}{y}>{_words(r, r.randint(2, 9))}</{g}>"] if r.random() < 0.9 else []
+        if out and r.random() < 0.2:
+            out = [f"<header{cls(('entry-header', 'post-header'), 0.4)}{y}>{out[0]}</header>"]
         for _ in range(pick((1, 1, 2, 3, 5, 8, 14))):
             k = r.random()
-            if k < 0.75:
+            if k < 0.04:
+                out.append(f'<p{y}><a href="/x"{y}>{_words(r, r.randint(1, 6))}</a></p>')
+            elif k < 0.75:
                 out.append(paragraph())
             elif k < 0.82:
                 out.append(f"<h2{y}>{_words(r, 4)}</h2>")
@@ -350,7 +354,7 @@ def training_sample(pages: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def default_model(pages: int = 400, rounds: int = 40) -> trees.Trees:
+def default_model(pages: int = 600, rounds: int = 50) -> trees.Trees:
     """Fitted on ``pages`` generated pages (a bounded sample); the same in every process."""
     x, y = training_sample(pages)
     return trees.fit(x, y, rounds=rounds, depth=4, rate=0.3)
