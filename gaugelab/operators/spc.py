@@ -29,15 +29,20 @@ def rolling_range(value: str, k: int, by: list[str], order: list[str]) -> Column
 
 
 def moving_range_sliced(df: DataFrame, value: str, by: list[str], index: str, width: int) -> DataFrame:
-    """``df`` with ``moving_range`` for series too long for one window: slices of ``width`` consecutive indexes, each with a copy of the row before it.
+    """``df`` with ``moving_range`` for series too long for one window, by any numeric ``index``, gaps allowed.
 
-    For an ``index`` of whole numbers without gaps in a series; a slice goes to a task of its own, whatever the number of series.
+    A slice holds the rows with index in [k * width, (k + 1) * width). Only the last value of each slice is carried to the next one of
+    its series; that table has one row for each slice.
     """
-    at = F.floor(F.col(index) / F.lit(width))
-    own = df.withColumn("_slice", at).withColumn("_copy", F.lit(False))
-    last = df.where(F.pmod(F.col(index), F.lit(width)) == width - 1).withColumn("_slice", at + 1).withColumn("_copy", F.lit(True))
-    both = own.unionByName(last)
-    return both.withColumn("moving_range", moving_range(value, [*by, "_slice"], [index])).where("not _copy").drop("_slice", "_copy")
+    x = known(F.col(value).cast("double"))
+    own = df.withColumn("_slice", F.floor(F.col(index) / F.lit(width)))
+    ends = own.groupBy(*by, "_slice").agg(F.max_by(F.struct(x.alias("x")), index).alias("_end"))
+    names = [*by, "_slice"]
+    before = ends.select(*[F.col(n).alias(f"_on_{n}") for n in names], F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")).alias("_prev"))
+    both = own.join(before, [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in names])
+    w = Window.partitionBy(*names).orderBy(index)
+    last = F.when(F.row_number().over(w) == 1, F.col("_prev.x")).otherwise(F.lag(x).over(w))
+    return both.select(*df.columns, F.abs(x - last).alias("moving_range"))
 
 
 def _with_limits(df: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:

@@ -89,6 +89,9 @@ def test_sliced_moving_range(spark, n, width):
     df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(rng.normal(size=n))], "k string, i long, x double")
     one = col(df.withColumn("r", spc.moving_range("x", ["k"], ["i"])), "r")
     assert col(spc.moving_range_sliced(df, "x", ["k"], "i", width), "moving_range") == one
+    gaps = df.where("i % 5 < 2").unionByName(spark.createDataFrame([("s", 1000, None), (None, 3, 1.0), (None, 40, 4.0)], "k string, i long, x double"))
+    want = col(gaps.withColumn("r", spc.moving_range("x", ["k"], ["i"])), "r")
+    assert col(spc.moving_range_sliced(gaps, "x", ["k"], "i", width), "moving_range") == want
 
 
 def test_limits_come_as_a_broadcast(log):
