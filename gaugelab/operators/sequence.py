@@ -43,7 +43,7 @@ def debounce(df: DataFrame, value: str, by: list[str], index: str) -> DataFrame:
 
 
 def debounce_long(df: DataFrame, value: str, by: list[str], index: str) -> DataFrame:
-    """The same for series of any length: sorted partitions are streamed through, with one state for each series and none of its rows kept."""
+    """The same for many series of any length, each in one task: sorted partitions are streamed through, with one state for each series and none of its rows kept."""
     import pandas as pd
 
     cols = [*by, index, value]
@@ -67,3 +67,68 @@ def debounce_long(df: DataFrame, value: str, by: list[str], index: str) -> DataF
     src = df.select(*by, index, F.col(value).cast("int").alias(value))
     src = src.repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by, index) if by else src.coalesce(1).sortWithinPartitions(index)
     return src.select(cols).mapInPandas(run, src.select(cols).schema)
+
+
+def _moves() -> list[list[int]]:
+    """State after a sample, for either sample and each state: 0 before any, then 1 + 5 * state held + samples left to hold."""
+    out = []
+    for x in (0, 1):
+        row = [1 + 5 * x]
+        for state in range(1, 11):
+            last, left = divmod(state - 1, 5)
+            row.append(state - 1 if left else state if x == last else 1 + 5 * x + HOLD)
+        out.append(row)
+    return out
+
+
+def debounce_sliced(df: DataFrame, value: str, by: list[str], index: str, width: int) -> DataFrame:
+    """The same where single series are too long for a task. Samples are 0 or 1.
+
+    What a slice of the index does to a series is a map of eleven states. Slices find theirs side by side; the maps are applied one after the
+    other (a row for each slice), and each slice then runs again from the state it begins with.
+    """
+    import pandas as pd
+
+    moves, names = _moves(), [*by, "_slice"]
+    src = df.select(*by, index, F.col(value).cast("int").alias(value), F.floor(F.col(index) / F.lit(width)).cast("long").alias("_slice"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(names).schema.fields)
+    dealt = lambda d: d.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names, index)
+
+    def maps(frames):
+        key, m = None, []
+        for f in frames:
+            rows = []
+            for k, x in zip(zip(*[f[n] for n in names]), f[value].tolist()):
+                if k != key:
+                    if key is not None:
+                        rows.append((*key, m))
+                    key, m = k, list(range(11))
+                step = moves[x]
+                m = [step[s] for s in m]
+            yield pd.DataFrame(rows, columns=[*names, "m"])
+        if key is not None:
+            yield pd.DataFrame([(*key, m)], columns=[*names, "m"])
+
+    def starts(f):
+        f = f.sort_values("_slice")
+        state, out = 0, []
+        for m in f["m"]:
+            out.append(state)
+            state = int(m[state])
+        return f[names].assign(begin=out)
+
+    def run(frames):
+        key, state = None, 0
+        for f in frames:
+            out = []
+            for k, x, begin in zip(zip(*[f[n] for n in names]), f[value].tolist(), f["begin"].tolist()):
+                if k != key:
+                    key, state = k, begin
+                state = moves[x][state]
+                out.append((state - 1) // 5)
+            yield f[[*by, index]].assign(**{value: pd.array(out, dtype="int32")})
+
+    found = dealt(src).mapInPandas(maps, f"{keys}, m array<int>").groupBy(*by).applyInPandas(starts, f"{keys}, begin int")
+    on = [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in names]
+    both = src.join(found.select(*[F.col(n).alias(f"_on_{n}") for n in names], "begin"), on).select(*names, index, value, "begin")
+    return dealt(both).mapInPandas(run, src.select(*by, index, value).schema)

@@ -263,6 +263,11 @@ def debounce_long(spark, sf):
     return sequence.debounce_long(_series(spark, sf, (F.col("value") > 50).cast("int")), "x", ["event_type"], "i")
 
 
+@query(_DEBOUNCE)
+def debounce_sliced(spark, sf):
+    return sequence.debounce_sliced(_series(spark, sf, (F.col("value") > 50).cast("int")), "x", ["event_type"], "i", 1000)
+
+
 @query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS sequence_num FROM events")
 def sequence_numbers(spark, sf):
     return t(spark, sf, "events").select("event_type", "event_id", (sequence.numbered(["event_type"], ["event_id"]) + 1).cast("long").alias("sequence_num"))

@@ -117,6 +117,8 @@ def test_debounce_and_shift(spark, parts):
     want = [x for k in "abcd" for x in hold_by_hand(data[k])]
     assert col(sequence.debounce(df, "x", ["k"], "i"), "x") == want
     assert col(sequence.debounce_long(df, "x", ["k"], "i"), "x") == want
+    assert col(sequence.debounce_sliced(df, "x", ["k"], "i", 9), "x") == want
+    assert sequence.debounce_sliced(df.limit(0), "x", ["k"], "i", 9).count() == 0
     for k in (0, 3, -2, 100):
         assert col(sequence.circular_shift(df, "x", ["k"], "i", k), "x") == [x for n in "abcd" for x in np.roll(data[n], k).tolist()]
 
