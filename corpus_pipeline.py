@@ -14,13 +14,13 @@ from gaugelab.llm.common import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the current policy go."""
-    return quality.apply_policy(quality.ledger(docs)).where("kept").select(docs.columns)
+    return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on a large part of their source's documents go; n_chars follows the text."""
     out = lines.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

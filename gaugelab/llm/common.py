@@ -34,6 +34,16 @@ def words_of(text: Column) -> Column:
     return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), cut)
 
 
+def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in a struct ``_row``, beside new ones: whatever names ``docs`` has, none of them clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unwrapped(docs: DataFrame, but: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``docs``, out of ``_row``; some of them replaced."""
+    return [(but or {}).get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

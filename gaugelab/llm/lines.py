@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, wide_hash
+from .common import WORD, unwrapped, wide_hash, wrapped
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -54,12 +54,13 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     )
     hit = lines.join(found.select("_host", "_a", "_b"), F.col("_th").eqNullSafe(F.col("_host")) & (F.col("_la") == F.col("_a")) & (F.col("_lb") == F.col("_b")))
     drops = hit.groupBy("_th", "_ta", "_tb").agg(F.collect_set(F.struct(F.col("_la").alias("a"), F.col("_lb").alias("b"))).alias("_drops"))
-    keep = F.filter(_lines(text), lambda s: ~F.array_contains(F.col("_drops"), F.struct(wide_hash(s)[0].alias("a"), wide_hash(s)[1].alias("b"))))
+    rows = wrapped(docs, _hh=F.col(host), _t=F.col(text), _xa=ta, _xb=tb)
+    out = rows.join(drops, F.col("_hh").eqNullSafe(F.col("_th")) & (F.col("_xa") == F.col("_ta")) & (F.col("_xb") == F.col("_tb")), "left")
+    keep = F.filter(_lines("_t"), lambda s: ~F.array_contains(F.col("_drops"), F.struct(wide_hash(s)[0].alias("a"), wide_hash(s)[1].alias("b"))))
     has = F.col("_drops").isNotNull()
-    out = docs.join(drops, F.col(host).eqNullSafe(F.col("_th")) & (ta == F.col("_ta")) & (tb == F.col("_tb")), "left")
     kept = out.withColumn("_keep", F.when(has, keep))
     return kept.select(
-        *[F.when(has, F.array_join("_keep", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.size(_lines(text)).cast("long").alias("_n_lines"),
-        F.when(has, F.size(_lines(text)) - F.size("_keep")).otherwise(F.lit(0)).cast("long").alias("_n_dropped"),
+        *unwrapped(docs, {text: F.when(has, F.array_join("_keep", "\n")).otherwise(F.col("_t"))}),
+        F.size(_lines("_t")).cast("long").alias("_n_lines"),
+        F.when(has, F.size(_lines("_t")) - F.size("_keep")).otherwise(F.lit(0)).cast("long").alias("_n_dropped"),
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unwrapped, wrapped
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -127,10 +127,10 @@ def plan(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights
     return Plan(sources, materialize(places, "mix-places"))
 
 
-def _placed(docs: DataFrame, p: Plan, doc_id: str, source: str, text: str, seed: str) -> DataFrame:
-    side = F.broadcast(p.sources.withColumnRenamed("src", "_s"))  # at most MOST_SOURCES rows
-    out = docs.withColumn("_k", order_key(doc_id, text, seed)).join(side, F.col(source).cast("string").eqNullSafe(F.col("_s")))
-    return out.withColumn("_b", _block(F.col("_k"), F.col("n_blocks")))
+def _placed(rows: DataFrame, p: Plan) -> DataFrame:
+    """Rows with ``_src`` and ``_k`` beside what the plan knows of their source, and their block ``_b``."""
+    side = F.broadcast(p.sources)  # at most MOST_SOURCES rows
+    return rows.join(side, F.col("_src").eqNullSafe(F.col("src"))).withColumn("_b", _block(F.col("_k"), F.col("n_blocks")))
 
 
 def _counts(p: Plan) -> DataFrame:
@@ -148,9 +148,8 @@ def _times(cut: Column, last: Column) -> Column:
 def taken(docs: DataFrame, doc_id="doc_id", source="source", text="text", seed=SEED, **how) -> DataFrame:
     """``(doc_id, source, size, source_size, target, times, taken)`` for each row; a null text has size 0, a null source is a source."""
     p = plan(docs, doc_id, source, text, seed=seed, **how)
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), order_key(doc_id, text, seed).alias("_k"), size_of(text).alias("size"))
-    side = F.broadcast(p.sources.withColumnRenamed("src", "_s"))
-    out = narrow.join(side, F.col("source").cast("string").eqNullSafe(F.col("_s"))).withColumn("_b", _block(F.col("_k"), F.col("n_blocks")))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(source).cast("string").alias("_src"), order_key(doc_id, text, seed).alias("_k"), size_of(text).alias("size"))
+    out = _placed(narrow, p)
     out = out.join(_counts(p), (F.col("i") == F.col("_i")) & (F.col("_b") == F.col("_bb")), "left")
     out = out.withColumn("times", _times(F.col("cut"), F.col("last_block")))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
@@ -161,9 +160,10 @@ def mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", seed=SEE
     p = plan(docs, doc_id, source, text, seed=seed, **how)
     drawn = p.places.select(F.col("i").alias("_i"), F.col("block").alias("_bb"), "pass_no", F.col("shard").alias("_shard"))
     by_block = drawn.groupBy("_i", "_bb").agg(F.collect_list(F.struct("pass_no", "_shard")).alias("_at"))  # at most MOST + 1 draws of a block
-    out = _placed(docs, p, doc_id, source, text, seed).join(by_block, (F.col("i") == F.col("_i")) & (F.col("_b") == F.col("_bb")))
+    rows = wrapped(docs, _src=F.col(source).cast("string"), _k=order_key(doc_id, text, seed))
+    out = _placed(rows, p).join(by_block, (F.col("i") == F.col("_i")) & (F.col("_b") == F.col("_bb")))
     out = out.withColumn("_one", F.explode("_at"))
     late = F.col("_one.pass_no") >= F.col("passes")
     inside = (F.col("_b") < F.col("last_block")) | ((F.col("_b") == F.col("last_block")) & (F.col("_k") <= F.col("cut")))
     place = F.xxhash64("_k", "_one.pass_no")
-    return out.where(~late | F.coalesce(inside, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_one._shard").alias("_shard"), place.alias("_place"))
+    return out.where(~late | F.coalesce(inside, F.lit(False))).select(*unwrapped(docs), F.col("_one._shard").alias("_shard"), place.alias("_place"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words_of
+from .common import WORD, let, unwrapped, words_of, wrapped
 
 #: Words that mark abuse; fixed values.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -111,6 +111,12 @@ def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     return led.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
+def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, as they are."""
+    led = apply_policy(ledger(wrapped(docs, _text=F.col(text)), "_text"), policy)
+    return led.where("kept").select(unwrapped(docs))
+
+
 def ablations(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     """One row for each rule of the policy: documents failing it, failing it alone, and kept were it dropped. One pass over the ledger's bits."""
     m = POLICIES[policy]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, wide_hash
+from .common import materialize, shuffle_width, unwrapped, wide_hash, wrapped
 
 SHINGLE = 3
 LOW = np.uint64(0xFFFFFFFF)
@@ -227,6 +227,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     keep = least.select(F.col("k.doc_id").alias("_d"), F.col("k.ta").alias("_ta"), F.col("k.tb").alias("_tb"), F.col("k.n").alias("_n"))
     keep = materialize(keep, "simhash-keep")
     ta, tb = wide_hash(F.col(text))
-    out = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (ta == F.col("_ta")) & (tb == F.col("_tb")))
+    rows = wrapped(docs, _id=F.col(doc_id).cast("long"), _xa=ta, _xb=tb)
+    out = rows.join(keep, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_xa") == F.col("_ta")) & (F.col("_xb") == F.col("_tb")))
     again = out.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("_d", "_ta", "_tb").orderBy("_n")))
-    return out.where("_n = 1").select(docs.columns).unionByName(again.where("_r = 1").select(docs.columns))
+    return out.where("_n = 1").select(unwrapped(docs)).unionByName(again.where("_r = 1").select(unwrapped(docs)))

@@ -207,13 +207,29 @@ def test_sql_on_odd_rows(spark, odd, tmp_path):
 
 
 def test_extra_columns_with_clashing_names(spark, odd):
-    names = ["fp", "size", "shard", "n_words", "host", "_keep", "ls", "l", "i", "k", "row", "all", "uid", "length"]
-    wide = odd.select("*", *[quality.F.lit(1).alias(n) for n in names])
-    for f in (simhash.keep_one, lambda d: lines.drop_boilerplate(d), lambda d: mixing.mix(d), lambda d: quality.apply_policy(quality.ledger(d))):
-        out = f(wide)
-        assert set(names) <= set(out.columns)
-        assert out.count() >= 0
-    assert packing.pack_documents(wide, with_ids=False).count() == packing.pack_documents(odd, with_ids=False).count()
+    """Columns that are named as those inside the operators keep their values."""
+    names = ["fp", "size", "shard", "n_words", "host", "_keep", "_drops", "_th", "ls", "l", "i", "k", "row", "all", "uid", "_uid", "length", "kept", "failed", "measures", "_m", "_k", "src", "target", "passes", "cut", "_row", "_n", "_d", "with.dot", "part", "first"]
+    wide = odd.select("*", *[quality.F.lit(n).alias(n) for n in names])
+    for f in (simhash.keep_one, lines.drop_boilerplate, mixing.mix, quality.keep, mixing.taken, simhash.near_duplicates):
+        rows, plain_rows = f(wide), f(odd)
+        assert rows.count() == plain_rows.count()
+        if f not in (mixing.taken, simhash.near_duplicates):
+            assert rows.columns[: 5 + len(names)] == wide.columns
+            assert all(r[n] == n for r in rows.collect() for n in names)
+    cut = packing.pieces(odd, with_ids=False).select("*", quality.F.lit("x").alias("uid"), quality.F.lit("x").alias("shard"), quality.F.lit(5).alias("offset"))
+    packed = packing.pack(cut).collect()
+    assert len(packed) == cut.count() and all(r.uid == r.shard == "x" for r in packed)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd, empty(spark)):
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            docs_out = f(spark, docs, "")
+            assert docs_out.columns == docs.columns
+            docs = docs_out
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 0
 
 
 def test_pipeline_against_a_plain_version(spark, sf_dir):
