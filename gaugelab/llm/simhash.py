@@ -204,7 +204,8 @@ def _classes_of(known: DataFrame) -> DataFrame:
     comp = components(links(least.select("fp")))
     comp = materialize(comp.unionAll(comp.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
     tops = comp.join(least, "fp").groupBy("root").agg(F.min("least").alias("top"))
-    return least.join(comp.join(tops, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
+    of = least.join(comp.join(tops, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
+    return materialize(of, "simhash-classes")  # so that a join with many documents of one fingerprint reads two plain exchanges, which Spark can split
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
