@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import trees
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*+>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -45,10 +46,24 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree. ``kids`` mix nodes and strings; character references in strings are decoded. Never fails: what isn't markup is text."""
     root = now = Node("#page", "", None)
+    open_ = Counter()  # open elements by tag, so that an end without a beginning costs nothing
     at = 0
     find = _MARKUP.search
+    last = page.rfind(">") + 1  # no markup ends behind it, but a comment that nothing ends may begin there
+    if (comment := page.find("<!--", last)) >= 0:
+        page = page[:comment]
+
+    def close(node: Node) -> Node:
+        """Closes all that is open up to ``node`` and returns what holds it."""
+        n = now
+        while n is not node:
+            open_[n.tag] -= 1
+            n = n.parent
+        open_[n.tag] -= 1
+        return n.parent
+
     while True:
-        m = find(page, at)
+        m = find(page, at, last) if at < last else None
         if m is None:
             break
         if m.start() > at:
@@ -56,28 +71,33 @@ def parse(page: str) -> Node:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         tag = tag.lower()
         if m[1]:
-            n = now
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                now = n.parent
+            if open_[tag] > 0:
+                n = now
+                while n.tag != tag:
+                    n = n.parent
+                now = close(n)
             continue
-        if tag in PARAGRAPH_ENDS:
+        if tag in PARAGRAPH_ENDS and open_["p"] > 0:
             n = now
             while n is not root and n.tag in INLINE:
                 n = n.parent
             if n.tag == "p":
-                now = n.parent
+                now = close(n)
         elif tag in CLOSES:
             ends, stop = CLOSES[tag]
-            n = now
-            while n is not root and n.tag not in stop:
-                if n.tag in ends.split():
-                    now = n.parent
+            ends = ends.split()
+            n, top = now, None
+            while n is not root and n.tag not in stop and any(open_[e] for e in ends):
+                if n.tag in ends:
+                    top = n
                 n = n.parent
+            if top is not None:
+                now = close(top)
         node = Node(tag, m[3], now)
         now.kids.append(node)
         if tag in VOID or m[3].endswith("/"):
@@ -86,6 +106,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        open_[tag] += 1
         now = node
     if at < len(page):
         now.kids.append(entities.unescape(page[at:]))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -214,6 +215,10 @@ def test_html_cases(spark):
     assert got[:3] == ["Head & é", "One two three bold.", words.strip()]
     assert not re.search(r"\bno\b", one(page))
     assert html_text.extract_all([None, "", "<", "<p", "</div></div>", "<p>" * 3000], m)[0] == ""
+    for hard in ("<a" * 60_000, "<a '" * 60_000, "<div>" * 20_000 + "</span>" * 60_000, "<b>" * 20_000 + "<p>" * 20_000, "<!--" * 50_000, "<script>" * 20_000, "<li>" * 20_000 + "</ul>" * 20_000, "&" * 100_000):
+        began = time.monotonic()
+        html_text.extract_all([hard + ">"], m)
+        assert time.monotonic() - began < 20
     df = spark.createDataFrame([(1, None, None), (1, "u", page), (None, "u", "")], "page_id long, url string, html string")
     assert Counter((r.page_id, r.text) for r in html_text.extract(df).collect()) == Counter([(1, ""), (1, one(page)), (None, "")])
     assert html_text.extract(df.limit(0)).count() == 0
