@@ -64,6 +64,30 @@ QUERIES = {
     for f in (op1_secret_scan, op2_line_dedup, op3_fingerprints, op4_best_fit_packing, op5_simhash, op6_quality_rules, op7_url_filter, op8_source_mixing, op9_token_files, op10_html_text)
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _op1() -> str:
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = list(secrets.KINDS)
+    found = " UNION ALL ".join(f"SELECT r, {i} AS kind, string_split_regex(t, {q(p)}) AS gaps, regexp_extract_all(t, {q(p)}, 0) AS ms, regexp_extract_all(t, {q(p)}, {g}) AS vs FROM d" for i, (p, g, _) in enumerate(secrets.KINDS.values()))
+    passes = " OR ".join(f"kind = {i} AND length(v) >= {n}" + "".join(f" AND regexp_matches(v, {q(h)})" for h in secrets.HOLDS.get(k, ())) for i, (k, (_, _, n)) in enumerate(secrets.KINDS.items()))
+    listed = f"string_agg([{', '.join(map(q, kinds))}][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind)"
+    n = len(secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+e AS (SELECT r, kind, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT r, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(ms[i]) AS n, vs[i] AS v FROM e),
+f AS (SELECT r, kind, a, a + n AS b, sha256(v) AS h FROM s WHERE {passes}),
+owned AS (SELECT h, count(DISTINCT owner) AS owners FROM f JOIN d ON f.r = d.r GROUP BY h),
+g AS (SELECT f.*, owners <= {secrets.MOST_OWNERS} AS live FROM f JOIN owned ON f.h = owned.h),
+per AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))}, {listed} FILTER (kind < {n}) AS base, {listed} FILTER (kind < {n} OR live) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM g GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per ON d.r = per.r
+"""
+
+
 _HAS_WORD = r"regexp_matches({}, '[^\x20\x09-\x0D]')"
 
 _OP2 = f"""
@@ -124,4 +148,4 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NO
 """
 
 #: The other operators hash, tokenize, search or learn in ways SQL can't follow; tests hold them against plain versions.
-SQL: dict[str, str] = {"op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op8_source_mixing": _OP8}
+SQL: dict[str, str] = {"op1_secret_scan": _op1(), "op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op8_source_mixing": _OP8}

@@ -21,8 +21,10 @@ BASE = {
 }
 FURTHER = {
     "issued": (r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|sk_(?:live|test)_[A-Za-z0-9]{16,})", 0, 1),
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}", 0, 1),
+    "opaque": (r"[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24),
 }
+#: What a value of a kind holds besides.
+HOLDS = {"opaque": ("[0-9]", "[A-Z]", "[a-z]")}
 KINDS = BASE | FURTHER
 #: A value that more owners hold is an example.
 MOST_OWNERS = 1
@@ -52,7 +54,13 @@ def _found(text: Column, kind: str) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(p["match"]) - 1), zero, step)["out"]
 
-    spans = F.filter(let(parts, place), lambda s: F.char_length(s["value"]) >= least)
+    def counts(s: Column) -> Column:
+        ok = F.char_length(s["value"]) >= least
+        for held in HOLDS.get(kind, ()):
+            ok = ok & s["value"].rlike(held)
+        return ok
+
+    spans = F.filter(let(parts, place), counts)
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
