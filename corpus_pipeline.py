@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugelab.llm import lines, mixing, packing, quality, simhash
-from gaugelab.llm.common import materialize
+from gaugelab.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule of the current policy go."""
-    return quality.keep(docs)
+    """Documents that fail a rule go; abuse is known by fixed words and by stems learned from the labels beside the documents."""
+    stems = quality.learn_stems(docs, table(spark, sf_dir, "labels")) if sf_dir else {}
+    return quality.keep(docs, quality.LEARNED, stems=stems)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Every rule is evaluated once for each document. The ledger keeps the measurements and one failure bit for each rule; a policy is a named
 version with a mask of the rules that reject, so that policies are applied, compared and ablated by bitwise operations on the ledger
 without reading a text again.
+
+Abuse in other languages than the fixed words' is known by stems that are learned from labelled documents, language by language
+(``learn_stems``). A ledger without stems never fails their rule.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, unwrapped, words_of, wrapped
+from .common import WORD, let, materialize, unwrapped, words_of, wrapped
 
 #: Words that mark abuse; fixed values.
 ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -28,6 +31,7 @@ RULES = {
     "odd_word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
     "abusive": lambda m: (m["n_abuse"] >= 3) & (1000 * m["n_abuse"] >= 5 * m["n_words"]),
+    "abusive_stems": lambda m: (m["n_stems"] >= 3) & (1000 * m["n_stems"] >= 5 * m["n_words"]),
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE_MASK = BIT["too_few_words"] | BIT["repeated_windows"]
@@ -41,10 +45,62 @@ def mask(*names: str) -> int:
 POLICIES = {
     "base-1": BASE_MASK,
     "web-1": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letters", "shouting", "bang_heavy", "odd_word_length", "repeated_lines"),
-    "web-2": mask(*RULES),
+    "web-2": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letters", "shouting", "bang_heavy", "odd_word_length", "repeated_lines", "abusive"),
+    "web-3": mask(*RULES),
 }
 CURRENT = "web-2"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_bangs", "n_abuse")
+#: The policy for ledgers with learned stems.
+LEARNED = "web-3"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_bangs", "n_abuse", "n_stems")
+
+#: Labelled documents that stems are learned from, at most about so many of each class, chosen by a hash of doc_id.
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
+#: A stem is the first so many letters of a word.
+STEM = (4, 5, 6, 7)
+#: A stem marks abuse if it is in so many toxic documents of its language and in this share of them, with a share of the words so many times that of clean ones.
+STEM_DOCS, STEM_SHARE, STEM_RATIO = 4, 0.03, 15
+_LETTERS = r"[\p{L}\p{N}_]+"
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str | None, list[str]]:
+    """Language -> stems that mark its abuse, from the documents that ``labels`` (doc_id, toxic) has; of nested stems the shortest.
+
+    The sample is bounded, and so is what comes to the driver. A document's share counts up to a twentieth of its words, so that no
+    document decides alone. Labels that contradict each other count as toxic.
+    """
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    size = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    if not size.get(1):
+        return {}
+    grain = 1 << 20
+    part = lambda y, most: F.lit(min(grain, grain * most // max(1, size.get(y, 0)) + 1))
+    chosen = known.where(F.pmod(F.xxhash64("_d"), F.lit(grain)) < F.when(F.col("_toxic") == 1, part(1, MOST_TOXIC)).otherwise(part(0, MOST_CLEAN)))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = materialize(rows.join(F.broadcast(chosen), "_d"), "quality-labelled")  # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast; no text is parted before it is chosen
+    rows = rows.withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).drop("text").where(F.size("ws") >= 20)
+    n = {(r["lang"], r["_toxic"]): r["count"] for r in rows.groupBy("lang", "_toxic").count().collect()}
+    each = rows.select("_d", "lang", "_toxic", F.size("ws").alias("n"), F.explode(F.flatten(F.transform("ws", lambda w: F.array(*[F.when(F.char_length(w) >= j, F.left(w, F.lit(j))) for j in STEM])))).alias("stem")).where("stem IS NOT NULL")
+    share = each.groupBy("_d", "lang", "_toxic", "n", "stem").agg(F.least(F.lit(1.0), 20 * F.count("*") / F.col("n")).alias("share"))
+    toxic = F.col("_toxic") == 1
+    sums = share.groupBy("lang", "stem").agg(*[F.sum(F.when(c, v).otherwise(F.lit(0.0))).alias(k) for k, c, v in (("hit", toxic, F.col("share")), ("base", ~toxic, F.col("share")), ("n_hit", toxic, F.lit(1.0)), ("n_base", ~toxic, F.lit(1.0)))])
+    bad, good = F.lit(1), F.lit(1)
+    for (k, y), c in n.items():
+        own = F.col("lang").eqNullSafe(F.lit(k))
+        bad, good = (F.when(own, F.lit(c)).otherwise(bad), good) if y == 1 else (bad, F.when(own, F.lit(c)).otherwise(good))
+    often = F.col("n_hit") >= F.greatest(F.lit(float(STEM_DOCS)), STEM_SHARE * bad)
+    marks = often & (F.col("hit") / bad >= STEM_RATIO * (F.col("base") + 0.02) / good) & (F.col("n_hit") / bad >= 3 * F.col("n_base") / good)
+    out: dict[str | None, list[str]] = {}
+    for r in sums.where(marks).select("lang", "stem").collect():
+        out.setdefault(r["lang"], []).append(r["stem"])
+    return {k: sorted(x for x in v if not any(x[:j] in v for j in range(1, len(x)))) for k, v in out.items()}
+
+
+def _stem_count(text: Column, lang: Column, stems: dict[str | None, list[str]]) -> Column:
+    """Words of a text that begin with a stem of its language."""
+    count = F.lit(0)
+    for k, v in stems.items():
+        count = F.when(lang.eqNullSafe(F.lit(k)), F.regexp_count(F.lower(text), F.lit(rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(v)})"))).otherwise(count)
+    return count.cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -94,10 +150,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_m", let(F.struct(t.alias("t"), words_of(F.col(text)).alias("w")), of))
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements as columns of ``measures`` and the failure bits ``failed`` (long)."""
+def ledger(docs: DataFrame, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
+    """``docs`` with the measurements as columns of ``measures`` and the failure bits ``failed`` (long). ``stems`` by ``lang`` as ``learn_stems`` gives them."""
     m = F.col("_m")
     parts = {"n_dup_lines": m["lines"]["dup"], "n_lines": m["lines"]["all"]}
+    parts["n_stems"] = _stem_count(F.coalesce(F.col(text), F.lit("")), F.col(lang), stems) if stems else F.lit(0).cast("long")
     out = measure(docs, text).withColumn("measures", F.struct(*[(parts[k] if k in parts else m[k]).alias(k) for k in MEASURES])).drop("_m")
     bits = [F.when(rule(F.col("measures")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     failed = bits[0]
@@ -111,9 +168,10 @@ def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     return led.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
-def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, as they are."""
-    led = apply_policy(ledger(wrapped(docs, _text=F.col(text)), "_text"), policy)
+    own = {"_text": F.col(text)} | ({"_lang": F.col(lang)} if stems else {})
+    led = apply_policy(ledger(wrapped(docs, **own), "_text", stems, "_lang"), policy)
     return led.where("kept").select(unwrapped(docs))
 
 

@@ -251,3 +251,27 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
     for name, f in corpus_pipeline.STAGES[:-1]:
         now = f(spark, now, sf_dir)
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+def test_quality_stage_finds_abuse_in_every_language(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, sf).select("doc_id").collect()}
+    for lang in ("en", "fr", "de", "es"):
+        x = [r.doc_id in kept for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(f"lang = '{lang}' AND toxic = 1").select("doc_id").collect()]
+        assert 1 - np.mean(x) > 0.9, lang
+
+
+def test_stems_are_learned_from_other_documents(spark):
+    """Half of the labels, held against the documents of the other half."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stems = quality.learn_stems(docs, labels.where("doc_id % 2 = 0"))
+    led = quality.apply_policy(quality.ledger(docs.where("doc_id % 2 = 1"), stems=stems), quality.LEARNED)
+    x = led.join(labels, "doc_id").select("lang", "toxic", "quality", "kept", (quality.F.col("failed").bitwiseAND(quality.F.lit(quality.BIT["abusive_stems"])) != 0).alias("stem")).collect()
+    for lang in ("en", "fr", "de", "es"):
+        assert np.mean([not r.kept for r in x if r.lang == lang and r.toxic]) > 0.85, lang
+        assert np.mean([r.stem for r in x if r.lang == lang and not r.toxic and r.quality]) < 0.02, lang
+    assert quality.learn_stems(docs, labels.where("toxic = 0")) == {}
