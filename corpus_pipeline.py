@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on a large part of their source's documents go; n_chars follows the text."""
-    out = lines.drop_boilerplate(docs)
+    """Lines that stand on a large part of their source's different texts go; n_chars follows the text. Copies of a text keep their lines."""
+    out = lines.drop_boilerplate(docs, distinct=True)
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -3,6 +3,9 @@
 Pages are grouped by host. A line is boilerplate of its host if it stands on at least ``min_pages`` of the host's pages and on more than
 ``ratio`` of them; all its occurrences there are dropped. The number of boilerplate lines of a host is bounded by its mean number of
 lines a page divided by ``ratio``, whatever the number of pages.
+
+A page is a row, or with ``distinct`` a different text: copies of one document then are one page, so that their own lines aren't
+taken for boilerplate.
 """
 
 from __future__ import annotations
@@ -24,20 +27,26 @@ def _blank(line: Column) -> Column:
     return ~line.rlike(WORD)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``(_host, _a, _b, n_pages, host_pages)`` of each boilerplate line, known by a 128-bit hash. Blank lines never count.
 
-    A page counts once for a line however often it repeats it; repeated rows are pages of their own. A null host is a host.
+    A page counts once for a line however often it repeats it; repeated rows are pages of their own unless ``distinct``. A null host is a host.
     """
     a, b = wide_hash(F.col("l"))
-    pages = docs.select(F.col(host).alias("_host"), F.array_distinct(F.filter(_lines(text), lambda s: ~_blank(s))).alias("ls"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("host_pages"))
-    counts = pages.select("_host", F.explode("ls").alias("l")).groupBy("_host", a.alias("_a"), b.alias("_b")).agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    ta, tb = wide_hash(F.col(text))
+    own = {"_ta": ta, "_tb": tb} if distinct else {}
+    pages = docs.select(F.col(host).alias("_host"), *[c.alias(n) for n, c in own.items()], F.array_distinct(F.filter(_lines(text), lambda s: ~_blank(s))).alias("ls"))
+    per = pages.select("_host", *own)
+    lines = pages.select("_host", *own, F.explode("ls").alias("l")).select("_host", *own, a.alias("_a"), b.alias("_b"))
+    if distinct:  # narrow rows of hashes, reduced where copies are read
+        per, lines = per.distinct(), lines.distinct()
+    totals = per.groupBy("_host").agg(F.count("*").alias("host_pages"))
+    counts = lines.groupBy("_host", "_a", "_b").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     joined = counts.join(totals.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
     return joined.where(F.col("n_pages") > F.lit(float(ratio)) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``docs`` with ``text`` lacking its host's boilerplate lines, and with ``_n_lines`` and ``_n_dropped`` (long).
 
     Columns of ``docs`` keep their names and places. A null text stays null and has one blank line; a text all of whose lines go
@@ -46,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     ta, tb = wide_hash(F.col(text))
     la, lb = wide_hash(F.col("l"))
-    found = boilerplate(docs, host, text, ratio, min_pages)
+    found = boilerplate(docs, host, text, ratio, min_pages, distinct)
     lines = (
         docs.select(F.col(host).alias("_th"), ta.alias("_ta"), tb.alias("_tb"), F.array_distinct(F.filter(_lines(text), lambda s: ~_blank(s))).alias("ls"))
         .select("_th", "_ta", "_tb", F.explode("ls").alias("l"))

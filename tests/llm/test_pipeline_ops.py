@@ -275,3 +275,18 @@ def test_stems_are_learned_from_other_documents(spark):
         assert np.mean([not r.kept for r in x if r.lang == lang and r.toxic]) > 0.85, lang
         assert np.mean([r.stem for r in x if r.lang == lang and not r.toxic and r.quality]) < 0.02, lang
     assert quality.learn_stems(docs, labels.where("toxic = 0")) == {}
+
+
+def test_groups_of_copies_keep_one_whole_text(spark):
+    """A third of a source, or three copies among few pages; a line of many different texts goes as before."""
+    import corpus_pipeline
+
+    own = lambda i: "\n".join(f"{w} of page {i} and word {w * 2}" for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(i, own(0), "en", "big", 0) for i in range(20)] + [(100 + i, f"{own(100 + i)}\nsite menu", "en", "big", 0) for i in range(40)]
+    rows += [(200 + i, own(1), "en", "small", 0) for i in range(3)] + [(300 + i, own(300 + i), "en", "small", 0) for i in range(26)]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, plain.SCHEMA), "")
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert all(texts[i] == own(0) for i in range(20)) and all(texts[200 + i] == own(1) for i in range(3))
+    assert all(texts[100 + i] == own(100 + i) for i in range(40))
+    kept = Counter(r.text for r in corpus_pipeline.near_dedup(spark, got, "").collect())
+    assert kept[own(0)] == kept[own(1)] == 1
