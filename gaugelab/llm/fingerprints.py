@@ -1,8 +1,8 @@
 """Improbable-feature digests of documents.
 
-Every window of 64 bytes (in short texts of 16 too) has an entropy. Windows are ranked by the rarity of that entropy, those next to each other compete, and the ones
+Every window of 64 bytes, and of 16, has an entropy. Windows of a size are ranked by the rarity of that entropy, those next to each other compete, and the ones
 that win often enough are the document's features: places that two versions of a text choose alike, wherever they moved. Features are put,
-in the order of the text, into a chain of Bloom filters of 2,048 bits, a new one begun after 160 features. Two digests are alike by the
+in the order of the text, into a chain of Bloom filters of 2,048 bits for either size, a new one begun after 160 features. Two digests are alike by the
 overlap of their filters' bits, less what chance gives, over the most that is possible.
 """
 
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 WINDOW, SMALL = 64, 16
-#: Texts of fewer bytes get features of SMALL windows too, as they hold few others.
-SHORT = 512
 #: Usual entropy of running text in a window of so many bytes.
 USUAL = {WINDOW: 4.1, SMALL: 3.3}
 #: A window is a feature if it is the rarest in this share of the runs of neighbouring windows that hold it (a run has as many windows as a window has bytes).
@@ -89,19 +87,17 @@ def _chosen(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 64-bit hash) of the features of all texts: those of WINDOW bytes in order, then for short texts those of SMALL ones, and the whole of a tiny one."""
+    """(chain, 64-bit hash) of the features of all texts: a text's chain 2 i has those of WINDOW bytes in order, 2 i + 1 those of SMALL ones, and the whole of a tiny one."""
     doc, h = _chosen(texts, WINDOW)
-    short = np.array([i for i, t in enumerate(texts) if 0 < len(t) < SHORT], np.int64)
-    if len(short):
-        sub, more = _chosen([texts[i] for i in short], SMALL)
-        tiny = [i for i in short.tolist() if len(texts[i]) < SMALL]
-        own = []
-        for i in tiny:
-            b = np.frombuffer(texts[i], np.uint8).astype(np.uint64) + np.uint64(1)
-            own.append((b * _MIX[: len(b)]).sum(dtype=np.uint64) ^ np.uint64(len(b)))
-        doc, h = np.concatenate([doc, short[sub], np.array(tiny, np.int64)]), np.concatenate([h, more, np.array(own, np.uint64)])
-        order = np.argsort(doc, kind="stable")
-        doc, h = doc[order], h[order]
+    sub, more = _chosen(texts, SMALL)
+    tiny = [i for i, t in enumerate(texts) if 0 < len(t) < SMALL]
+    own = []
+    for i in tiny:
+        b = np.frombuffer(texts[i], np.uint8).astype(np.uint64) + np.uint64(1)
+        own.append((b * _MIX[: len(b)]).sum(dtype=np.uint64) ^ np.uint64(len(b)))
+    doc, h = np.concatenate([2 * doc, 2 * sub + 1, 2 * np.array(tiny, np.int64) + 1]), np.concatenate([h, more, np.array(own, np.uint64)])
+    order = np.argsort(doc, kind="stable")
+    doc, h = doc[order], h[order]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -110,17 +106,19 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def digests(texts: list[bytes]) -> list[np.ndarray]:
     """For each text an array of filters (n, 256) of bytes; none for an empty text. A text of filler alone has one empty filter."""
-    doc, h = _features(texts)
-    count = np.bincount(doc, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
-    filters = np.maximum(-(-count // PER_FILTER), np.array([len(t) > 0 for t in texts], np.int64)) if len(texts) else count
+    chain, h = _features(texts)
+    count = np.bincount(chain, minlength=2 * len(texts)) if len(texts) else np.zeros(0, np.int64)
+    filters = -(-count // PER_FILTER)
+    bare = np.array([len(t) > 0 for t in texts], bool) & (filters.reshape(-1, 2).sum(1) == 0) if len(texts) else np.zeros(0, bool)
+    filters[::2][bare] = 1
     base = np.concatenate([[0], np.cumsum(filters)]).astype(np.int64)
-    within = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(count)])[doc] if len(doc) else np.zeros(0, np.int64)
-    slot = base[doc] + within // PER_FILTER if len(doc) else within
+    within = np.arange(len(chain)) - np.concatenate([[0], np.cumsum(count)])[chain] if len(chain) else np.zeros(0, np.int64)
+    slot = base[chain] + within // PER_FILTER if len(chain) else within
     bits = np.zeros((base[-1], BITS), bool)
     for k in range(HASHES):
         bits[slot, (h >> np.uint64(11 * k)) & np.uint64(BITS - 1)] = True
     packed = np.packbits(bits, axis=1)
-    return [packed[a:b] for a, b in zip(base[:-1], base[1:])]
+    return [packed[a:b] for a, b in zip(base[:-1:2], base[2::2])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

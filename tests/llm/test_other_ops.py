@@ -222,3 +222,12 @@ def test_html_cases(spark):
     df = spark.createDataFrame([(1, None, None), (1, "u", page), (None, "u", "")], "page_id long, url string, html string")
     assert Counter((r.page_id, r.text) for r in html_text.extract(df).collect()) == Counter([(1, ""), (1, one(page)), (None, "")])
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_likeness_does_not_jump_at_a_length(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [t.encode() for t in pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist() if t and len(t.encode()) > 700][:40]
+    for n in (200, 511, 512, 600):
+        like = [fingerprints.likeness(*fingerprints.digests([t[:n], t[: n + 2]])) for t in texts]
+        assert np.mean(like) > 0.9, n
