@@ -53,6 +53,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
     start = float(np.log(p / (1 - p)))
     raw, trees = np.full(len(y), start), []
+    width = max((len(c) for c in cuts), default=0) + 1
+    cells = (coded + width * np.arange(x.shape[1])).astype(np.int32)  # one histogram holds all features
+    none = np.arange(width)[None, :-1] >= np.array([len(c) for c in cuts])[:, None]  # places that are no cut of their feature
+
+    def sums(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of ``v`` over the rows up to each cut of each feature."""
+        found = np.bincount(cells[rows].ravel(), np.repeat(v[rows], x.shape[1]), width * x.shape[1])
+        return np.cumsum(found.reshape(x.shape[1], width), 1)[:, :-1]
+
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-raw))
         g, h = y - q, np.maximum(q * (1 - q), 1e-9)
@@ -62,21 +71,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
             at = len(nodes)
             value = rate * g[rows].sum() / (h[rows].sum() + smooth)
             nodes.append((-1, 0.0, 0, 0, float(value)))
-            best = (1e-6, -1, 0)
-            if left and len(rows) > 1:
+            j = -1
+            if left and len(rows) > 1 and width > 1:
                 total_g, total_h = g[rows].sum(), h[rows].sum()
-                for j, c in enumerate(cuts):
-                    if len(c) < 1:
-                        continue
-                    lg = np.cumsum(np.bincount(coded[rows, j], g[rows], len(c) + 1))[:-1]
-                    lh = np.cumsum(np.bincount(coded[rows, j], h[rows], len(c) + 1))[:-1]
-                    rg, rh = total_g - lg, total_h - lh
-                    gain = lg**2 / (lh + smooth) + rg**2 / (rh + smooth) - total_g**2 / (total_h + smooth)
-                    gain[(lh < least) | (rh < least)] = 0
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (gain[k], j, k)
-            _, j, k = best
+                lg, lh = sums(rows, g), sums(rows, h)
+                rg, rh = total_g - lg, total_h - lh
+                gain = lg**2 / (lh + smooth) + rg**2 / (rh + smooth) - total_g**2 / (total_h + smooth)
+                gain[(lh < least) | (rh < least) | none] = 0
+                best = int(gain.argmax())
+                if gain.flat[best] > 1e-6:
+                    j, k = divmod(best, width - 1)
             if j >= 0:
                 to_left = coded[rows, j] <= k
                 lo = grow(rows[to_left], left - 1)
