@@ -1,27 +1,34 @@
 """Improbable-feature digests of documents.
 
-Every window of 64 bytes, and of 16, has an entropy. Windows of a size are ranked by the rarity of that entropy, those next to each other compete, and the ones
-that win often enough are the document's features: places that two versions of a text choose alike, wherever they moved. Features are put,
-in the order of the text, into a chain of Bloom filters of 2,048 bits for either size, a new one begun after 160 features. Two digests are alike by the
-overlap of their filters' bits, less what chance gives, over the most that is possible.
+Every window of 64 bytes, of 16 and of 8 has an entropy, and windows of a size are ranked by the rarity of that entropy. Of the windows of
+64 and of 16 bytes, those next to each other compete, and the ones that win often enough are features: places that two versions of a text
+choose alike, wherever they moved. Of those of 8 bytes the 32 rarest different ones of the whole text are, so that short texts, and texts of
+filler, have features too; a text under 8 bytes is one feature. The same rules hold for texts of every length.
+
+Features are put, in the order of the text, into a chain of Bloom filters of 2,048 bits for each size, a new one begun after 160 features. Two
+digests are alike by the overlap of their filters' bits, less what chance gives, over the most that is possible.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import let, shuffle_width
 
-WINDOW, SMALL = 64, 16
+WINDOW, SMALL, TINY = 64, 16, 8
+CHAINS = 3
 #: Usual entropy of running text in a window of so many bytes.
-USUAL = {WINDOW: 4.1, SMALL: 3.3}
+USUAL = {WINDOW: 4.1, SMALL: 3.3, TINY: 2.7}
 #: A window is a feature if it is the rarest in this share of the runs of neighbouring windows that hold it (a run has as many windows as a window has bytes).
 POPULAR = 0.25
+#: So many windows of TINY bytes are features of a text, if it has as many different ones.
+RAREST = 32
 BITS, PER_FILTER, HASHES = 2048, 160, 5
 
 _STEPS = (np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * (1 << 16)).round().astype(np.int64)
@@ -30,7 +37,7 @@ _STEPS = (np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1))
 def _rarity_table(usual: float) -> np.ndarray:
     """Rank of each entropy in 1/256 bit, from 1: the further from the usual one in any direction, the rarer.
 
-    The spread is 0.25 bits. Windows of under one bit are filler (runs of one byte) and get 0, never chosen.
+    The spread is 0.25 bits. Windows of under one bit are filler (runs of one byte) and get 0: no features, but among those of TINY bytes where too few others are.
     """
     h = np.arange(6 * 256 + 1) / 256
     far = np.abs(h - usual) / 0.25
@@ -80,37 +87,56 @@ def _chosen(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     won = best[best > 0]
     at = n - (won & ((1 << 40) - 1))
     places = np.flatnonzero(np.bincount(at, minlength=n) >= POPULAR * window)
+    return (np.searchsorted(starts, places, "right") - 1 if len(starts) else places), _sum_of(x, places, window)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sum_of(x: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     h = np.full(len(places), window, np.uint64)
     for k in range(window):
         h += (x[places + k].astype(np.uint64) + np.uint64(1)) * _MIX[k]
-    return (np.searchsorted(starts, places, "right") - 1 if len(starts) else places), h
+    return h
+
+
+def _rarest(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit hash) of the RAREST rarest different windows of TINY bytes of each text, ties by hash; of a shorter text its whole."""
+    doc: list[np.ndarray] = []
+    out: list[np.ndarray] = []
+    for i, t in enumerate(texts):
+        x = np.frombuffer(t, np.uint8)
+        if len(x) < TINY:
+            h = _mixed(_sum_of(x, np.zeros(1, np.int64), len(x)))[: len(x)]
+        else:
+            h = _mixed(_sum_of(x, np.arange(len(x) - TINY + 1), TINY))
+            rank = _RARITY[TINY][_entropy(x, TINY)].astype(np.uint64)
+            # rank and 51 bits of the hash in one number: smallest first
+            key = np.sort(((np.uint64(8191) - rank) << np.uint64(51)) | (h >> np.uint64(13)))
+            h = _mixed(key[np.concatenate([[True], key[1:] != key[:-1]])][:RAREST])
+        doc.append(np.full(len(h), i))
+        out.append(h)
+    return np.concatenate([np.zeros(0, np.int64), *doc]), np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(chain, 64-bit hash) of the features of all texts: a text's chain 2 i has those of WINDOW bytes in order, 2 i + 1 those of SMALL ones, and the whole of a tiny one."""
+    """(chain, 64-bit hash) of the features of all texts: a text's chains 3 i, 3 i + 1 and 3 i + 2 have those of WINDOW, SMALL and TINY bytes."""
     doc, h = _chosen(texts, WINDOW)
     sub, more = _chosen(texts, SMALL)
-    tiny = [i for i, t in enumerate(texts) if 0 < len(t) < SMALL]
-    own = []
-    for i in tiny:
-        b = np.frombuffer(texts[i], np.uint8).astype(np.uint64) + np.uint64(1)
-        own.append((b * _MIX[: len(b)]).sum(dtype=np.uint64) ^ np.uint64(len(b)))
-    doc, h = np.concatenate([2 * doc, 2 * sub + 1, 2 * np.array(tiny, np.int64) + 1]), np.concatenate([h, more, np.array(own, np.uint64)])
+    low, least = _rarest(texts)
+    doc, h = np.concatenate([CHAINS * doc, CHAINS * sub + 1, CHAINS * low + 2]), np.concatenate([_mixed(h), _mixed(more), least])
     order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return doc, h
+    return doc[order], h[order]
 
 
 def digests(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text an array of filters (n, 256) of bytes; none for an empty text. A text of filler alone has one empty filter."""
+    """For each text an array of filters (n, 256) of bytes; none for an empty text, and at least one for any other."""
     chain, h = _features(texts)
-    count = np.bincount(chain, minlength=2 * len(texts)) if len(texts) else np.zeros(0, np.int64)
+    count = np.bincount(chain, minlength=CHAINS * len(texts)) if len(texts) else np.zeros(0, np.int64)
     filters = -(-count // PER_FILTER)
-    bare = np.array([len(t) > 0 for t in texts], bool) & (filters.reshape(-1, 2).sum(1) == 0) if len(texts) else np.zeros(0, bool)
-    filters[::2][bare] = 1
     base = np.concatenate([[0], np.cumsum(filters)]).astype(np.int64)
     within = np.arange(len(chain)) - np.concatenate([[0], np.cumsum(count)])[chain] if len(chain) else np.zeros(0, np.int64)
     slot = base[chain] + within // PER_FILTER if len(chain) else within
@@ -118,11 +144,11 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
     for k in range(HASHES):
         bits[slot, (h >> np.uint64(11 * k)) & np.uint64(BITS - 1)] = True
     packed = np.packbits(bits, axis=1)
-    return [packed[a:b] for a, b in zip(base[:-1:2], base[2::2])]
+    return [packed[a:b] for a, b in zip(base[:-1:CHAINS], base[CHAINS::CHAINS])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """From 0 to 1: each filter of the shorter digest with its best partner in the other, weighted by its bits. Two empty ones are alike."""
+    """From 0 to 1: each filter of the shorter digest with its best partner in the other, weighted by its bits. Two empty texts are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
@@ -138,7 +164,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         score = np.where(most > chance, (both - chance) / np.maximum(most - chance, 1e-9), 0.0)
         total += n * max(0.0, float(score.max()))
         weight += n
-    return min(1.0, total / weight) if weight else 0.0
+    return min(1.0, total / weight)
 
 
 def text_of(digest: np.ndarray) -> str:
@@ -161,38 +187,52 @@ def _reached(cuts: list[int], value: Column) -> Column:
 
 
 def in_order(docs: DataFrame, doc_id: str, text: str, buckets: int | None = None) -> DataFrame:
-    """Rows (bucket, doc_id, text, extra) sorted within partitions by bucket and falling doc_id, nulls last, then text.
+    """Rows (bucket, doc_id, text, extra) sorted within partitions by bucket and falling doc_id, nulls last, then by a hash of the text.
 
-    A bucket is a range of doc_ids. The first row of the next bucket, and after the last bucket the first row of all, comes again as the
-    extra last row of a bucket, so that each row finds its successor without a global window. One shuffle of the texts.
+    A bucket is a range of doc_ids; a doc_id, or null, that fills several has them by ranges of the text's hash. The first row of the next bucket,
+    and after the last bucket the first row of all, comes again as the extra last row of a bucket, so that each row finds its successor without
+    a global window. One shuffle of the texts.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(doc_id).cast("long").alias("d"))
     width = shuffle_width(spark)
     buckets = buckets or 4 * width
-    cuts = sorted({int(c) for c in ids.approxQuantile("d", [k / buckets for k in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
-    # bucket 0 holds the largest doc_ids; the last one the nulls too
-    bucket = F.lit(len(cuts)) - _reached(cuts, F.col("doc_id"))
+    every = Counter(int(c) for c in ids.approxQuantile("d", [k / buckets for k in range(1, buckets)], 0.2 / buckets)) if buckets > 1 else Counter()
+    size = ids.agg(F.count("*").alias("n"), F.count("d").alias("some")).first()
+    cuts = sorted(every)
+    # from above: for each cut the doc_ids over it up to the next, then, if it came up more than once, the cut itself in as many parts; nulls last
+    parts = [0, *(every[c] if every[c] > 1 else 0 for c in cuts)]  # by the number of cuts reached
+    first, n = [0] * len(parts), 0
+    for k in range(len(parts) - 1, -1, -1):
+        first[k], n = n, n + 1 + parts[k]
+    bare = max(1, -(-buckets * (size["n"] - size["some"]) // max(1, size["n"])))
+    look = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at)
+    slot = lambda k: (F.shiftright(F.shiftright("u", 32) * k, 31)).cast("int")  # noqa: E731  # which of k equal ranges of the hash
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket).cast("int"))
-    # at most one row for each bucket comes to the driver; the text is that which sorts first
-    firsts = rows.select("bucket", "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
-    firsts = sorted((r["bucket"], r["top"]) for r in firsts)
-    follow = {b: firsts[(i + 1) % len(firsts)] for i, (b, _) in enumerate(firsts)}
-    owner = {nb: b for b, (nb, _) in follow.items()}
+    rows = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("text"), 1))
+
+    def placed(r: Column) -> Column:
+        alone = (look(parts, r) > 0) & (F.col("doc_id") == look([0, *cuts], r))
+        return look(first, r) + F.when(alone, 1 + slot(look(parts, r))).otherwise(0)
+
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(n) + slot(F.lit(bare))).otherwise(let(_reached(cuts, F.col("doc_id")).cast("int"), placed)).cast("int"))
+    # at most one row for each bucket comes to the driver, without its text
+    tops = rows.select("bucket", F.struct(F.col("doc_id").isNull().alias("late"), F.bitwise_not("doc_id").alias("down"), "u").alias("k")).groupBy("bucket").agg(F.min("k").alias("k")).collect()
+    firsts = sorted((r["bucket"], None if r["k"]["late"] else ~r["k"]["down"], r["k"]["u"]) for r in tops) if tops else []
     if not firsts:
-        return rows.withColumn("extra", F.lit(False))
-    ends = spark.createDataFrame([(nb, top, owner[nb]) for nb, top in firsts], "nb int, top long, to int")
-    heads = rows.join(F.broadcast(ends), (F.col("bucket") == F.col("nb")) & F.col("doc_id").eqNullSafe(F.col("top")))  # one row for each bucket
+        return rows.select("bucket", "doc_id", "text", F.lit(False).alias("extra"))
+    ends = spark.createDataFrame([(nb, top, u, firsts[i - 1][0]) for i, (nb, top, u) in enumerate(firsts)], "nb int, top long, tu long, to int")
+    heads = rows.join(F.broadcast(ends), (F.col("bucket") == F.col("nb")) & F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("u") == F.col("tu")))  # one row for each bucket
     heads = heads.groupBy("to", "doc_id").agg(F.min("text").alias("text"))
-    both = rows.withColumn("extra", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("extra")))
-    return both.repartition(min(width, len(firsts)), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    both = rows.withColumn("extra", F.lit(False)).unionByName(heads.select("doc_id", "text", F.lit(0).cast("long").alias("u"), F.col("to").alias("bucket"), F.lit(True).alias("extra")))
+    dealt = both.repartition(min(width, len(firsts)), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "u", "text")
+    return dealt.select("bucket", "doc_id", "text", "extra")
 
 
 def compare_with_next(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """For each row the digests of its text and of the edited text, and their likeness; and that to the next document's.
 
-    Next: by falling doc_id, nulls last; rows with equal doc_id by text; after the last row the first. Edited: the last half of the code
+    Next: by falling doc_id, nulls last; rows with equal doc_id by a hash of the text; after the last row the first. Edited: the last half of the code
     points (rounded down) replaced by the first as many of the next document, or all it has. A null text counts as empty.
     """
 

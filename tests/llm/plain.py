@@ -94,3 +94,61 @@ def targets(sizes, weights=(5.0, 2.0, 1.0)):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def digest(text, mix, usual, share=0.25, rarest=32, bits=2048, per_filter=160, hashes=5):
+    """Filters (sets of bits) of a byte string, window by window."""
+    import math
+
+    mask = (1 << 64) - 1
+
+    def entropy(w):
+        total = sum(round(c * math.log2(c) * 65536) for c in Counter(w).values())
+        return (len(w).bit_length() - 1) * 256 - total // (len(w) << 8)
+
+    def rank(w):
+        h = entropy(w) / 256
+        return 0 if h < 1 else 1 + int(min(4000, abs(h - usual[len(w)]) / 0.25 * 400))
+
+    def mixed(h):
+        h ^= h >> 31
+        h = h * 0x9E3779B97F4A7C15 & mask
+        return h ^ h >> 29
+
+    def key(w):
+        return mixed((len(w) + sum((b + 1) * int(m) for b, m in zip(w, mix))) & mask)
+
+    chains = []
+    for size in (64, 16):
+        ranks = [rank(text[i : i + size]) for i in range(len(text) - size + 1)]
+        wins = Counter()
+        for start in range(1 - size, len(ranks)):
+            run = [(-ranks[i], i) for i in range(max(0, start), min(len(ranks), start + size)) if ranks[i]]
+            if run:
+                wins[min(run)[1]] += 1
+        chains.append([key(text[i : i + size]) for i in sorted(wins) if wins[i] >= share * size])
+    if len(text) >= 8:
+        best = sorted({(8191 - rank(text[i : i + 8])) << 51 | key(text[i : i + 8]) >> 13 for i in range(len(text) - 7)})
+        chains.append([mixed(k) for k in best[:rarest]])
+    else:
+        chains.append([key(text)] if text else [])
+    out = []
+    for c in chains:
+        for at in range(0, len(c), per_filter):
+            out.append({(h >> 11 * k) % bits for h in c[at : at + per_filter] for k in range(hashes)})
+    return out
+
+
+def likeness(a, b, bits=2048):
+    if not a or not b:
+        return float(not a and not b)
+    if a == b:
+        return 1.0
+    if len(a) > len(b):
+        a, b = b, a
+
+    def score(x, y):
+        chance, most = len(x) * len(y) / bits, max(len(x), len(y))
+        return max(0.0, (len(x & y) - chance) / (most - chance))
+
+    return sum(len(x) * max(score(x, y) for y in b) for x in a) / sum(map(len, a))
