@@ -5,7 +5,8 @@ Pages are grouped by host. A line is boilerplate of its host if it stands on at
 lines a page divided by ``ratio``, whatever the number of pages.
 
 A page is a row, or with ``distinct`` a different text: copies of one document then are one page, so that their own lines aren't
-taken for boilerplate.
+taken for boilerplate. Near copies are pages of their own; ``most`` keeps texts whole that would lose more than that share of their
+lines, as what such a text shares with others isn't the frame of a page but the page.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, unwrapped, wide_hash, wrapped
+from .common import WORD, let, unwrapped, wide_hash, wrapped
 
-RATIO = 0.1
+#: On a site's pages, what stands on one of fifty is part of the site; under three pages nothing is a habit, however few pages there are.
+RATIO = 0.02
 MIN_PAGES = 3
 
 
 def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    return F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
 
 
 def _blank(line: Column) -> Column:
@@ -33,9 +35,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     A page counts once for a line however often it repeats it; repeated rows are pages of their own unless ``distinct``. A null host is a host.
     """
     a, b = wide_hash(F.col("l"))
-    ta, tb = wide_hash(F.col(text))
+    ta, tb = wide_hash(F.col(f"`{text}`"))
     own = {"_ta": ta, "_tb": tb} if distinct else {}
-    pages = docs.select(F.col(host).alias("_host"), *[c.alias(n) for n, c in own.items()], F.array_distinct(F.filter(_lines(text), lambda s: ~_blank(s))).alias("ls"))
+    pages = docs.select(F.col(f"`{host}`").alias("_host"), *[c.alias(n) for n, c in own.items()], F.array_distinct(F.filter(_lines(text), lambda s: ~_blank(s))).alias("ls"))
     per = pages.select("_host", *own)
     lines = pages.select("_host", *own, F.explode("ls").alias("l")).select("_host", *own, a.alias("_a"), b.alias("_b"))
     if distinct:  # narrow rows of hashes, reduced where copies are read
@@ -46,30 +48,38 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return joined.where(F.col("n_pages") > F.lit(float(ratio)) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
-    """``docs`` with ``text`` lacking its host's boilerplate lines, and with ``_n_lines`` and ``_n_dropped`` (long).
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False, most: float = 1.0, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")
+) -> DataFrame:
+    """``docs`` with ``text`` lacking its host's boilerplate lines, and with the numbers of all its lines and of those dropped (long) in the columns
+    ``counts``, which replace columns of those names; None adds none.
 
     Columns of ``docs`` keep their names and places. A null text stays null and has one blank line; a text all of whose lines go
-    becomes empty; the rest of a text is unchanged, byte for byte. Each distinct (host, text) is looked up once, so that groups of
-    copies cost one row.
+    becomes empty; the rest of a text is unchanged, byte for byte. The places of dropped lines are looked up once for copies of a text in one
+    host, and a text is taken apart and put together once, however many of its lines go.
     """
-    ta, tb = wide_hash(F.col(text))
+    ta, tb = wide_hash(F.col(f"`{text}`"))
     la, lb = wide_hash(F.col("l"))
     found = boilerplate(docs, host, text, ratio, min_pages, distinct)
-    lines = (
-        docs.select(F.col(host).alias("_th"), ta.alias("_ta"), tb.alias("_tb"), F.array_distinct(F.filter(_lines(text), lambda s: ~_blank(s))).alias("ls"))
-        .select("_th", "_ta", "_tb", F.explode("ls").alias("l"))
-        .select("_th", "_ta", "_tb", la.alias("_la"), lb.alias("_lb"))
-    )
+    # hashed before it is taken apart, once a text
+    texts = docs.select(F.col(f"`{host}`").alias("_th"), ta.alias("_ta"), tb.alias("_tb"), _lines(text).alias("ls"))
+    lines = texts.select("_th", "_ta", "_tb", F.posexplode("ls").alias("at", "l")).where(~_blank(F.col("l"))).select("_th", "_ta", "_tb", "at", la.alias("_la"), lb.alias("_lb"))
     hit = lines.join(found.select("_host", "_a", "_b"), F.col("_th").eqNullSafe(F.col("_host")) & (F.col("_la") == F.col("_a")) & (F.col("_lb") == F.col("_b")))
-    drops = hit.groupBy("_th", "_ta", "_tb").agg(F.collect_set(F.struct(F.col("_la").alias("a"), F.col("_lb").alias("b"))).alias("_drops"))
-    rows = wrapped(docs, _hh=F.col(host), _t=F.col(text), _xa=ta, _xb=tb)
+    drops = hit.groupBy("_th", "_ta", "_tb").agg(F.sort_array(F.collect_set("at")).alias("_drops"))
+    rows = wrapped(docs, _hh=F.col(f"`{host}`"), _t=F.col(f"`{text}`"), _xa=ta, _xb=tb)
     out = rows.join(drops, F.col("_hh").eqNullSafe(F.col("_th")) & (F.col("_xa") == F.col("_ta")) & (F.col("_xb") == F.col("_tb")), "left")
-    keep = F.filter(_lines("_t"), lambda s: ~F.array_contains(F.col("_drops"), F.struct(wide_hash(s)[0].alias("a"), wide_hash(s)[1].alias("b"))))
+    if most < 1.0:
+        full = F.size(F.filter(_lines("_t"), lambda s: ~_blank(s)))
+        out = out.withColumn("_drops", F.when(F.size("_drops") <= F.lit(float(most)) * full, F.col("_drops")))
     has = F.col("_drops").isNotNull()
-    kept = out.withColumn("_keep", F.when(has, keep))
-    return kept.select(
-        *unwrapped(docs, {text: F.when(has, F.array_join("_keep", "\n")).otherwise(F.col("_t"))}),
-        F.size(_lines("_t")).cast("long").alias("_n_lines"),
-        F.when(has, F.size(_lines("_t")) - F.size("_keep")).otherwise(F.lit(0)).cast("long").alias("_n_dropped"),
-    )
+
+    def others(ls: Column) -> Column:
+        """The lines at other places; places are compared as numbers, by a hash table."""
+        places = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_drops"))
+        return F.transform(places, lambda k: F.get(ls, k))
+
+    kept = unwrapped(docs, {text: F.when(has, F.array_join(let(_lines("_t"), others), "\n")).otherwise(F.col("_t"))})
+    if counts is None:
+        return out.select(*kept)
+    own = [c for c, n in zip(kept, docs.columns) if n not in counts]
+    return out.select(*own, F.size(_lines("_t")).cast("long").alias(counts[0]), F.when(has, F.size("_drops")).otherwise(F.lit(0)).cast("long").alias(counts[1]))

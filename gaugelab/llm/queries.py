@@ -12,11 +12,11 @@ from .common import table
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == list(secrets.KINDS).index(kind))).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_live", "n_example")
+    return out.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), "n_live", "n_example", "most_owners", "most_repos")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"), distinct=True)
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
@@ -79,11 +79,11 @@ m AS ({found}),
 e AS (SELECT r, kind, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM m),
 s AS (SELECT r, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(ms[i]) AS n, vs[i] AS v FROM e),
 f AS (SELECT r, kind, a, a + n AS b, sha256(v) AS h FROM s WHERE {passes}),
-owned AS (SELECT h, count(DISTINCT owner) AS owners FROM f JOIN d ON f.r = d.r GROUP BY h),
-g AS (SELECT f.*, owners <= {secrets.MOST_OWNERS} AS live FROM f JOIN owned ON f.h = owned.h),
+owned AS (SELECT h, count(DISTINCT owner) AS owners, count(DISTINCT (owner, t)) AS repos FROM f JOIN d ON f.r = d.r GROUP BY h),
+g AS (SELECT f.*, owners, repos, owners <= {secrets.MOST_OWNERS} AND repos <= {secrets.MOST_REPOS} AS live FROM f JOIN owned ON f.h = owned.h),
 per AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))}, {listed} FILTER (kind < {n}) AS base, {listed} FILTER (kind < {n} OR live) AS spans,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM g GROUP BY r)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS most_owners, max(repos) AS most_repos FROM g GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN per ON d.r = per.r
 """
 
@@ -92,8 +92,8 @@ _HAS_WORD = r"regexp_matches({}, '[^\x20\x09-\x0D]')"
 
 _OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT DISTINCT r, source, line FROM (SELECT r, source, unnest(ls) AS line FROM d) WHERE {_HAS_WORD.format("line")}),
-totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+lines AS (SELECT DISTINCT source, text, line FROM (SELECT source, text, unnest(ls) AS line FROM d) WHERE {_HAS_WORD.format("line")}),
+totals AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM d) GROUP BY source),
 bad AS (SELECT c.source, list(line) AS drops FROM (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line) c
   JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= {lines.MIN_PAGES} AND n > {lines.RATIO}::DOUBLE * pages GROUP BY c.source),
 k AS (SELECT doc_id, d.source, text, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(drops, x), false)) AS kept FROM d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)

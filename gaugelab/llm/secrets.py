@@ -1,9 +1,12 @@
 """Secret scans with corpus-wide ownership frequency (DataFrame expressions only).
 
 Each text is searched once. Base kinds are reported wherever they match. Two further kinds are candidates: keys in the format of a known
-issuer, and opaque strings of mixed letters and digits. What decides on a candidate is who owns it: its hash is counted over the corpus by
-distinct owners and repositories, and a value that several owners hold is a widely copied example, while one that a single owner holds
-looks live. Live-looking candidates become spans; base spans are graded the same way but always stay.
+issuer, and opaque strings of mixed letters and digits. What decides on a candidate is who holds it: its hash is counted over the corpus by
+distinct owners and distinct repositories, and a value that many of either hold is a widely copied example, while one that few hold looks
+live. Live-looking candidates become spans; base spans are graded the same way but always stay.
+
+A repository is one owner's body of work that may be copied as a whole. Where no column names it, it is a different text of an owner: copies
+of one document, as forks are, count once for each owner.
 """
 
 from __future__ import annotations
@@ -26,12 +29,35 @@ FURTHER = {
 #: What a value of a kind holds besides.
 HOLDS = {"opaque": ("[0-9]", "[A-Z]", "[a-z]")}
 KINDS = BASE | FURTHER
-#: A value that more owners hold is an example.
-MOST_OWNERS = 1
+#: A value that more owners, or more repositories, hold is an example. A few of each are copies and moves of the real thing.
+MOST_OWNERS, MOST_REPOS = 3, 3
 
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def _running(sizes: Column, block: int = 64) -> Column:
+    """Sums of an array of numbers up to and with each, in blocks: the work grows with the array, not with its square.
+
+    Places are read one by one, as a slice of an array costs the whole array.
+    """
+    zero = F.lit(0).cast("long")
+
+    def over(a: Column) -> Column:
+        total = lambda lo, hi: F.aggregate(F.sequence(lo, hi), zero, lambda x, k: x + F.get(a, k))
+        last = F.size(a) - 1
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(last / F.lit(block)).cast("int")), lambda b: total(b * block, F.least(last, b * block + (block - 1))))
+
+        def joined(parts: Column) -> Column:
+            step = lambda acc, p: F.struct((acc["at"] + p).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+            before = F.aggregate(parts, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), step)["out"]
+            each = lambda starts: F.transform(a, lambda _, i: F.get(starts, F.floor(i / F.lit(block)).cast("int")) + total(i - i % block, i))
+            return let(before, each)
+
+        return let(blocks, joined)
+
+    return let(sizes, over)
+
+
 def _found(text: Column, kind: str) -> Column:
     """Leftmost matches that don't overlap, as an array of spans in code points; those whose value is too short are dropped afterwards.
 
@@ -44,15 +70,16 @@ def _found(text: Column, kind: str) -> Column:
     parts = F.struct(F.split(text, pattern, -1).alias("gap"), every(0).alias("match"), every(group).alias("value"))
 
     def place(p: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        ends = _running(F.transform(p["match"], lambda m, i: (F.char_length(F.get(p["gap"], i)) + F.char_length(m)).cast("long")))
+
+        def spans(e: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                end = F.get(e, i).cast("int")
+                return F.struct((end - F.char_length(m)).alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.get(p["value"], i).alias("value"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(p["gap"], i))
-            end = start + F.char_length(F.get(p["match"], i))
-            span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), F.get(p["value"], i).alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            return F.transform(p["match"], span)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["match"]) - 1), zero, step)["out"]
+        return let(ends, spans)
 
     def counts(s: Column) -> Column:
         ok = F.char_length(s["value"]) >= least
@@ -79,21 +106,24 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return pairs.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo="lang", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row for each row of ``docs``: ``(doc_id, base, spans, n_live, n_example)``.
+def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo: str | None = None, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """One row for each row of ``docs``: ``(doc_id, base, spans, n_live, n_example, most_owners, most_repos)``.
 
     ``base`` and ``spans`` are arrays of (start, kind, end, hash); ``spans`` are the base spans and the live-looking candidates. ``n_live`` and
-    ``n_example`` count the values by ownership. A null text counts as empty; documents without owner share one; repeated rows each get theirs.
-    Values themselves leave the scan as SHA-256 hashes only.
+    ``n_example`` count the values by ownership, and the last two tell how many owners and repositories the most copied value of the row has (0
+    without values). ``repo`` is a column, or None for the text itself. A null text counts as empty; documents without owner count as one
+    owner's, so that only their repositories tell an example among them; repeated rows each get theirs. Values themselves leave the scan as
+    SHA-256 hashes only. The work on a text grows with its length and its matches.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def search(x: Column) -> Column:
         return F.concat(*[_found(x, k) for k in KINDS])
 
     hashed = F.transform(let(t, search), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
-    who = F.coalesce(F.col(owner).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), who.alias("owner"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), hashed.alias("all"))
+    who = F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit(""))
+    work = F.md5(t) if repo is None else F.coalesce(F.col(f"`{repo}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), who.alias("owner"), work.alias("repo"), hashed.alias("all"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "secrets-spans")  # written, so that row numbers stay
 
     n_base = len(BASE)
@@ -102,12 +132,14 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo="la
     each = some.select("row", "owner", "repo", F.explode("all").alias("s"))
     owned = ownership(each.select(F.col("s.hash").alias("hash"), "owner", "repo"))
     graded = each.select("row", "s", F.col("s.hash").alias("hash")).join(owned, "hash")
-    live = F.col("n_owners") <= most_owners
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
     per = graded.groupBy("row").agg(
         F.collect_list(F.when((F.col("s.kind") < n_base) | live, F.col("s"))).alias("spans"),
         F.sum(live.cast("long")).alias("n_live"),
         F.sum((~live).cast("long")).alias("n_example"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repos").alias("most_repos"),
     )
-    cols = ["doc_id", base.alias("base"), "spans", "n_live", "n_example"]
-    nothing = rows.where(F.size("all") == 0).select("doc_id", F.col("all").alias("base"), F.col("all").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    return some.join(per, "row").select(*cols).unionAll(nothing)
+    counts = ["n_live", "n_example", "most_owners", "most_repos"]
+    nothing = rows.where(F.size("all") == 0).select("doc_id", F.col("all").alias("base"), F.col("all").alias("spans"), *[F.lit(0).cast("long").alias(c) for c in counts])
+    return some.join(per, "row").select("doc_id", base.alias("base"), "spans", *counts).unionAll(nothing)
