@@ -19,19 +19,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on a large part of their source's different texts go; n_chars follows the text. Copies of a text keep their lines."""
-    out = lines.drop_boilerplate(docs, distinct=True)
+    """Lines that stand on a large part of their source's different texts go; n_chars follows the text. Copies of a text keep their lines, and so
+    does a text that would lose over half of them, as near copies would: the next stage keeps one of those."""
+    out = lines.drop_boilerplate(docs, distinct=True, most=0.5, counts=None)
     return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs).select(docs.columns)
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
