@@ -1,16 +1,17 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Documents become token ids; only those longer than a sequence are cut. Pieces are dealt into shards of bounded size. A shard's packing
-problem is solved by islands: each keeps a population of packings (lists of bins), and crossover injects whole well-filled bins of one
-parent into the other, removes the bins that hold duplicates, and best-fits the documents so displaced. After each epoch an island's
-elite migrates to the next island, through a shuffle on the shard. Bins that stay badly filled are dissolved and packed again, for
-groups of shards together.
+problem begins with best-fit decreasing; bins that this fills tightly are done, and the rest is solved by islands. Each keeps a population of
+different packings (lists of bins). Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold
+duplicates, lets the documents so displaced take the place of smaller ones where they fill a bin better, and best-fits what is then left.
+After each epoch an island's elite migrates to the next island, through a shuffle on the shard. Bins that stay badly filled are dissolved and
+packed again, for groups of shards together.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,9 @@ from .tokens import default_tokenizer, encoded
 CAPACITY = 4096
 END_ID = 1
 SHARD_ITEMS = 3000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2, 2, 3, 4, 2
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2, 2, 12, 5, 2
+#: Bins of the first packing that are filled so far are done, but for a quarter of all bins at least.
+TIGHT, LEAST_OPEN = 0.998, 0.25
 #: Bins filled less than this are packed again, for so many shards at a time.
 LOOSE, LOOSE_SHARDS = 0.97, 16
 
@@ -90,25 +93,82 @@ def fitness(bin_of: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     return float(((loads / capacity) ** 2).mean())
 
 
+def settle(lengths: np.ndarray, capacity: int, child: np.ndarray, loads: list[int], displaced: list[int]) -> np.ndarray:
+    """Puts ``displaced`` items into ``child``: first each bin gives up one item or two for a larger one that fills it better, then best fit, longest first."""
+    size = lengths.tolist()
+    held: list[list[int]] = [[] for _ in loads]
+    for i in np.flatnonzero(child >= 0).tolist():
+        held[child[i]].append(i)
+    free = sorted((size[i], i) for i in displaced)
+
+    def better(k: int, gone: int, room: int) -> bool:
+        """Is there a displaced item over ``gone`` that ``room`` holds? Then it is put in."""
+        at = bisect_right(free, (room, len(size))) - 1
+        if at < 0 or free[at][0] <= gone:
+            return False
+        n, i = free.pop(at)
+        held[k].append(i)
+        child[i] = k
+        loads[k] += n - gone
+        return True
+
+    for k in sorted(range(len(loads)), key=lambda k: loads[k]):
+        if not free:
+            break
+        gap = capacity - loads[k]
+        if not gap:
+            continue
+        own = sorted(held[k], key=lambda i: size[i])
+        out: tuple[int, ...] = ()
+        for i in own:
+            if better(k, size[i], size[i] + gap):
+                out = (i,)
+                break
+        else:
+            for x, i in enumerate(own[:4]):
+                if any(better(k, size[i] + size[j], size[i] + size[j] + gap) and (out := (i, j)) for j in own[x + 1 : 5]):
+                    break
+        for i in out:
+            child[i] = -1
+            held[k].remove(i)
+            insort(free, (size[i], i))
+    return best_fit(lengths, capacity, [i for _, i in reversed(free)], child, loads)
+
+
 def cross(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng) -> np.ndarray:
     """A child of ``a`` with a share of the best-filled bins of ``b``."""
     fill = np.bincount(b, weights=lengths)
     full = np.argsort(-fill + rng.random(len(fill)) * 0.02 * capacity, kind="stable")
     chosen = np.zeros(len(fill), bool)
-    chosen[full[: max(1, int(len(fill) * rng.uniform(0.2, 0.6)))]] = True
+    chosen[full[: max(1, int(len(fill) * rng.uniform(0.1, 0.5)))]] = True
     injected = chosen[b]
     spoiled = np.zeros(a.max() + 1, bool)
     spoiled[a[injected]] = True
-    stay = ~injected & ~spoiled[a]
+    return _refilled(a, np.where(injected, b, -1), ~injected & ~spoiled[a], lengths, capacity)
+
+
+def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng) -> np.ndarray:
+    """``a`` with its loosest bins, and as many others, packed anew."""
+    fill = np.bincount(a, weights=lengths)
+    n = max(1, int(len(fill) * rng.uniform(0.02, 0.1)))
+    gone = np.zeros(len(fill), bool)
+    gone[np.argsort(fill, kind="stable")[:n]] = True
+    gone[rng.integers(0, len(fill), n)] = True
+    return _refilled(a, np.full(len(a), -1), ~gone[a], lengths, capacity)
+
+
+def _refilled(a: np.ndarray, injected: np.ndarray, stay: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     child = np.full(len(a), -1)
-    _, child[injected] = np.unique(b[injected], return_inverse=True)
-    n = int(child.max()) + 1
-    if stay.any():
-        _, own = np.unique(a[stay], return_inverse=True)
-        child[stay] = own + n
+    n = 0
+    for own, kept in ((injected, injected >= 0), (a, stay)):
+        if kept.any():
+            _, at = np.unique(own[kept], return_inverse=True)
+            child[kept] = at + n
+            n = int(at.max()) + 1 + n
     placed = child >= 0
-    loads = np.bincount(child[placed], weights=lengths[placed]).astype(int).tolist()
-    return best_fit(lengths, capacity, np.flatnonzero(~placed).tolist(), child, loads)
+    loads = np.bincount(child[placed], weights=lengths[placed], minlength=n).astype(int).tolist()
+    child = settle(lengths, capacity, child, loads, np.flatnonzero(~placed).tolist())
+    return np.unique(child, return_inverse=True)[1]
 
 
 def first_population(lengths: np.ndarray, capacity: int, size: int, rng) -> list[np.ndarray]:
@@ -124,17 +184,34 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return -(-int(lengths.sum()) // capacity)
 
 
+def open_items(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit decreasing, and which items lie in bins that are not done."""
+    first = best_fit(lengths, capacity)
+    fill = np.bincount(first, weights=lengths)
+    done = fill >= TIGHT * capacity
+    done[np.argsort(fill, kind="stable")[: max(1, int(np.ceil(LEAST_OPEN * len(fill))))]] = False
+    return first, ~done[first]
+
+
 def evolve(pop: list[np.ndarray], lengths: np.ndarray, capacity: int, generations: int, rng) -> list[np.ndarray]:
-    """The population after so many generations, best first. Stops at a packing that no other can beat."""
-    size, floor = len(pop), least_bins(lengths, capacity)
-    score = lambda x: -fitness(x, lengths, capacity)
-    pop = sorted(pop, key=score)
+    """The population after so many generations, best first and no two alike in their fill. Stops at a packing that no other can beat: all bins full but one."""
+    size = len(pop)
+    ranked: dict[float, np.ndarray] = {}
+    add = lambda x: ranked.setdefault(round(fitness(x, lengths, capacity), 12), x)
+    for x in pop:
+        add(x)
     for _ in range(generations):
-        if pop[0].max() + 1 <= floor:
+        best = sorted(ranked, reverse=True)
+        if (np.bincount(ranked[best[0]], weights=lengths) < capacity).sum() <= 1:
             break
-        i, j = rng.permutation(size)[:2] if size > 1 else (0, 0)
-        pop = sorted([*pop, cross(pop[i], pop[j], lengths, capacity, rng), cross(pop[j], pop[i], lengths, capacity, rng)], key=score)[:size]
-    return pop
+        parents = [ranked[k] for k in best]
+        if len(parents) > 1:
+            i, j = rng.permutation(len(parents))[:2]
+            add(cross(parents[i], parents[j], lengths, capacity, rng))
+            add(cross(parents[j], parents[i], lengths, capacity, rng))
+        add(mutate(parents[int(rng.integers(len(parents)))], lengths, capacity, rng))
+        ranked = {k: ranked[k] for k in sorted(ranked, reverse=True)[:size]}
+    return [ranked[k] for k in sorted(ranked, reverse=True)]
 
 
 _STATE = "shard long, island int, lengths binary, pop array<binary>"
@@ -157,7 +234,8 @@ def solve(items: DataFrame, capacity=CAPACITY, seed: int = 1, islands=ISLANDS, e
 
     def begin(f: pd.DataFrame) -> pd.DataFrame:
         shard, lengths = int(f["shard"].iloc[0]), ordered(f)["length"].to_numpy()
-        rows = [(shard, k, lengths.astype("<i4").tobytes(), _pack(first_population(lengths, capacity, population if k else 1, np.random.default_rng([seed, shard, k])))) for k in range(islands)]
+        lengths = lengths[open_items(lengths, capacity)[1]]
+        rows = [(shard, k, lengths.astype("<i4").tobytes(), _pack(first_population(lengths, capacity, population, np.random.default_rng([seed, shard, k])))) for k in range(islands)]
         return pd.DataFrame(rows, columns=["shard", "island", "lengths", "pop"])
 
     def step(epoch):
@@ -180,14 +258,18 @@ def solve(items: DataFrame, capacity=CAPACITY, seed: int = 1, islands=ISLANDS, e
 
     state = items.select("uid", "shard", "length").repartition(width, "shard").groupBy("shard").applyInPandas(begin, _STATE)
     for epoch in range(epochs):
+        if epoch:
+            state = state.repartition(width, "shard").groupBy("shard").applyInPandas(migrate, _STATE)
         state = state.repartition(width, "shard", "island").mapInPandas(step(epoch), _STATE)
-        state = state.repartition(width, "shard").groupBy("shard").applyInPandas(migrate, _STATE)
 
     def place(own: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         own = ordered(own)
         lengths = own["length"].to_numpy()
-        best = min((x for p in states["pop"] for x in _unpack(p)), key=lambda x: (x.max(), -fitness(x, lengths, capacity)))
-        return pd.DataFrame({"uid": own["uid"], "shard": own["shard"], "bin": best})
+        first, free = open_items(lengths, capacity)
+        best = min((x for p in states["pop"] for x in _unpack(p)), key=lambda x: (x.max(), -fitness(x, lengths[free], capacity)))
+        done = first.copy()
+        done[free] = best + first.max() + 1
+        return pd.DataFrame({"uid": own["uid"], "shard": own["shard"], "bin": done})
 
     left = items.select("uid", "shard", "length").repartition(width, "shard").groupBy("shard")
     return left.cogroup(state.groupBy("shard")).applyInPandas(place, "uid long, shard long, bin long")
