@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, unwrapped, wide_hash, wrapped
+from .common import discard, materialize, shuffle_width, unwrapped, wide_hash, wrapped
 
 SHINGLE = 3
 LOW = np.uint64(0xFFFFFFFF)
@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 fp = _fingerprints(part.column(3).cast(pa.binary()).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fp.view(np.int64))], ["doc_id", "ta", "tb", "fp"])
 
-    ta, tb = wide_hash(F.col(text))
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), ta.alias("ta"), tb.alias("tb"), F.col(text).alias("text"))
+    ta, tb = wide_hash(F.col(f"`{text}`"))
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), ta.alias("ta"), tb.alias("tb"), F.col(f"`{text}`").alias("text"))
     return src.mapInArrow(run, "doc_id long, ta long, tb long, fp long")
 
 
@@ -173,29 +173,46 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with ``_salt``: those of any key are dealt to as many groups as there are partitions."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(shuffle_width(rows.sparkSession))))
+
+
+def _looked_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Rows (with ``_salt``) joined with ``found``, which has one row a key. It is sent to each of a key's groups, at most as many as there are partitions."""
+    groups = rows.select(key, "_salt").distinct().join(found, key)
+    return rows.join(groups, [key, "_salt"]).drop("_salt")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``(a, b, m)``: with each edge the smallest b of its a. A node of very many edges is worked on in groups."""
+    dealt = _dealt(edges, "b")
+    least = dealt.groupBy("a", "_salt").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
+    return _looked_up(dealt, "a", least)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (a, b): root is the component's smallest member.
 
-    Alternating large-star and small-star rounds: each halves the distances to the root or better, and every round's edges are written to the
-    shared folder. Nothing but a count and a checksum of a round comes to the driver.
+    Alternating large-star and small-star rounds, until nothing changes: each halves the distances to the root or better, and every round's
+    edges are written to the shared folder, and the round before is deleted. Nothing but a count and a checksum of a round comes to the driver.
     """
-    now = edges.select(F.col("a"), F.col("b"))
-    now = materialize(now.where("a <> b"), "simhash-edges")
+    now = materialize(edges.select("a", "b").where("a <> b"), "simhash-edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # large star: each node sends its larger neighbours to its smallest neighbour (or itself)
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
         # small star: each node sends its smaller neighbours and itself to the smallest of them
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), "simhash-edges")
+        small = _with_least(large)
+        moved = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        new = materialize(moved.where("a <> b").distinct(), "simhash-edges")
+        discard(now)
+        now = new
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-    raise RuntimeError("components did not settle")
 
 
 def _classes_of(known: DataFrame) -> DataFrame:
@@ -204,7 +221,8 @@ def _classes_of(known: DataFrame) -> DataFrame:
     comp = components(links(least.select("fp")))
     comp = materialize(comp.unionAll(comp.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
     tops = comp.join(least, "fp").groupBy("root").agg(F.min("least").alias("top"))
-    of = least.join(comp.join(tops, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
+    topped = _looked_up(_dealt(comp, "fp"), "root", tops)  # a component may hold a large part of all fingerprints
+    of = least.join(topped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
     return materialize(of, "simhash-classes")  # so that a join with many documents of one fingerprint reads two plain exchanges, which Spark can split
 
 
@@ -227,8 +245,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     least = per.join(_classes_of(known).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k"))
     keep = least.select(F.col("k.doc_id").alias("_d"), F.col("k.ta").alias("_ta"), F.col("k.tb").alias("_tb"), F.col("k.n").alias("_n"))
     keep = materialize(keep, "simhash-keep")
-    ta, tb = wide_hash(F.col(text))
-    rows = wrapped(docs, _id=F.col(doc_id).cast("long"), _xa=ta, _xb=tb)
+    ta, tb = wide_hash(F.col(f"`{text}`"))
+    rows = wrapped(docs, _id=F.col(f"`{doc_id}`").cast("long"), _xa=ta, _xb=tb)
     out = rows.join(keep, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_xa") == F.col("_ta")) & (F.col("_xb") == F.col("_tb")))
     again = out.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("_d", "_ta", "_tb").orderBy("_n")))
     return out.where("_n = 1").select(unwrapped(docs)).unionByName(again.where("_r = 1").select(unwrapped(docs)))
