@@ -4,22 +4,17 @@ Every rule is evaluated once for each document. The ledger keeps the measurement
 version with a mask of the rules that reject, so that policies are applied, compared and ablated by bitwise operations on the ledger
 without reading a text again.
 
-Abuse in other languages than the fixed words' is known by stems that are learned from labelled documents, language by language
-(``learn_stems``). A ledger without stems never fails their rule.
+Abuse is known by stems that are learned from labelled documents, language by language (``learn_stems``); no word is written down here. A
+ledger without stems never fails their rule.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, let, materialize, unwrapped, words_of, wrapped
 
-#: Words that mark abuse; fixed values.
-ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-
 #: Rule name -> failure, as a function of the measurements. The place in this table is the bit; rules are only ever appended.
 RULES = {
     "too_few_words": lambda m: m["n_words"] < 50,
@@ -30,7 +25,6 @@ RULES = {
     "bang_heavy": lambda m: 2 * m["n_bangs"] > m["n_words"],
     "odd_word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
-    "abusive": lambda m: (m["n_abuse"] >= 3) & (1000 * m["n_abuse"] >= 5 * m["n_words"]),
     "abusive_stems": lambda m: (m["n_stems"] >= 3) & (1000 * m["n_stems"] >= 5 * m["n_words"]),
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
@@ -41,25 +35,26 @@ def mask(*names: str) -> int:
     return sum(BIT[n] for n in names)
 
 
-#: Versions are never edited, only added.
+#: Versions are never edited, only added. web-2 and web-3 had a rule of fixed words, which is gone with them.
 POLICIES = {
     "base-1": BASE_MASK,
     "web-1": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letters", "shouting", "bang_heavy", "odd_word_length", "repeated_lines"),
-    "web-2": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letters", "shouting", "bang_heavy", "odd_word_length", "repeated_lines", "abusive"),
-    "web-3": mask(*RULES),
+    "web-4": mask(*RULES),
 }
-CURRENT = "web-2"
-#: The policy for ledgers with learned stems.
-LEARNED = "web-3"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_bangs", "n_abuse", "n_stems")
+CURRENT = LEARNED = "web-4"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_bangs", "n_stems")
 
 #: Labelled documents that stems are learned from, at most about so many of each class, chosen by a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: A stem is the first so many letters of a word.
 STEM = (4, 5, 6, 7)
-#: A stem marks abuse if it is in so many toxic documents of its language and in this share of them, with a share of the words so many times that of clean ones.
-STEM_DOCS, STEM_SHARE, STEM_RATIO = 4, 0.03, 15
+#: A stem marks abuse if it is in so many toxic documents of its language and in so many hundredths of them, with a share of the words so many times that of clean ones.
+STEM_DOCS, STEM_HUNDREDTHS, STEM_RATIO = 4, 3, 15
+#: What counts as a document's whole share, and what is added to the share in clean documents, in parts of a whole one.
+WHOLE, FLOOR = 10_000, 200
 _LETTERS = r"[\p{L}\p{N}_]+"
+#: Places that a hash gives a doc_id for the choice of the sample.
+_GRAIN = 1 << 20
 
 
 def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str | None, list[str]]:
@@ -72,23 +67,24 @@ def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     size = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     if not size.get(1):
         return {}
-    grain = 1 << 20
-    part = lambda y, most: F.lit(min(grain, grain * most // max(1, size.get(y, 0)) + 1))
-    chosen = known.where(F.pmod(F.xxhash64("_d"), F.lit(grain)) < F.when(F.col("_toxic") == 1, part(1, MOST_TOXIC)).otherwise(part(0, MOST_CLEAN)))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    part = lambda y, most: F.lit(_GRAIN * most // max(1, size.get(y, 0)) + 1)
+    place = F.conv(F.substring(F.md5(F.col("_d").cast("string")), 1, 5), 16, 10).cast("int")
+    chosen = known.where(place < F.when(F.col("_toxic") == 1, part(1, MOST_TOXIC)).otherwise(part(0, MOST_CLEAN)))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = materialize(rows.join(F.broadcast(chosen), "_d"), "quality-labelled")  # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast; no text is parted before it is chosen
     rows = rows.withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).drop("text").where(F.size("ws") >= 20)
     n = {(r["lang"], r["_toxic"]): r["count"] for r in rows.groupBy("lang", "_toxic").count().collect()}
     each = rows.select("_d", "lang", "_toxic", F.size("ws").alias("n"), F.explode(F.flatten(F.transform("ws", lambda w: F.array(*[F.when(F.char_length(w) >= j, F.left(w, F.lit(j))) for j in STEM])))).alias("stem")).where("stem IS NOT NULL")
-    share = each.groupBy("_d", "lang", "_toxic", "n", "stem").agg(F.least(F.lit(1.0), 20 * F.count("*") / F.col("n")).alias("share"))
+    # whole numbers, so that no order of adding up matters
+    share = each.groupBy("_d", "lang", "_toxic", "n", "stem").agg(F.least(F.lit(WHOLE).cast("long"), F.floor(20 * WHOLE * F.count("*") / F.col("n"))).alias("share"))
     toxic = F.col("_toxic") == 1
-    sums = share.groupBy("lang", "stem").agg(*[F.sum(F.when(c, v).otherwise(F.lit(0.0))).alias(k) for k, c, v in (("hit", toxic, F.col("share")), ("base", ~toxic, F.col("share")), ("n_hit", toxic, F.lit(1.0)), ("n_base", ~toxic, F.lit(1.0)))])
+    sums = share.groupBy("lang", "stem").agg(*[F.sum(F.when(c, v).otherwise(F.lit(0).cast("long"))).alias(k) for k, c, v in (("hit", toxic, F.col("share")), ("base", ~toxic, F.col("share")), ("n_hit", toxic, F.lit(1)), ("n_base", ~toxic, F.lit(1)))])
     bad, good = F.lit(1), F.lit(1)
     for (k, y), c in n.items():
         own = F.col("lang").eqNullSafe(F.lit(k))
         bad, good = (F.when(own, F.lit(c)).otherwise(bad), good) if y == 1 else (bad, F.when(own, F.lit(c)).otherwise(good))
-    often = F.col("n_hit") >= F.greatest(F.lit(float(STEM_DOCS)), STEM_SHARE * bad)
-    marks = often & (F.col("hit") / bad >= STEM_RATIO * (F.col("base") + 0.02) / good) & (F.col("n_hit") / bad >= 3 * F.col("n_base") / good)
+    often = (F.col("n_hit") >= STEM_DOCS) & (100 * F.col("n_hit") >= STEM_HUNDREDTHS * bad)
+    marks = often & (F.col("hit") * good >= STEM_RATIO * (F.col("base") + FLOOR) * bad) & (F.col("n_hit") * good >= 3 * F.col("n_base") * bad)
     out: dict[str | None, list[str]] = {}
     for r in sums.where(marks).select("lang", "stem").collect():
         out.setdefault(r["lang"], []).append(r["stem"])
@@ -127,14 +123,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are runs of anything but the six ASCII blanks; lines are parted by ``\\n`` and count if they hold a word; marks are the visible
     ASCII characters that aren't letters, upper-case letters those from A to Z.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def of(p: Column) -> Column:
         x, ws = p["t"], p["w"]
         size = F.char_length(x)
         count = lambda kept, alias: (size - F.char_length(kept)).cast("long").alias(alias)
         lines = F.filter(F.split(x, "\n", -1), lambda s: s.rlike(WORD))
-        abuse = F.when(let(F.lower(x), lambda v: reduce(lambda a, b: a | b, [v.contains(w) for w in ABUSE])), F.regexp_count(x, F.lit(rf"(?i)\b(?:{'|'.join(ABUSE)})\b"))).otherwise(0)
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
             F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
@@ -144,33 +139,37 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             count(F.regexp_replace(x, r"[!-@\[-`{-~]+", ""), "n_marks"),
             count(F.regexp_replace(x, r"[A-Z]+", ""), "n_upper"),
             count(F.replace(x, F.lit("!"), F.lit("")), "n_bangs"),
-            abuse.cast("long").alias("n_abuse"),
         )
 
-    return docs.withColumn("_m", let(F.struct(t.alias("t"), words_of(F.col(text)).alias("w")), of))
+    return docs.withColumn("_m", let(F.struct(t.alias("t"), words_of(F.col(f"`{text}`")).alias("w")), of))
 
 
 def ledger(docs: DataFrame, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
-    """``docs`` with the measurements as columns of ``measures`` and the failure bits ``failed`` (long). ``stems`` by ``lang`` as ``learn_stems`` gives them."""
+    """``docs`` with the measurements as columns of ``measures`` and the failure bits ``failed`` (long); columns of those names are replaced. ``stems`` by ``lang`` as ``learn_stems`` gives them.
+
+    A null text counts as empty and fails for its few words; repeated rows are judged each for itself.
+    """
     m = F.col("_m")
     parts = {"n_dup_lines": m["lines"]["dup"], "n_lines": m["lines"]["all"]}
-    parts["n_stems"] = _stem_count(F.coalesce(F.col(text), F.lit("")), F.col(lang), stems) if stems else F.lit(0).cast("long")
-    out = measure(docs, text).withColumn("measures", F.struct(*[(parts[k] if k in parts else m[k]).alias(k) for k in MEASURES])).drop("_m")
-    bits = [F.when(rule(F.col("measures")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
+    parts["n_stems"] = _stem_count(F.coalesce(F.col("_text"), F.lit("")), F.col("_lang"), stems) if stems else F.lit(0).cast("long")
+    own = {"_text": F.col(f"`{text}`")} | ({"_lang": F.col(f"`{lang}`")} if stems else {})
+    kept = [c for c, n in zip(unwrapped(docs), docs.columns) if n not in ("measures", "failed")]
+    out = measure(wrapped(docs, **own), "_text").withColumn("_measures", F.struct(*[(parts[k] if k in parts else m[k]).alias(k) for k in MEASURES]))
+    bits = [F.when(rule(F.col("_measures")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return out.withColumn("failed", failed.cast("long"))
+    return out.select(*kept, F.col("_measures").alias("measures"), failed.cast("long").alias("failed"))
 
 
 def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with ``kept``: no rule of the policy's mask failed."""
+    """The ledger with ``kept`` (a column of that name is replaced): no rule of the policy's mask failed."""
     return led.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
 def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, as they are."""
-    own = {"_text": F.col(text)} | ({"_lang": F.col(lang)} if stems else {})
+    own = {"_text": F.col(f"`{text}`")} | ({"_lang": F.col(f"`{lang}`")} if stems else {})
     led = apply_policy(ledger(wrapped(docs, **own), "_text", stems, "_lang"), policy)
     return led.where("kept").select(unwrapped(docs))
 

@@ -35,7 +35,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    led = quality.apply_policy(quality.ledger(docs, stems=quality.learn_stems(docs, table(spark, sf_dir, "labels"))))
     own = [F.col(f"measures.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return led.select("doc_id", *own, (F.col("failed").bitwiseAND(F.lit(quality.BASE_MASK)) != 0).alias("base_failed"), "kept", F.col("failed").alias("failed_bits"))
 
@@ -109,22 +110,35 @@ _CONDITIONS = {
     "bang_heavy": "2 * n_bangs > n_words",
     "odd_word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
-    "abusive": "n_abuse >= 3 AND 1000 * n_abuse >= 5 * n_words",
+    "abusive_stems": "n_stems >= 3 AND 1000 * n_stems >= 5 * n_words",
 }
 _OP6 = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS ws, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS letters FROM documents),
+-- stems that mark abuse, from a sample of the labelled documents
+known AS (SELECT CAST(doc_id AS BIGINT) AS k, max(CAST(toxic AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+sizes AS (SELECT count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic = 0) AS n0 FROM known),
+chosen AS (SELECT k, toxic FROM known, sizes WHERE CAST('0x' || substr(md5(CAST(k AS VARCHAR)), 1, 5) AS INT) <
+  CASE WHEN toxic = 1 THEN {quality._GRAIN * quality.MOST_TOXIC} // greatest(1, n1) + 1 ELSE {quality._GRAIN * quality.MOST_CLEAN} // greatest(1, n0) + 1 END AND n1 > 0),
+sample AS (SELECT r, lang, toxic, letters, len(letters) AS n FROM d JOIN chosen ON d.doc_id = chosen.k WHERE len(letters) >= 20),
+groups AS (SELECT lang, greatest(1, count(*) FILTER (toxic = 1)) AS bad, greatest(1, count(*) FILTER (toxic = 0)) AS good FROM sample GROUP BY lang),
+begins AS (SELECT r, lang, toxic, n, left(w, j) AS stem FROM (SELECT r, lang, toxic, n, unnest(letters) AS w FROM sample), (VALUES {", ".join(f"({j})" for j in quality.STEM)}) AS v(j) WHERE length(w) >= j),
+shares AS (SELECT r, lang, toxic, stem, least({quality.WHOLE}, {20 * quality.WHOLE} * count(*) // n) AS share FROM begins GROUP BY r, lang, toxic, n, stem),
+sums AS (SELECT lang, stem, sum(CASE WHEN toxic = 1 THEN share ELSE 0 END) AS hit, sum(CASE WHEN toxic = 0 THEN share ELSE 0 END) AS base, count(*) FILTER (toxic = 1) AS n_hit, count(*) FILTER (toxic = 0) AS n_base FROM shares GROUP BY lang, stem),
+stems AS (SELECT sums.lang, stem FROM sums JOIN groups ON sums.lang IS NOT DISTINCT FROM groups.lang WHERE n_hit >= {quality.STEM_DOCS} AND 100 * n_hit >= {quality.STEM_HUNDREDTHS} * bad
+  AND hit * good >= {quality.STEM_RATIO} * (base + {quality.FLOOR}) * bad AND n_hit * good >= 3 * n_base * bad),
+abuse AS (SELECT r, count(*) AS n FROM (SELECT r, lang, unnest(letters) AS w FROM d) x WHERE EXISTS (SELECT 1 FROM stems s WHERE s.lang IS NOT DISTINCT FROM x.lang AND starts_with(x.w, s.stem)) GROUP BY r),
 windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
 reps AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: {_HAS_WORD.format("x")}) AS ls,
-  coalesce(n, 0) AS n_repeat_words,
+  coalesce(reps.n, 0) AS n_repeat_words,
   length(t) - length(regexp_replace(t, '[!-@\[-`{{-~]', '', 'g')) AS n_marks,
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
   length(t) - length(replace(t, '!', '')) AS n_bangs,
-  len(regexp_extract_all(t, '(?i)\b(?:{"|".join(quality.ABUSE)})\b')) AS n_abuse
-  FROM d LEFT JOIN reps ON d.r = reps.r),
+  coalesce(abuse.n, 0) AS n_stems
+  FROM d LEFT JOIN reps ON d.r = reps.r LEFT JOIN abuse ON d.r = abuse.r),
 x AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM m),
 f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {c} THEN {quality.BIT[n]} ELSE 0 END" for n, c in _CONDITIONS.items())} AS BIGINT) AS failed_bits FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {quality.BASE_MASK} <> 0 AS base_failed, failed_bits & {quality.POLICIES[quality.CURRENT]} = 0 AS kept, failed_bits FROM f

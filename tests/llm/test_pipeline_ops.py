@@ -194,9 +194,13 @@ def test_sql_on_odd_rows(spark, odd, tmp_path):
     """The SQL of the queries, over nulls, empty texts, ties and repeats."""
     import duckdb
 
+    labels = [(1, 1, 0), (1, 1, 1), (5, 0, 0), (8, 1, 1), (8, 1, 1), (10, 1, 0), (11, 1, None), (None, 0, 1), (99, 0, 1)]
     odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "http://a.com/en/1", "x"), (1, "http://a.com/en/1", "x"), (2, None, None), (None, "", ""), (4, "https://A-b.C.xyz/p?q=1&r=%20#f", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     assert queries.SQL.keys() <= queries.QUERIES.keys()
     for name, sql in queries.SQL.items():
         cur = con.execute(sql)
