@@ -43,7 +43,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, urls.seed_model(spark)).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+    return urls.judge(pages, urls.seed_model()).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,5 +161,37 @@ SELECT d.doc_id, d.size, q.source_size, q.target, CAST(d.size * (q.passes + CASE
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.k = d.k
 """
 
+
+
+def _op7() -> str:
+    """The features in SQL, and the fitted trees as nested cases."""
+    m = urls.seed_model()
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+
+    def tree(nodes, k=0) -> str:
+        f, t, lo, hi, v = nodes[k]
+        return f"{v!r}::DOUBLE" if f < 0 else f"CASE WHEN {urls.FEATURES[f]} <= {t!r}::DOUBLE THEN {tree(nodes, lo)} ELSE {tree(nodes, hi)} END"
+
+    fits = lambda h, p: f"(host = {q(h)} OR ends_with(host, {q('.' + h)})) AND starts_with(path, {q(p)})"
+    ordered = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN {q(h + p)}" for _, h, p in ordered)
+    ruled = " ".join(f"WHEN {fits(h, p)} THEN {q(v)}" for v, h, p in ordered)
+    rates = " ".join(f"WHEN {q(k)} THEN {v!r}::DOUBLE" for k, v in m.suffix.items())
+    return rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+h AS (SELECT *, translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+  regexp_extract(u, '^[^?#]*\?([^#]*)', 1, 's') AS query FROM u),
+f AS (SELECT *, length(u)::DOUBLE AS length, length(host)::DOUBLE AS host_length, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::DOUBLE AS depth,
+  CASE WHEN u = '' THEN 0 ELSE length(regexp_replace(u, '[^0-9]', '', 'g'))::DOUBLE / length(u) END AS digit_ratio,
+  length(regexp_replace(host, '[^0-9]', '', 'g'))::DOUBLE AS host_digits, length(regexp_replace(host, '[^-_]', '', 'g'))::DOUBLE AS host_marks, len(string_split(host, '.'))::DOUBLE AS host_parts,
+  CASE WHEN u = '' THEN 0 ELSE round(log2(length(u)) - list_sum(list_transform(map_values(list_histogram(regexp_extract_all(u, '(?s).'))), lambda c: c * log2(c))) / length(u), 6) END AS entropy,
+  CASE WHEN query = '' THEN 0 ELSE len(string_split(query, '&')) END::DOUBLE AS n_params, length(query)::DOUBLE AS query_length,
+  coalesce(list_max(list_transform(list_filter(string_split_regex(host, '[.-]'), lambda w: length(w) > 1), lambda w: length(w))), 0)::DOUBLE AS longest_part,
+  CASE list_last(string_split(host, '.')) {rates} ELSE {m.usual!r}::DOUBLE END AS suffix_rate FROM h),
+s AS (SELECT *, {m.trees.start!r}::DOUBLE + {" + ".join(tree(t) for t in m.trees.trees)} AS score FROM f)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} WHEN score > 0 THEN 'block' ELSE 'allow' END AS verdict, round(score, 6) AS score FROM s
+"""
+
+
 #: The other operators hash, tokenize, search or learn in ways SQL can't follow; tests hold them against plain versions.
-SQL: dict[str, str] = {"op1_secret_scan": _op1(), "op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op8_source_mixing": _OP8}
+SQL: dict[str, str] = {"op1_secret_scan": _op1(), "op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op7_url_filter": _op7(), "op8_source_mixing": _OP8}

@@ -1,28 +1,32 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features (DataFrame expressions on the main path).
 
-Features of a URL are length, depth, digit ratio, character entropy, parameter counts, punctuation, and statistics of its host's suffix and
-name parts: the smoothed rate of blocked ones among the labelled URLs. The trees are fitted on a bounded sample of labelled URLs and are
-applied as one expression.
+Features of a URL are length, depth, digit ratio, character entropy, parameter counts, punctuation of its host, and the smoothed rate of blocked
+ones among the labelled URLs of its host's suffix. No word is looked up. The trees are fitted on a bounded sample of labelled URLs and are applied as
+one expression. ``features_of`` computes the same features of one URL on the driver, where the trees are fitted.
 """
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import ascii_lower, let
+from .common import ascii_lower, let, unwrapped, wrapped
 
 #: (verdict, host, path prefix); fixed values.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 #: At most so many labelled URLs, of least hash, are used for a fit.
 MOST_LABELLED = 20_000
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_digits", "host_marks", "host_parts", "entropy", "n_params", "query_length", "longest_part", "suffix_rate", "part_rate")
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_digits", "host_marks", "host_parts", "entropy", "n_params", "query_length", "longest_part", "suffix_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -47,9 +51,10 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 @dataclass
 class Model:
+    """``suffix``: rate of URLs to block by the host's last part; ``usual``: that of others."""
+
     trees: trees.Trees
     suffix: dict[str, float]
-    part: dict[str, float]
     usual: float
 
 
@@ -62,7 +67,7 @@ def _parts(host: Column) -> Column:
 
 
 def _entropy(s: Column) -> Column:
-    """Bits a character of the letters, digits and marks of a URL."""
+    """Bits a character, to six places."""
     n = F.char_length(s)
     chars = F.split(s, "")
 
@@ -71,16 +76,19 @@ def _entropy(s: Column) -> Column:
         counts = F.transform(kinds, lambda k: F.size(F.filter(c, lambda x: x == k)).cast("double"))
         return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * F.log2(x))
 
-    return F.when(n > 0, F.log2(n.cast("double")) - let(chars, total) / n).otherwise(0.0)
+    return F.when(n > 0, F.round(F.log2(n.cast("double")) - let(chars, total) / n, 6)).otherwise(0.0)
 
 
-def features(url: Column, host: Column, path: Column, m: Model | None = None) -> list[Column]:
-    """In the order of FEATURES; without a model's statistics the last two are left out."""
+def features(url: Column, host: Column, path: Column, m: Model) -> list[Column]:
+    """In the order of FEATURES."""
     u = F.coalesce(url, F.lit(""))
     size = F.char_length(u)
     query = F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1)
     digits = lambda s: F.char_length(F.regexp_replace(s, "[^0-9]+", ""))
-    longest = F.coalesce(F.array_max(F.transform(_parts(host), lambda w: F.char_length(w))), F.lit(0))
+    rate = F.lit(m.usual)
+    if m.suffix:
+        at = F.array_position(F.array(*[F.lit(k) for k in m.suffix]), _suffix(host)).cast("int") - 1
+        rate = F.when(at >= 0, F.get(F.array(*[F.lit(v) for v in m.suffix.values()]), at)).otherwise(m.usual)
     out = [
         size,
         F.char_length(host),
@@ -92,36 +100,51 @@ def features(url: Column, host: Column, path: Column, m: Model | None = None) ->
         _entropy(u),
         F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         F.char_length(query),
-        longest,
+        F.coalesce(F.array_max(F.transform(_parts(host), lambda w: F.char_length(w))), F.lit(0)),
+        rate,
     ]
-    if m is not None:
-        rate = lambda table, key: F.coalesce(F.get(F.array(*[F.lit(v) for v in table.values()]), F.array_position(F.array(*[F.lit(k) for k in table]), key).cast("int") - 1), F.lit(m.usual)) if table else F.lit(m.usual)
-        out += [rate(m.suffix, _suffix(host)), F.coalesce(F.array_max(F.transform(_parts(host), lambda w: rate(m.part, w))), F.lit(m.usual))]
     return [c.cast("double") for c in out]
 
 
-def _rates(keys: list[str], labels: list[int], usual: float, least: int = 3) -> dict[str, float]:
+def features_of(url: str | None, m: Model | None = None) -> tuple[str, list[float]]:
+    """The suffix of one URL's host, and its features; without a model's rates the last one is left out."""
+    u = url or ""
+    host = u.partition("://")[2] if "://" in u else ""
+    rest = re.split("[/?#]", host, maxsplit=1)[0]
+    path = re.split("[?#]", host[len(rest) :], maxsplit=1)[0]
+    host = re.sub("[A-Z]", lambda x: x[0].lower(), rest)
+    before, asked, query = u.partition("?")
+    query = query.partition("#")[0] if asked and "#" not in before else ""
+    suffix = host.rpartition(".")[2]
+    counts = Counter(u)
+    n = len(u)
+    bits = round(math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n, 6) if n else 0.0
+    out = [
+        n, len(host), sum(1 for x in path.split("/") if x), len(re.findall("[0-9]", u)) / n if n else 0.0, len(re.findall("[0-9]", host)), len(re.findall("[-_]", host)),
+        len(host.split(".")), bits, len(query.split("&")) if query else 0, len(query), max((len(w) for w in re.split("[.-]", host) if len(w) > 1), default=0),
+    ]
+    return suffix, [float(x) for x in (out if m is None else [*out, m.suffix.get(suffix, m.usual)])]
+
+
+def fit(labelled: list[tuple[str, int]], **how) -> Model:
+    """From (URL, label) pairs, label 1 to block."""
+    if not labelled:
+        return Model(trees.Trees(0.0, []), {}, 0.5)
+    known = [features_of(u) for u, _ in labelled]
+    y = [int(v) for _, v in labelled]
+    usual = sum(y) / len(y)
     seen: dict[str, list[int]] = {}
-    for k, y in zip(keys, labels):
-        seen.setdefault(k, []).append(y)
-    return {k: (sum(v) + 4 * usual) / (len(v) + 4) for k, v in sorted(seen.items()) if len(v) >= least}
+    for (s, _), v in zip(known, y):
+        seen.setdefault(s, []).append(v)
+    suffix = {k: (sum(v) + 4 * usual) / (len(v) + 4) for k, v in sorted(seen.items())}
+    x = np.array([[*f, suffix[s]] for s, f in known])
+    return Model(trees.fit(x, np.array(y), **how), suffix, usual)
 
 
-def train(labelled: DataFrame, url="url", label="label", most: int = MOST_LABELLED, most_parts: int = 150, **how) -> Model:
+def train(labelled: DataFrame, url="url", label="label", most: int = MOST_LABELLED, **how) -> Model:
     """From ``label`` 1 (block) or 0 (allow). At most ``most`` rows, those of least URL hash, come to the driver. Nulls are left out."""
-    rows = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(F.col(url).alias("u"), F.col(label).cast("int").alias("y"))
-    rows = rows.withColumn("h", host_of(F.col("u"))).withColumn("p", path_of(F.col("u")))
-    cols = [c.alias(n) for c, n in zip(features(F.col("u"), F.col("h"), F.col("p")), FEATURES)]
-    got = rows.select("y", _suffix(F.col("h")).alias("_s"), _parts(F.col("h")).alias("_p"), F.xxhash64("u").alias("_k"), *cols).orderBy("_k", "y").limit(most).collect()
-    if not got:
-        return Model(trees.Trees(0.0, []), {}, {}, 0.5)
-    y = [r["y"] for r in got]
-    usual = sum(y) / len(y)
-    suffix = _rates([r["_s"] for r in got], y, usual)
-    part = _rates([w for r in got for w in set(r["_p"])], [r["y"] for r in got for _ in set(r["_p"])], usual)
-    part = dict(sorted(sorted(part.items(), key=lambda kv: (-abs(kv[1] - usual), kv[0]))[:most_parts]))
-    x = np.array([[*(float(r[n]) for n in FEATURES[:-2]), suffix.get(r["_s"], usual), max((part.get(w, usual) for w in r["_p"]), default=usual)] for r in got])
-    return Model(trees.fit(x, np.array(y), **how), suffix, part, usual)
+    rows = labelled.select(F.col(f"`{url}`").alias("u"), F.col(f"`{label}`").cast("int").alias("y")).where("u IS NOT NULL AND y IS NOT NULL")
+    return fit([(r["u"], r["y"]) for r in rows.orderBy(F.xxhash64("u"), "u", "y").limit(most).collect()], **how)
 
 
 def score(url: Column, host: Column, path: Column, m: Model) -> Column:
@@ -130,37 +153,54 @@ def score(url: Column, host: Column, path: Column, m: Model) -> Column:
 
 
 def judge(pages: DataFrame, m: Model, url: str = "url", rules=RULES) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (columns of those names are replaced). A null URL is judged as an empty one."""
-    out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``score``; columns of those names are replaced, also if one is the URL's. A null URL is judged as an empty one; repeated rows are judged each for itself."""
+    new = ("host", "path", "rule", "verdict", "score")
+    kept = [c for c, n in zip(unwrapped(pages), pages.columns) if n not in new]
+    rows = wrapped(pages, _url=F.col(f"`{url}`"), host=host_of(F.col(f"`{url}`")), path=path_of(F.col(f"`{url}`")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = out.withColumn("score", score(F.col(url), F.col("host"), F.col("path"), m))
+    out = rows.select("_row", "host", "path", rule.alias("rule"), verdict.alias("ruled"), score(F.col("_url"), F.col("host"), F.col("path"), m).alias("score"))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, own))
+    return out.select(*kept, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
+
+
+def _name(r: random.Random, syllables: int) -> str:
+    return "".join(r.choice("bcdfghjklmnprstvwz") + r.choice(("", "", "", "h", "r", "l")) + r.choice("aeiou") + r.choice(("", "", "n", "r", "s", "t", "l")) for _ in range(syllables))
+
 
+#: Suffixes of generated URLs with how often plain sites and those to block have them.
+_SUFFIXES = {"com": (44, 36), "org": (14, 5), "net": (10, 12), "edu": (7, 0.3), "gov": (4, 0.1), "de": (6, 3), "fr": (5, 2), "uk": (5, 3), "io": (3, 4), "info": (1.5, 11), "biz": (0.5, 9), "xyz": (0.4, 9), "top": (0.1, 6)}
 
-#: What hosts to block are often named; fixed values.
-_LURES = ("casino", "bets", "pills", "adult", "spam", "ads", "track", "win", "free", "cheap", "farm", "loans", "xxx", "porn", "slots", "poker", "viagra", "deals", "click", "prize")
 
+def seed_labels(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
+    """Labelled URLs from a rule of shape alone, for tables that carry no labels.
 
-def seed_labels(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled URLs from a rule, for tables that carry no labels: half name lures in their host, in the manner of link farms; the rest are plain sites, some with hyphens, parameters or long paths too."""
+    Those to block, in the manner of link farms, mostly have hosts of short names joined by hyphens, often with digits, cheap suffixes and many
+    parameters; some are plain. The others are mostly plain names, some with a hyphen, deep paths or parameters.
+    """
     r = random.Random(seed)
-    bit = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve")) for _ in range(r.randint(2, 5)))
     out = []
     for i in range(n):
         bad = i % 2
-        if bad:
-            names = [r.choice(_LURES), r.choice((r.choice(_LURES), bit(), "x", str(r.randint(1, 999))))]
-            r.shuffle(names)
-            name = r.choice(("-", "-", "-", "")).join(names)
-        else:
-            name = bit() + (r.choice(("-", "")) + bit() if r.random() < 0.15 else "")
-        host = r.choice(("", "", "www.", "blog.", "m.")) + name + r.choice((".example", "")) + "." + r.choice(("com", "net", "org", "com", "net", "org", "info" if bad else "edu"))
-        path = "/" + "/".join(r.choice((bit(), r.choice(("en", "de", "fr", "es")), str(r.randint(1, 99999)))) for _ in range(r.randint(0, 4)))
-        tail = r.choice(("", "/", ".html", f"?page={r.randint(1, 9)}&ref=x", "#top", "?utm_source=feed", "?" + "&".join(f"{bit()}={r.randint(0, 10**6)}" for _ in range(r.randint(1, 6 if bad else 3)))))
-        out.append((r.choice(("http", "https")) + "://" + host + path + tail, bad))
+        parts = [_name(r, r.randint(1, 2) if bad else r.randint(1, 4))]
+        if r.random() < (0.93 if bad else 0.035):
+            parts += [_name(r, r.randint(1, 2) if bad else r.randint(1, 3)) for _ in range(r.choice((1, 1, 1, 2, 3) if bad else (1, 1, 1, 2)))]
+        if r.random() < (0.25 if bad else 0.02):
+            parts[-1] += str(r.randint(1, 9999))
+        if bad and r.random() < 0.06:
+            parts.append(r.choice("x1230z"))
+        name = "-".join(parts)
+        above = [r.choice(("www", "www", "blog", "m", "news", "shop", _name(r, 2)))] if r.random() < 0.6 else []
+        below = [_name(r, r.randint(2, 3))] if r.random() < 0.4 else []  # names below a host's, as platforms give them
+        suffix = r.choices(list(_SUFFIXES), [v[bad] for v in _SUFFIXES.values()])[0]
+        segment = lambda: r.choice((_name(r, r.randint(1, 4)), _name(r, 2) + "-" + _name(r, 2), r.choice(("en", "de", "fr", "es")), str(r.randint(1, 99999))))
+        path = "".join("/" + segment() for _ in range(r.randint(0, 5)))
+        asked = r.choice((0, 0, 0, 1, 2) if not bad else (0, 0, 1, 2, 5))
+        tail = "?" + "&".join(f"{_name(r, 1)}={r.choice((_name(r, 2), str(r.randint(0, 10**6))))}" for _ in range(asked)) if asked else r.choice(("", "/", ".html", "#top"))
+        out.append((r.choice(("http", "https")) + "://" + ".".join([*above, name, *below, suffix]) + path + tail, bad))
     return out
 
 
-def seed_model(spark: SparkSession) -> Model:
-    return train(spark.createDataFrame(seed_labels(), "url string, label int"))
+@lru_cache(maxsize=1)
+def seed_model(spark: SparkSession | None = None) -> Model:
+    """Fitted on generated URLs; the same in every session."""
+    return fit(seed_labels())
