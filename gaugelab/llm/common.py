@@ -70,11 +70,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd", **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and fixes what is not deterministic."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -5,9 +5,10 @@ says which ids go on to level k + 1; a rank directory counts the set bits before
 rank away, and a token is read with a few array look-ups, without decoding others.
 
 A block is bytes: magic ``DAC1``, then unsigned 32-bit integers (number of documents, ids, levels; bits of each level), the documents' ends
-(unsigned 64-bit), then for each level: number of chunks (64-bit), chunks, bitmap, directory (32-bit). Blocks are rows of a Parquet
-table, so that any file system Spark knows can hold them and a lost executor leaves nothing behind; ``part`` and ``block`` order them,
-and ``first`` is the number of ids that the part has before the block.
+(unsigned 64-bit), then for each level: number of chunks (64-bit), chunks, bitmap, directory (32-bit). Blocks are rows of an uncompressed Parquet
+table, each a row group of its own, so that any file system Spark knows can hold them and a lost executor leaves nothing behind; ``part`` and
+``block`` order them, and ``first`` is the number of ids that the part has before the block. By their statistics a reader that looks for a place
+(``slice_at``, ``token_at``) reads the row group that has it and no other, and of its block the chunks it needs.
 """
 
 from __future__ import annotations
@@ -120,7 +121,10 @@ _BLOCKS = "part int, block int, first long, n_docs long, n_ids long, doc_ids arr
 
 
 def blocks(docs: DataFrame, doc_id="doc_id", text="text", tokenizer: str | None = None, end_id=END_ID, block_ids=BLOCK_IDS) -> DataFrame:
-    """All documents' ids in blocks, in rising order of doc_id (nulls first; equal ones by text). One shuffle, of the texts; ids aren't shuffled."""
+    """All documents' ids in blocks, in rising order of doc_id (nulls first; equal ones by a hash of the text). One shuffle, of the texts; ids aren't shuffled.
+
+    A null text counts as empty and has the end id alone; repeated rows are documents of their own. A doc_id of very many rows lies in several parts.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches):
@@ -149,8 +153,9 @@ def blocks(docs: DataFrame, doc_id="doc_id", text="text", tokenizer: str | None
         if names:
             yield closed()
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = src.repartitionByRange(shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    ordered = src.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order, "text").drop("h")
     return ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, _BLOCKS)
 
 
@@ -158,8 +163,58 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(p
 _NAMES = [f.split()[0] for f in _BLOCKS.split(", ")]
 
 
+#: How files are written: blocks as they are, one to a row group.
+_FORMAT = {"compression": "none", "parquet.block.row.count.limit": "1"}
+
+
 def write(docs: DataFrame, path: str, **how) -> None:
-    blocks(docs, **how).write.option("compression", "zstd").parquet(path)
+    blocks(docs, **how).write.options(**_FORMAT).parquet(path)
+
+
+def _bases(files: DataFrame) -> DataFrame:
+    """``(part, before, n)`` of each part: the ids before it and its own. A row for each partition of the write."""
+    parts = files.select("part", "n_ids").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    return parts.withColumn("before", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)"))
+
+
+def slice_at(files: DataFrame, start: int, n: int) -> DataFrame:
+    """``(position, ids)``: the ids at places start to start + n of all ids, in runs of at most a block, ids packed as little-endian unsigned 32-bit integers.
+
+    Places behind the end give nothing. Only blocks that hold some of them are read, and nothing of a block is decoded but those ids.
+    """
+    if start < 0 or n < 0:
+        raise ValueError("places count from 0")
+    held = _bases(files).where((F.col("before") < start + n) & (F.col("before") + F.col("n") > start)).collect()  # the parts that the slice touches
+
+    def run(batches):
+        for b in batches:
+            for data, first in zip(b.column(0), b.column(1).to_pylist()):
+                block = Block(data.as_py())
+                lo, hi = max(0, start - first), min(block.n, start + n - first)
+                yield pa.RecordBatch.from_arrays([pa.array([first + lo], pa.int64()), pa.array([block.ids(lo, hi).astype("<u4").tobytes()], pa.binary())], ["position", "ids"])
+
+    out = None
+    for r in held if n else []:
+        own = files.where((F.col("part") == r["part"]) & (F.col("first") < start + n - r["before"]) & (F.col("first") + F.col("n_ids") > start - r["before"]))
+        if start > r["before"]:  # statistics can't add: no block is longer than the longest
+            own = own.where(F.col("first") >= F.lit(start - r["before"] - _longest(files, r["part"])))
+        own = own.select("data", (F.col("first") + F.lit(r["before"])).alias("at"))
+        out = own if out is None else out.unionAll(own)
+    if out is None:
+        return files.sparkSession.createDataFrame([], "position long, ids binary")
+    return out.mapInArrow(run, "position long, ids binary")
+
+
+def _longest(files: DataFrame, part: int) -> int:
+    return files.where(F.col("part") == part).agg(F.max("n_ids")).first()[0]
+
+
+def token_at(files: DataFrame, position: int) -> int:
+    """The id at a place of all ids."""
+    found = slice_at(files, position, 1).collect()
+    if not found:
+        raise IndexError(position)
+    return int(np.frombuffer(found[0]["ids"], "<u4")[0])
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -167,8 +222,7 @@ def read(files: DataFrame) -> DataFrame:
 
     A block tells how many ids its part has before it; parts are placed by the sums of their counts, a row for each partition of the write.
     """
-    parts = files.select("part", "n_ids").groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.withColumn("before", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)")).select("part", "before")
+    before = _bases(files).select("part", "before")
 
     def run(batches):
         for b in batches:
@@ -196,4 +250,4 @@ def read(files: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:
     """Written to the shared folder and read back."""
-    return read(materialize(blocks(docs, **how), "token-files"))
+    return read(materialize(blocks(docs, **how), "token-files", **_FORMAT))
