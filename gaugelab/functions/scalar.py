@@ -11,9 +11,10 @@ from ..plans import specs
 
 
 def uniform(seed: int, *keys) -> Column:
-    """In (0, 1), from a hash of the seed and the keys: the same for a row wherever it is computed."""
-    bits = F.xxhash64(F.lit(seed), *[k if isinstance(k, Column) else F.lit(k) for k in keys])
-    return (F.shiftrightunsigned(bits, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    """In (0, 1), from the MD5 of the seed and the keys: the same for a row wherever it is computed, also in another engine."""
+    name = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys])
+    bits = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
+    return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def gaussian(mean: float, std: float, seed: int, *keys) -> Column:

@@ -39,7 +39,7 @@ class IntegrityError(ValueError):
 
 
 def guarded(df: DataFrame, test_type: str, existing: DataFrame | None = None) -> DataFrame:
-    """``df`` if its ids are unique, also against ``existing``, and its required columns have no nulls; one aggregate job decides."""
+    """``df`` if its ids are unique, also against ``existing``, and its required columns have no nulls; an aggregate over the rows decides on nulls and one over the ids on repeats."""
     required = [f.name for f in schemas.table(test_type).fields if not f.nullable]
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first().asDict()
     if bad := [c for c, n in nulls.items() if n]:

@@ -5,47 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spc import SLICE_ROWS, slices
+
 HOLD = 4
 
 
 def circular_shift(df: DataFrame, value: str, by: list[str], index: str, k: int) -> DataFrame:
-    """``value`` moved on by k places in each series of gapless 0-based ``index``, the end coming round; an equi-join on the moved index."""
+    """``value`` moved on by k places in each series of gapless 0-based ``index``, the end coming round; an equi-join on series and moved index, which parts evenly."""
     n = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    moved = df.join(F.broadcast(n), by) if by else df.join(F.broadcast(n))  # a row for each series
+    if by:
+        n = n.select(*[F.col(b).alias(f"_on_{b}") for b in by], "_n")
+        moved = df.join(n, [F.col(b).eqNullSafe(F.col(f"_on_{b}")) for b in by])  # a row for each series
+    else:
+        moved = df.join(n)
     source = moved.select(*[F.col(b).alias(f"_{b}") for b in by], F.pmod(F.col(index) + k, F.col("_n")).alias("_i"), F.col(value).alias("_v"))
-    on = [df[b] == F.col(f"_{b}") for b in by] + [df[index] == F.col("_i")]
+    on = [df[b].eqNullSafe(F.col(f"_{b}")) for b in by] + [df[index] == F.col("_i")]
     return df.join(source, on).select(*[F.col("_v").alias(c) if c == value else df[c] for c in df.columns])
 
 
-def numbered(by: list[str], order: list[str]) -> Column:
-    """0-based place in a series."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-
-
-def held(states: Column) -> Column:
-    """An array of states with each change held for the next HOLD samples, from left to right."""
-    zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("left"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc["left"] > 0, acc["last"]).otherwise(x)
-        left = F.when(acc["left"] > 0, acc["left"] - 1).when(acc["last"].isNotNull() & (x != acc["last"]), F.lit(HOLD)).otherwise(F.lit(0))
-        return F.struct(now.alias("last"), left.alias("left"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    return F.aggregate(states, zero, step)["out"]
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, of: Column | None = None) -> DataFrame:
+    """``df`` with the 0-based place of each row in its series (long): its place in a slice, and the rows of the slices before."""
+    sliced = df.withColumn("_slice", slices(df, order[0]) if of is None else of)
+    names = [*by, "_slice"]
+    counts = sliced.groupBy(*names).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    before = counts.select(*[F.col(c).alias(f"_on_{c}") for c in names], F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
+    own = sliced.withColumn("_at", F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1)
+    out = own.join(before, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in names])
+    return out.select(*df.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
 
 
 def debounce(df: DataFrame, value: str, by: list[str], index: str) -> DataFrame:
-    """``(*by, index, value)`` debounced. For series that fit in a row; see ``debounce_long`` for others."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).cast("int").alias("x"))))
-    one = df.groupBy(*by).agg(rows.alias("_r"))
-    both = one.select(*by, F.explode(F.arrays_zip(F.transform("_r", lambda r: r["i"]).alias("i"), held(F.transform(F.col("_r"), lambda r: r["x"])).alias("x"))).alias("_e"))
-    return both.select(*by, F.col("_e.i").alias(index), F.col("_e.x").alias(value))
+    """``(*by, index, value)`` with each change of state held for the next HOLD samples; series of any number and length."""
+    return debounce_sliced(df, value, by, index, SLICE_ROWS)
 
 
 def debounce_long(df: DataFrame, value: str, by: list[str], index: str) -> DataFrame:
-    """The same for many series of any length, each in one task: sorted partitions are streamed through, with one state for each series and none of its rows kept."""
+    """The same for many series, each in one task: sorted partitions are streamed through, with one state for each series and none of its rows kept. A series without key goes in slices."""
     import pandas as pd
 
+    if not by:
+        return debounce_sliced(df, value, by, index, SLICE_ROWS)
+
     cols = [*by, index, value]
 
     def run(frames):
@@ -65,7 +66,7 @@ def debounce_long(df: DataFrame, value: str, by: list[str], index: str) -> DataF
             yield pd.DataFrame({**{c: f[c] for c in [*by, index]}, value: pd.array(out, dtype="int32")})
 
     src = df.select(*by, index, F.col(value).cast("int").alias(value))
-    src = src.repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by, index) if by else src.coalesce(1).sortWithinPartitions(index)
+    src = src.repartition(*[F.col(b) for b in by]).sortWithinPartitions(*by, index)
     return src.select(cols).mapInPandas(run, src.select(cols).schema)
 
 
@@ -128,7 +129,8 @@ def debounce_sliced(df: DataFrame, value: str, by: list[str], index: str, width:
                 out.append((state - 1) // 5)
             yield f[[*by, index]].assign(**{value: pd.array(out, dtype="int32")})
 
-    found = dealt(src).mapInPandas(maps, f"{keys}, m array<int>").groupBy(*by).applyInPandas(starts, f"{keys}, begin int")
+    found = dealt(src).mapInPandas(maps, f"{keys}, m array<int>")
+    found = found.groupBy(*by).applyInPandas(starts, f"{keys}, begin int")  # a row of eleven numbers for each slice
     on = [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in names]
     both = src.join(found.select(*[F.col(n).alias(f"_on_{n}") for n in names], "begin"), on).select(*names, index, value, "begin")
     return dealt(both).mapInPandas(run, src.select(*by, index, value).schema)

@@ -1,4 +1,4 @@
-"""Control limits, moving ranges, and chart frames. Limits are one aggregation, joined back as a broadcast of one row for each key."""
+"""Control limits, moving ranges, and chart frames. Limits are one aggregation, joined back as one row for each chart."""
 
 from __future__ import annotations
 
@@ -11,47 +11,85 @@ from ..functions.scalar import known
 def control_limits(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``(*by, cl, ucl, lcl)``: the mean, and three deviations above and below it."""
     x = known(F.col(value).cast("double"))
-    one = df.groupBy(*by).agg(F.avg(x).alias("cl"), F.stddev_samp(x).alias("_s"))
+    one = df.select(*by, x.alias("_x")).groupBy(*by).agg(F.avg("_x").alias("cl"), F.stddev_samp("_x").alias("_s"))
     return one.select(*by, "cl", (F.col("cl") + 3 * F.col("_s")).alias("ucl"), (F.col("cl") - 3 * F.col("_s")).alias("lcl"))
 
 
 def moving_range(value: str, by: list[str], order: list[str]) -> Column:
-    """Absolute difference to the row before; null for the first row and next to a missing value."""
+    """Absolute difference to the row before; null for the first row and next to a missing value. For many short series; see ``moving_ranges`` for long ones."""
     x = known(F.col(value).cast("double"))
     return F.abs(x - F.lag(x).over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def rolling_range(value: str, k: int, by: list[str], order: list[str]) -> Column:
-    """Largest less smallest of the last k values; null unless all k are there."""
+    """Largest less smallest of the last k values; null unless all k are there. For many short series; see ``rolling_ranges`` for long ones."""
     x = known(F.col(value).cast("double"))
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - k, 0)
     return F.when(F.count(x).over(w) == k, F.max(x).over(w) - F.min(x).over(w))
 
 
 def moving_range_sliced(df: DataFrame, value: str, by: list[str], index: str, width: int) -> DataFrame:
-    """``df`` with ``moving_range`` for series too long for one window, by any numeric ``index``, gaps allowed.
+    """``moving_ranges`` by any numeric ``index``, gaps allowed, where a slice holds the rows with index in [k * width, (k + 1) * width)."""
+    return moving_ranges(df, value, by, [index], F.floor(F.col(index) / F.lit(width)).cast("long"))
 
-    A slice holds the rows with index in [k * width, (k + 1) * width). Only the last value of each slice is carried to the next one of
-    its series; that table has one row for each slice.
+
+#: Rows of a series that one task is meant to hold.
+SLICE_ROWS = 200_000
+
+
+def slices(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> Column:
+    """A slice number that rises with ``column``, a number or a time, for slices of about so many rows of all series. Its width follows from the count and the range of the data."""
+    x = F.col(column).cast("timestamp").cast("double") if dict(df.dtypes)[column].startswith("timestamp") else F.col(column).cast("double")
+    seen = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).first()
+    parts = max(1, -(-seen["n"] // rows))
+    if seen["lo"] is None or seen["hi"] == seen["lo"]:
+        return F.lit(0).cast("long")
+    return F.coalesce(F.floor((x - F.lit(seen["lo"])) * F.lit(parts / (seen["hi"] - seen["lo"]))), F.lit(-1)).cast("long")
+
+
+def with_tails(df: DataFrame, by: list[str], order: list[str], of: Column, k: int) -> DataFrame:
+    """``df`` with ``_slice`` and ``_own``, and before the rows of each slice the last k - 1 rows that its series has before it, which aren't its own.
+
+    So a window over k rows can be partitioned by series and slice. ``of`` numbers the slices and rises with the first of ``order``. What goes from slice
+    to slice is k - 1 rows, whatever the slices hold; a series of any length is many tasks' work.
+    """
+    sliced = df.withColumn("_slice", of)
+    names, columns = [*by, "_slice"], [c for c in df.columns if c not in by]
+    last = Window.partitionBy(*names).orderBy(*[F.col(c).desc() for c in order])
+    tails = sliced.withColumn("_r", F.row_number().over(last)).where(F.col("_r") < k)  # pruned before the shuffle
+    packed = tails.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_r", *columns))).alias("_t"))
+    near = Window.partitionBy(*by).orderBy(F.col("_slice").desc()).rowsBetween(1, max(1, k - 1))  # a row for each slice; none is empty
+    before = packed.select(*names, F.collect_list("_t").over(near).alias("_b"))
+    before = before.select(*names, F.explode(F.slice(F.flatten("_b"), 1, max(1, k - 1))).alias("_t"))
+    return sliced.withColumn("_own", F.lit(True)).unionByName(before.select(*names, *[F.col(f"_t.{c}").alias(c) for c in columns], F.lit(False).alias("_own")))
+
+
+def rolling_ranges(df: DataFrame, value: str, k: int, by: list[str], order: list[str], of: Column | None = None) -> DataFrame:
+    """``df`` with ``rolling_range``: largest less smallest of the last k values; null unless all k are there."""
+    near = with_tails(df, by, order, slices(df, order[0]) if of is None else of, k)
+    x = known(F.col(value).cast("double"))
+    w = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(1 - k, 0)
+    out = near.withColumn("rolling_range", F.when(F.count(x).over(w) == k, F.max(x).over(w) - F.min(x).over(w)))
+    return out.where("_own").select(*df.columns, "rolling_range")
+
+
+def moving_ranges(df: DataFrame, value: str, by: list[str], order: list[str], of: Column | None = None) -> DataFrame:
+    """``df`` with ``moving_range``: the absolute difference to the row before; null for the first row and next to a missing value.
+
+    Series may be few and long: the work is parted by series and slice, and only the last row of a slice goes on to the next.
     """
+    near = with_tails(df, by, order, slices(df, order[0]) if of is None else of, 2)
     x = known(F.col(value).cast("double"))
-    own = df.withColumn("_slice", F.floor(F.col(index) / F.lit(width)))
-    ends = own.groupBy(*by, "_slice").agg(F.max_by(F.struct(x.alias("x")), index).alias("_end"))
-    names = [*by, "_slice"]
-    before = ends.select(*[F.col(n).alias(f"_on_{n}") for n in names], F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")).alias("_prev"))
-    both = own.join(before, [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in names])
-    w = Window.partitionBy(*names).orderBy(index)
-    last = F.when(F.row_number().over(w) == 1, F.col("_prev.x")).otherwise(F.lag(x).over(w))
-    return both.select(*df.columns, F.abs(x - last).alias("moving_range"))
+    out = near.withColumn("moving_range", F.abs(x - F.lag(x).over(Window.partitionBy(*by, "_slice").orderBy(*order))))
+    return out.where("_own").select(*df.columns, "moving_range")
 
 
 def _with_limits(df: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
-    small = F.broadcast(limits)  # one row for each chart
+    """Limits are a row for each chart; how they are joined is left to Spark, which knows their size when they are there."""
     if not by:
-        return df.join(small)
+        return df.join(limits)
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
-    small = F.broadcast(limits.withColumnsRenamed({b: f"_{b}" for b in by}))
-    return df.join(small, on).drop(*[f"_{b}" for b in by])
+    return df.join(limits.withColumnsRenamed({b: f"_{b}" for b in by}), on).drop(*[f"_{b}" for b in by])
 
 
 def xbar_chart(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -61,7 +99,7 @@ def xbar_chart(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # n
 
 def r_chart(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
     """Each row with its moving range and the limits of the ranges; the lower one may be negative."""
-    ranges = df.withColumn("moving_range", moving_range(value, by, order))
+    ranges = moving_ranges(df, value, by, order)
     return _with_limits(ranges, control_limits(ranges, "moving_range", by), by)
 
 

@@ -13,28 +13,37 @@ from ..plans.specs import Parameter, TestSpec
 FOUR = ("mean", "std", "min", "max")
 
 
-def _four(x: Column) -> list[Column]:
-    v = known(x.cast("double"))
+def _four(v: Column) -> list[Column]:
     return [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
 
 
+def _cleaned(df: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """``by`` and the values as doubles with NaN as null, worked out once, before they are aggregated many times."""
+    kinds = dict(df.select(*[v.alias(n) for n, v in values.items()]).dtypes)
+    exact = ("tinyint", "smallint", "int", "bigint")  # these have no NaN
+    return df.select(*by, *[(v.cast("double") if kinds[n] in exact else known(v.cast("double"))).alias(n) for n, v in values.items()])
+
+
 def wide(df: DataFrame, parameters: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
     """``<parameter>_<statistic>`` columns, all in one pass."""
-    return df.groupBy(*by).agg(*[c.alias(f"{p}_{s}") for p in parameters for c, s in zip(_four(F.col(p)), FOUR)])
+    clean = _cleaned(df, by, **{p: F.col(p) for p in parameters})
+    return clean.groupBy(*by).agg(*[c.alias(f"{p}_{s}") for p in parameters for c, s in zip(_four(F.col(p)), FOUR)])
 
 
 def long(df: DataFrame, parameters: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
     """A row for each parameter: ``(*by, parameter, n, mean, std, min, max)``; one pass, unpivoted after the aggregation."""
-    one = df.groupBy(*by).agg(*[F.struct(F.count(known(F.col(p).cast("double"))).alias("n"), *_four(F.col(p))).alias(p) for p in parameters])
-    rows = one.select(*by, F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).alias("s")) for p in parameters])).alias("r"))
-    return rows.select(*by, "r.parameter", "r.s.*")
+    clean = _cleaned(df, by, **{p: F.col(p) for p in parameters})
+    one = clean.groupBy(*by).agg(*[c.alias(f"{p}_{s}") for p in parameters for c, s in zip([F.count(p), *_four(F.col(p))], ("n", *FOUR))])
+    each = [F.struct(F.lit(p).alias("parameter"), *[F.col(f"{p}_{s}").alias(s) for s in ("n", *FOUR)]) for p in parameters]
+    return one.select(*by, F.explode(F.array(*each)).alias("r")).select(*by, "r.*")
 
 
 def grouped(df: DataFrame, by: str, value: Column, flag: str | None = None, order: str | None = None) -> DataFrame:
     """Statistics of ``value`` for each category, with the pass rate of ``flag`` and, from ``order``, the category's first place."""
     more = [rate(flag).alias("pass_rate")] if flag else []
     more += [F.min(order).alias("first_seen")] if order else []
-    return df.groupBy(by).agg(F.count(known(value.cast("double"))).alias("n"), *_four(value), *more)
+    clean = df.withColumn("_v", known(value.cast("double")))
+    return clean.groupBy(by).agg(F.count("_v").alias("n"), *_four(F.col("_v")), *more)
 
 
 def rate(flag: str) -> Column:
@@ -67,9 +76,9 @@ def document(df: DataFrame, spec: TestSpec, stamp: Column) -> DataFrame:
         each = grouped(df, spec.group, value, spec.flag).select(spec.group, F.struct("pass_rate", *FOUR).alias("s"))
         rows = each.agg(F.map_from_entries(F.collect_list(F.struct(spec.group, "s"))).alias(f"{spec.group}_stats"))
         total = df.agg(rate(spec.flag).alias(spec.rate))
-        return total.join(F.broadcast(rows)).select(spec.rate, f"{spec.group}_stats", stamp.alias("timestamp"))  # one row each
+        return total.join(rows).select(spec.rate, f"{spec.group}_stats", stamp.alias("timestamp"))  # one row each
     names = [p.name for p in spec.parameters]
-    one = df.agg(rate(spec.flag).alias(spec.rate), *[F.struct(*_four(F.col(p))).alias(f"{p}_stats") for p in names])
+    one = _cleaned(df, [spec.flag], **{p: F.col(p) for p in names}).agg(rate(spec.flag).alias(spec.rate), *[F.struct(*_four(F.col(p))).alias(f"{p}_stats") for p in names])
     limits = [p for p in spec.parameters if p.upper is not None]
     caps = []
     for p in limits:

@@ -155,14 +155,15 @@ _MR = "SELECT event_type, event_id, value, abs(value - lag(value) OVER (PARTITIO
 
 @query(_MR.replace(", value, abs", ", abs"))
 def moving_range(spark, sf):
-    return t(spark, sf, "events").select("event_type", "event_id", spc.moving_range("value", ["event_type"], _ORDER).alias("moving_range"))
+    log = t(spark, sf, "events").select("event_type", "event_id", "ts", "value")
+    return spc.moving_ranges(log, "value", ["event_type"], _ORDER).select("event_type", "event_id", "moving_range")
 
 
 @query("SELECT event_id, abs(value - lag(value) OVER (ORDER BY event_id)) AS moving_range FROM events")
 def moving_range_one_series(spark, sf):
     """A single series has no key to part it; slices of its index do."""
     log = t(spark, sf, "events").select("event_id", "value")
-    return spc.moving_range_sliced(log, "value", [], "event_id", 1000).select("event_id", "moving_range")
+    return spc.moving_ranges(log, "value", [], ["event_id"]).select("event_id", "moving_range")
 
 
 @query(
@@ -170,7 +171,8 @@ def moving_range_one_series(spark, sf):
     "WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
 )
 def rolling_range_k(spark, sf):
-    return t(spark, sf, "events").select("event_type", "event_id", spc.rolling_range("value", 5, ["event_type"], _ORDER).alias("rolling_range"))
+    log = t(spark, sf, "events").select("event_type", "event_id", "ts", "value")
+    return spc.rolling_ranges(log, "value", 5, ["event_type"], _ORDER).select("event_type", "event_id", "rolling_range")
 
 
 _RL = f"SELECT event_type, avg(moving_range) AS cl, avg(moving_range) + 3 * stddev_samp(moving_range) AS ucl, avg(moving_range) - 3 * stddev_samp(moving_range) AS lcl FROM ({_MR}) GROUP BY event_type"
@@ -178,7 +180,7 @@ _RL = f"SELECT event_type, avg(moving_range) AS cl, avg(moving_range) + 3 * stdd
 
 @query(f"SELECT event_type, {_r('cl', 'cl')}, {_r('ucl', 'ucl')}, {_r('lcl', 'lcl')} FROM ({_RL})")
 def range_chart_limits(spark, sf):
-    ranged = t(spark, sf, "events").withColumn("moving_range", spc.moving_range("value", ["event_type"], _ORDER))
+    ranged = spc.moving_ranges(t(spark, sf, "events").select("event_type", "event_id", "ts", "value"), "value", ["event_type"], _ORDER)
     return rounded(spc.control_limits(ranged, "moving_range", ["event_type"]))
 
 
@@ -238,7 +240,8 @@ _NUMBERED = "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER
 
 
 def _series(spark, sf, value: Column) -> DataFrame:
-    return t(spark, sf, "events").select("event_type", sequence.numbered(["event_type"], ["event_id"]).cast("long").alias("i"), value.alias("x"))
+    log = t(spark, sf, "events").select("event_type", "event_id", value.alias("x"))
+    return sequence.numbered(log, ["event_type"], ["event_id"], "i").select("event_type", "i", "x")
 
 
 @query(f"WITH s AS ({_NUMBERED}) SELECT a.event_type, a.i, b.value AS x FROM s a JOIN s b ON a.event_type = b.event_type AND b.i = ((a.i - 20) % a.c + a.c) % a.c")
@@ -270,7 +273,8 @@ def debounce_sliced(spark, sf):
 
 @query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS sequence_num FROM events")
 def sequence_numbers(spark, sf):
-    return t(spark, sf, "events").select("event_type", "event_id", (sequence.numbered(["event_type"], ["event_id"]) + 1).cast("long").alias("sequence_num"))
+    log = sequence.numbered(t(spark, sf, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], "place")
+    return log.select("event_type", "event_id", (F.col("place") + 1).alias("sequence_num"))
 
 
 @query(f"SELECT event_type, count(v) AS n, {_four('v')}, round(avg(CASE WHEN v >= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM (SELECT event_type, CASE WHEN event_id % 20 <> 0 THEN value END AS v FROM events) GROUP BY event_type")

@@ -22,8 +22,8 @@ def append_jdbc(df: DataFrame, url: str, name: str, **options) -> None:
     df.write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
 
 
-def write_csv(df: DataFrame, root: str, test_name: str, at: datetime, one_file: bool = True) -> str:
-    """CSV with a header below ``root/test_name``; nulls are empty. One part file for a report that people open, many for large runs."""
+def write_csv(df: DataFrame, root: str, test_name: str, at: datetime, one_file: bool = False) -> str:
+    """CSV with a header below ``root/test_name``; nulls are empty. As many part files as the frame has partitions, in its order, or one if asked for: a single task then writes all rows."""
     path = f"{root}/{test_name}/{test_name}_data_{stamp(at)}"
     (df.coalesce(1) if one_file else df).write.option("header", True).option("nullValue", "").csv(path)
     return path

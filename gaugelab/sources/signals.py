@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coin, gaussian, linspace, missing
-from ..operators.sequence import circular_shift, debounce_long
+from ..operators.sequence import circular_shift, debounce
 
 DAQ_RATE = 1000
 NETWORK_RATE = 10
@@ -31,7 +31,7 @@ def _analog(spark, duration, channels, seed):
 
 def _digital(spark, duration, channels, seed):
     raw = _index(spark, int(duration * DAQ_RATE), channels).withColumn("x", coin(seed, "digital", F.col("channel"), F.col("sample_idx")))
-    return debounce_long(raw, "x", ["channel"], "sample_idx").withColumn("x", F.col("x").cast("double"))
+    return debounce(raw, "x", ["channel"], "sample_idx").withColumn("x", F.col("x").cast("double"))
 
 
 def _ethernet(spark, duration, channels, seed):

@@ -94,11 +94,41 @@ def test_sliced_moving_range(spark, n, width):
     assert col(spc.moving_range_sliced(gaps, "x", ["k"], "i", width), "moving_range") == want
 
 
-def test_limits_come_as_a_broadcast(log):
-    plan = spc.xbar_chart(log, "x", ["k"])._jdf.queryExecution().executedPlan().toString()
+def test_limits_come_as_a_broadcast_once_their_size_is_known(log):
+    chart = spc.xbar_chart(log, "x", ["k"])
+    assert "BroadcastHashJoin" not in chart._jdf.queryExecution().executedPlan().toString()  # nothing is forced
+    chart.collect()
+    plan = chart._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
 
 
+@pytest.mark.parametrize("k", [2, 5])
+@pytest.mark.parametrize("parts", [1, 7, 400])
+def test_long_series_in_slices(spark, k, parts):
+    """Two series with holes, ties in time and missing values, in slices from one to more than there are rows."""
+    rng = np.random.default_rng(k * parts)
+    rows = [(s, int(t), i, None if rng.random() < 0.05 else float(rng.normal())) for s, n in (("a", 150), ("b", 9), (None, 3)) for i, t in enumerate(np.sort(rng.integers(0, 300, n)))]
+    df = spark.createDataFrame(rows, "k string, t long, i long, x double")
+    of = spc.F.floor(spc.F.col("t") * parts / 300).cast("long")
+    want = df.withColumn("r", spc.rolling_range("x", k, ["k"], ["t", "i"])).withColumn("m", spc.moving_range("x", ["k"], ["t", "i"])).collect()
+    key = lambda r: (str(r.k), r.i)
+    got = spc.rolling_ranges(df, "x", k, ["k"], ["t", "i"], of)
+    assert got.columns == [*df.columns, "rolling_range"]
+    assert [r.rolling_range for r in sorted(got.collect(), key=key)] == [r.r for r in sorted(want, key=key)]
+    moved = spc.moving_ranges(df, "x", ["k"], ["t", "i"], of).collect()
+    assert [r.moving_range for r in sorted(moved, key=key)] == [r.m for r in sorted(want, key=key)]
+    places = sequence.numbered(df, ["k"], ["t", "i"], "p", of).collect()
+    assert all(r.p == r.i for r in places) and len(places) == len(rows)
+
+
+def test_no_window_is_over_a_whole_table(spark):
+    df = spark.range(1000).select(spc.F.col("id").alias("i"), spc.F.rand(1).alias("x"))
+    assert spc.slices(df, "i", 100) is not None
+    for out in (spc.moving_ranges(df, "x", [], ["i"], spc.slices(df, "i", 100)), sequence.numbered(df, [], ["i"], "p", spc.slices(df, "i", 100))):
+        assert out.count() == 1000
+        assert out.select(spc.F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def hold_by_hand(s):
     s = list(s)
     for i in range(1, len(s)):
