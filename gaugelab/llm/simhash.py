@@ -178,17 +178,11 @@ def _dealt(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(shuffle_width(rows.sparkSession))))
 
 
-def _looked_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """Rows (with ``_salt``) joined with ``found``, which has one row a key. It is sent to each of a key's groups, at most as many as there are partitions."""
-    groups = rows.select(key, "_salt").distinct().join(found, key)
-    return rows.join(groups, [key, "_salt"]).drop("_salt")
-
-
 def _with_least(edges: DataFrame) -> DataFrame:
-    """``(a, b, m)``: with each edge the smallest b of its a. A node of very many edges is worked on in groups."""
+    """``(a, b, m)``: with each edge the smallest b of its a. A node of very many edges is worked on in groups, and what they find is put together."""
     dealt = _dealt(edges, "b")
-    least = dealt.groupBy("a", "_salt").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
-    return _looked_up(dealt, "a", least)
+    groups = dealt.groupBy("a", "_salt").agg(F.min("b").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("a")))
+    return dealt.join(groups, ["a", "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +215,8 @@ def _classes_of(known: DataFrame) -> DataFrame:
     comp = components(links(least.select("fp")))
     comp = materialize(comp.unionAll(comp.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
     tops = comp.join(least, "fp").groupBy("root").agg(F.min("least").alias("top"))
-    topped = _looked_up(_dealt(comp, "fp"), "root", tops)  # a component may hold a large part of all fingerprints
+    dealt = _dealt(comp, "fp")  # a component may hold a large part of all fingerprints
+    topped = dealt.join(dealt.select("root", "_salt").distinct().join(tops, "root"), ["root", "_salt"]).drop("_salt")
     of = least.join(topped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
     return materialize(of, "simhash-classes")  # so that a join with many documents of one fingerprint reads two plain exchanges, which Spark can split
 
