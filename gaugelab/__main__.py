@@ -14,15 +14,6 @@ from .sinks.writers import console_report
 from .sources import readers
 
 
-def _latest(spark, root, test, kind):
-    """Path of the newest artifact; a CSV report is a folder, known by its parts."""
-    import os
-
-    folder = os.path.join(root, test)
-    have = [os.path.join(folder, f) for f in (os.listdir(folder) if os.path.isdir(folder) else []) if ("_data_" in f if kind == "csv" else f.endswith("." + kind))]
-    return max(have, key=lambda p: (os.path.getmtime(p), p), default=None)
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gaugelab")
     p.add_argument("what", choices=("run", "list", "summary", "rows", "files"))
@@ -44,14 +35,16 @@ def main(argv: list[str] | None = None) -> int:
         (views.artifact_counts(files) if a.what == "list" else views.file_listing(files)).show(1000, truncate=False)
         return 0
     for test in SPECS if a.test == "all" else [a.test]:
-        path = _latest(spark, a.root, test, "json" if a.what == "summary" else "csv")
+        path = readers.latest_artifact(spark, a.root, test, "json" if a.what == "summary" else "csv")
         if path is None:
             print(f"{test}: no results")
         elif a.what == "summary":
             print("\n".join(console_report(readers.read_document(spark, path, test), test)))
         else:
             df = readers.read_report(spark, path, test)
-            df.limit(row_count_or(a.n)).show(1000, truncate=False)
+            r = views.shape(df).first()
+            print(f"{test}: {r.n_rows} rows, {r.n_columns} columns: {r.columns}")
+            views.head_rows(df, row_count_or(a.n)).show(1000, truncate=False)
     return 0
 
 

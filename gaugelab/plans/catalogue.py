@@ -351,17 +351,4 @@ def stamps_and_images(spark, sf):
     return t(spark, sf, "events").select("event_id", scalar.run_stamp(F.col("ts")).alias("stamp"), F.base64(F.encode("event_type", "UTF-8")).alias("image"))
 
 
-@query()
-def generated_burnin(spark, sf):
-    from ..sources.generators import generate
-
-    return generate(spark, "burnin", 10)
-
-
-@query()
-def generated_statistics(spark, sf):
-    """Statistics of one run of each test type, one below the other."""
-    from ..sources.generators import GENERATORS, generate
-    from . import runs
-
-    return views.cross_test({n: runs.analyze(generate(spark, n, 2), n) for n in GENERATORS})
+from . import round_trips  # noqa: E402, F401  # sources, sinks and generators register themselves

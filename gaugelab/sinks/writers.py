@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +19,22 @@ def stamp(at: datetime) -> str:
 
 def append_table(df: DataFrame, name: str) -> None:
     """One job, one commit: a failed task leaves no rows behind."""
-    df.write.mode("append").saveAsTable(name)
+    where = {"path": _scratch_tables[name]} if name in _scratch_tables else {}
+    df.write.mode("append").options(**where).saveAsTable(name)
 
 
 def append_jdbc(df: DataFrame, url: str, name: str, **options) -> None:
     df.write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
 
 
+#: Times as CSV, with all their digits.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_csv(df: DataFrame, root: str, test_name: str, at: datetime, one_file: bool = False) -> str:
     """CSV with a header below ``root/test_name``; nulls are empty. As many part files as the frame has partitions, in its order, or one if asked for: a single task then writes all rows."""
     path = f"{root}/{test_name}/{test_name}_data_{stamp(at)}"
-    (df.coalesce(1) if one_file else df).write.option("header", True).option("nullValue", "").csv(path)
+    (df.coalesce(1) if one_file else df).write.option("header", True).option("nullValue", "").options(**_TIMES).csv(path)
     return path
 
 
@@ -33,11 +42,34 @@ def write_document(df: DataFrame, root: str, test_name: str, at: datetime) -> st
     """A result document as indented JSON. It is one row; nulls are written."""
     row = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"]
     path = f"{root}/{test_name}/{test_name}_stats_{stamp(at)}.json"
-    _write_text(df.sparkSession, path, json.dumps(json.loads(row), indent=4, ensure_ascii=False))
+    write_text(df.sparkSession, path, json.dumps(json.loads(row), indent=4, ensure_ascii=False))
     return path
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, below ``spark.checkpoint.dir``. Only a session without one, in local mode, gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="gaugelab-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def scratch_table(spark: SparkSession) -> str:
+    """The name of a new empty table whose files lie in a folder as ``scratch`` gives."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    _scratch_tables[name] = scratch(spark)
+    return name
+
+
+_scratch_tables: dict[str, str] = {}
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Through Hadoop's file systems, so that any of them will do."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

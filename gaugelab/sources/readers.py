@@ -38,7 +38,7 @@ def read_document(spark: SparkSession, path: str, test_type: str) -> DataFrame:
 def list_artifacts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files below ``root``, each in a folder named after its test: ``(path, modified, length, test_name, kind)``. Contents aren't read.
 
-    No such folder gives no rows.
+    Empty files are left out. No such folder gives no rows.
     """
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(root)
@@ -49,6 +49,21 @@ def list_artifacts(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
     return files.select("path", F.col("modificationTime").alias("modified"), "length", F.element_at(parts, -2).alias("test_name"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"))
 
 
+def latest_artifact(spark: SparkSession, root: str, test_name: str, kind: str) -> str | None:
+    """Path of the newest result document (``json``), picture (``png``) or report (``csv``, a folder of parts) of a test, on any file system.
+
+    Names carry their time, so of files that were written in one moment the one of the later name counts. None if there is none.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{test_name}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    names = [(f.getPath().getName(), f) for f in fs.listStatus(where)]
+    have = [(f.getModificationTime() // 1000, n, f.getPath().toString()) for n, f in names if ("_data_" in n if kind == "csv" else n.endswith(f".{kind}"))]
+    return max(have)[2] if have else None
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Contents of PNG files; empty ones are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", True).load(root)

@@ -223,3 +223,37 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_command_line(spark, tmp_path, capfd, monkeypatch):
+    from gaugelab.__main__ import main
+
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    root = str(tmp_path / "reports")
+    assert main(["run", "hipot", "--root", root, "--duration", "1"]) == 0
+    assert main(["summary", "hipot", "--root", root]) == 0
+    assert main(["rows", "hipot", "3", "--root", root]) == 0
+    assert main(["summary", "laser", "--root", root]) == 0
+    assert main(["files", "--root", root]) == 0
+    said = capfd.readouterr().out
+    assert "1 of 1 runs succeeded (100.0%)" in said and "Pass Rate: " in said and "laser: no results" in said
+    assert "hipot: 1000 rows, 4 columns: timestamp, voltage, current, pass_fail" in said
+
+
+def test_newest_artifact(spark, tmp_path):
+    root = str(tmp_path)
+    assert readers.latest_artifact(spark, root, "hipot", "json") is None
+    doc = runs.analyze(generate(spark, "hipot", 1), "hipot", AT)
+    paths = [writers.write_document(doc, root, "hipot", datetime(2024, 1, k, 1)) for k in (1, 3, 2)]
+    for p, at in zip(paths, (1_700_000_300, 1_700_000_100, 1_700_000_200)):
+        os.utime(p, (at, at))
+    assert readers.latest_artifact(spark, root, "hipot", "json").endswith(paths[0])
+    os.utime(paths[1], (1_700_000_300, 1_700_000_300))
+    assert readers.latest_artifact(spark, root, "hipot", "json").endswith(paths[1])
+    assert readers.latest_artifact(spark, root, "hipot", "csv") is None
+
+
+def test_times_keep_their_digits_in_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 2, 3, 4, 5, 678901))], "id long, timestamp timestamp_ntz")
+    path = writers.write_csv(df, str(tmp_path), "x", AT)
+    assert readers.read_csv(spark, path, df.schema).first() == df.first()
