@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, shuffle_width, unwrapped, wrapped
+from .common import WORD, discard, materialize, shuffle_width, unwrapped, wrapped
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -165,7 +165,10 @@ def plan(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights
     leaves = tasks.mapInPandas(_leaves(totals, levels, chunk, int.from_bytes(seed.encode()[:8], "little")), _DRAWS)
     each = leaves.select("i", "shard", "n_blocks", "passes", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
     places = each.select("i", (F.col("draw") % F.col("n_blocks")).alias("block"), F.expr("draw div n_blocks").alias("pass_no"), (F.expr("draw div n_blocks") >= F.col("passes")).alias("late"), "shard")
-    return Plan(sources.drop("quota"), materialize(places, "mix-places"), n)
+    drawn = materialize(places, "mix-places")
+    for used in (narrow, info, blocks):
+        discard(used)
+    return Plan(sources.drop("quota"), drawn, n)
 
 
 def _placed(rows: DataFrame, p: Plan) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, materialize, unwrapped, words_of, wrapped
+from .common import WORD, discard, let, materialize, unwrapped, words_of, wrapped
 
 #: Rule name -> failure, as a function of the measurements. The place in this table is the bit; rules are only ever appended.
 RULES = {
@@ -71,8 +71,8 @@ def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     place = F.conv(F.substring(F.md5(F.col("_d").cast("string")), 1, 5), 16, 10).cast("int")
     chosen = known.where(place < F.when(F.col("_toxic") == 1, part(1, MOST_TOXIC)).otherwise(part(0, MOST_CLEAN)))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    rows = materialize(rows.join(F.broadcast(chosen), "_d"), "quality-labelled")  # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast; no text is parted before it is chosen
-    rows = rows.withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).drop("text").where(F.size("ws") >= 20)
+    held = materialize(rows.join(F.broadcast(chosen), "_d"), "quality-labelled")  # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast; no text is parted before it is chosen
+    rows = held.withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).drop("text").where(F.size("ws") >= 20)
     n = {(r["lang"], r["_toxic"]): r["count"] for r in rows.groupBy("lang", "_toxic").count().collect()}
     each = rows.select("_d", "lang", "_toxic", F.size("ws").alias("n"), F.explode(F.flatten(F.transform("ws", lambda w: F.array(*[F.when(F.char_length(w) >= j, F.left(w, F.lit(j))) for j in STEM])))).alias("stem")).where("stem IS NOT NULL")
     # whole numbers, so that no order of adding up matters
@@ -88,6 +88,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     out: dict[str | None, list[str]] = {}
     for r in sums.where(marks).select("lang", "stem").collect():
         out.setdefault(r["lang"], []).append(r["stem"])
+    discard(held)
     return {k: sorted(x for x in v if not any(x[:j] in v for j in range(1, len(x)))) for k, v in out.items()}
 
 

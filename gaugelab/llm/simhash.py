@@ -205,20 +205,25 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._written_to = now._written_to
+            return out
         seen = mark
 
 
 def _classes_of(known: DataFrame) -> DataFrame:
     """``(fp, root, component_id)`` for each distinct fingerprint; root is a fingerprint that names the component."""
     least = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
-    comp = components(links(least.select("fp")))
-    comp = materialize(comp.unionAll(comp.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
+    found = components(links(least.select("fp")))
+    comp = materialize(found.unionAll(found.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
     tops = comp.join(least, "fp").groupBy("root").agg(F.min("least").alias("top"))
     dealt = _dealt(comp, "fp")  # a component may hold a large part of all fingerprints
     topped = dealt.join(dealt.select("root", "_salt").distinct().join(tops, "root"), ["root", "_salt"]).drop("_salt")
     of = least.join(topped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "least").alias("component_id"))
-    return materialize(of, "simhash-classes")  # so that a join with many documents of one fingerprint reads two plain exchanges, which Spark can split
+    out = materialize(of, "simhash-classes")  # so that a join with many documents of one fingerprint reads two plain exchanges, which Spark can split
+    for used in (found, comp, least):
+        discard(used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
