@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugelab.llm import lines, mixing, packing, quality, simhash
-from gaugelab.llm.common import materialize, table
+from gaugelab.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each document as often as the mix takes it: not at all, once or twice; written in the shuffled order of the mix's shards."""
+    return mixing.mix(docs, places=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)  # the next stage has written what it kept of it
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
