@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spc import SLICE_ROWS, slices
+from .spc import SLICE_ROWS, checked, slices
 
 HOLD = 4
 
@@ -14,10 +14,10 @@ def circular_shift(df: DataFrame, value: str, by: list[str], index: str, k: int)
     """``value`` moved on by k places in each series of gapless 0-based ``index``, the end coming round; an equi-join on series and moved index, which parts evenly."""
     n = df.groupBy(*by).agg(F.count("*").alias("_n"))
     if by:
-        n = n.select(*[F.col(b).alias(f"_on_{b}") for b in by], "_n")
+        n = checked(n.select(*[F.col(b).alias(f"_on_{b}") for b in by], "_n"))
         moved = df.join(n, [F.col(b).eqNullSafe(F.col(f"_on_{b}")) for b in by])  # a row for each series
     else:
-        moved = df.join(n)
+        moved = df.join(F.broadcast(n))  # one row
     source = moved.select(*[F.col(b).alias(f"_{b}") for b in by], F.pmod(F.col(index) + k, F.col("_n")).alias("_i"), F.col(value).alias("_v"))
     on = [df[b].eqNullSafe(F.col(f"_{b}")) for b in by] + [df[index] == F.col("_i")]
     return df.join(source, on).select(*[F.col("_v").alias(c) if c == value else df[c] for c in df.columns])
@@ -25,7 +25,10 @@ def circular_shift(df: DataFrame, value: str, by: list[str], index: str, k: int)
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, of: Column | None = None) -> DataFrame:
     """``df`` with the 0-based place of each row in its series (long): its place in a slice, and the rows of the slices before."""
-    sliced = df.withColumn("_slice", slices(df, order[0]) if of is None else of)
+    of = slices(df, order[0]) if of is None else of
+    if of is None:  # all rows fit in a slice
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0), *by).orderBy(*order)) - 1).cast("long"))
+    sliced = df.withColumn("_slice", of)
     names = [*by, "_slice"]
     counts = sliced.groupBy(*names).agg(F.count("*").alias("_n"))
     up = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice

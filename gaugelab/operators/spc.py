@@ -37,13 +37,28 @@ def moving_range_sliced(df: DataFrame, value: str, by: list[str], index: str, wi
 SLICE_ROWS = 200_000
 
 
-def slices(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> Column:
-    """A slice number that rises with ``column``, a number or a time, for slices of about so many rows of all series. Its width follows from the count and the range of the data."""
+#: A table of a row for each series or chart is broadcast if it has no more.
+MOST_BROADCAST = 100_000
+
+
+def checked(table: DataFrame) -> DataFrame:
+    """A table of a row for each series or chart, worked out once and kept, and broadcast if it has few rows; else joined as Spark sees fit."""
+    held = table.persist()
+    return F.broadcast(held) if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else held
+
+
+def slices(df: DataFrame, column: str, rows: int | None = None) -> Column | None:
+    """A slice number that rises with ``column``, a number or a time, for slices of about so many rows of all series; None if one will do.
+
+    The width follows from the count and the range of the data.
+    """
+    parts = -(-df.count() // (rows or SLICE_ROWS))
+    if parts <= 1:
+        return None
     x = F.col(column).cast("timestamp").cast("double") if dict(df.dtypes)[column].startswith("timestamp") else F.col(column).cast("double")
-    seen = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).first()
-    parts = max(1, -(-seen["n"] // rows))
+    seen = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if seen["lo"] is None or seen["hi"] == seen["lo"]:
-        return F.lit(0).cast("long")
+        return None
     return F.coalesce(F.floor((x - F.lit(seen["lo"])) * F.lit(parts / (seen["hi"] - seen["lo"]))), F.lit(-1)).cast("long")
 
 
@@ -64,11 +79,19 @@ def with_tails(df: DataFrame, by: list[str], order: list[str], of: Column, k: in
     return sliced.withColumn("_own", F.lit(True)).unionByName(before.select(*names, *[F.col(f"_t.{c}").alias(c) for c in columns], F.lit(False).alias("_own")))
 
 
+def _near(df: DataFrame, by: list[str], order: list[str], of: Column | None, k: int) -> tuple[DataFrame, list[str]]:
+    """Rows for a window over k rows, and what to partition it by: series and slices, or series alone if all rows fit in a slice."""
+    of = slices(df, order[0]) if of is None else of
+    if of is None:
+        return df.withColumns({"_own": F.lit(True), "_slice": F.lit(0)}), [*by, "_slice"]
+    return with_tails(df, by, order, of, k), [*by, "_slice"]
+
+
 def rolling_ranges(df: DataFrame, value: str, k: int, by: list[str], order: list[str], of: Column | None = None) -> DataFrame:
     """``df`` with ``rolling_range``: largest less smallest of the last k values; null unless all k are there."""
-    near = with_tails(df, by, order, slices(df, order[0]) if of is None else of, k)
+    near, names = _near(df, by, order, of, k)
     x = known(F.col(value).cast("double"))
-    w = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(1 - k, 0)
+    w = Window.partitionBy(*names).orderBy(*order).rowsBetween(1 - k, 0)
     out = near.withColumn("rolling_range", F.when(F.count(x).over(w) == k, F.max(x).over(w) - F.min(x).over(w)))
     return out.where("_own").select(*df.columns, "rolling_range")
 
@@ -78,14 +101,15 @@ def moving_ranges(df: DataFrame, value: str, by: list[str], order: list[str], of
 
     Series may be few and long: the work is parted by series and slice, and only the last row of a slice goes on to the next.
     """
-    near = with_tails(df, by, order, slices(df, order[0]) if of is None else of, 2)
+    near, names = _near(df, by, order, of, 2)
     x = known(F.col(value).cast("double"))
-    out = near.withColumn("moving_range", F.abs(x - F.lag(x).over(Window.partitionBy(*by, "_slice").orderBy(*order))))
+    out = near.withColumn("moving_range", F.abs(x - F.lag(x).over(Window.partitionBy(*names).orderBy(*order))))
     return out.where("_own").select(*df.columns, "moving_range")
 
 
 def _with_limits(df: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
-    """Limits are a row for each chart; how they are joined is left to Spark, which knows their size when they are there."""
+    """Limits are a row for each chart."""
+    limits = checked(limits)
     if not by:
         return df.join(limits)
     on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]

@@ -91,7 +91,8 @@ def spc_chart(df: DataFrame, test_name: str, first: int = 2) -> DataFrame:
     one = stats.wide(df, names)
     limits = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(f"{n}_mean").alias("m"), (3 * F.col(f"{n}_std")).alias("w")) for n in names])).alias("l"))
     limits = limits.select(F.col("l.parameter").alias("_parameter"), F.col("l.m").alias("cl"), (F.col("l.m") + F.col("l.w")).alias("ucl"), (F.col("l.m") - F.col("l.w")).alias("lcl"))
-    return time_series(df, test_name, first).join(limits, F.col("parameter") == F.col("_parameter")).drop("_parameter")
+    # at most ``first`` rows
+    return time_series(df, test_name, first).join(F.broadcast(limits), F.col("parameter") == F.col("_parameter")).drop("_parameter")
 
 
 def plot_panels(df: DataFrame, spec: TestSpec) -> DataFrame:

@@ -94,14 +94,17 @@ def test_sliced_moving_range(spark, n, width):
     assert col(spc.moving_range_sliced(gaps, "x", ["k"], "i", width), "moving_range") == want
 
 
-def test_limits_come_as_a_broadcast_once_their_size_is_known(log):
-    chart = spc.xbar_chart(log, "x", ["k"])
-    assert "BroadcastHashJoin" not in chart._jdf.queryExecution().executedPlan().toString()  # nothing is forced
-    chart.collect()
-    plan = chart._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+def test_limits_come_as_a_broadcast(log):
+    plan = spc.xbar_chart(log, "x", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
 
 
+def test_many_limits_are_not_broadcast(log, monkeypatch):
+    monkeypatch.setattr(spc, "MOST_BROADCAST", 1)
+    chart = spc.xbar_chart(log, "x", ["k"])
+    assert "ResolvedHint" not in chart._jdf.queryExecution().analyzed().toString() and chart.count() == log.count()
+
+
 @pytest.mark.parametrize("k", [2, 5])
 @pytest.mark.parametrize("parts", [1, 7, 400])
 def test_long_series_in_slices(spark, k, parts):
@@ -123,7 +126,7 @@ def test_long_series_in_slices(spark, k, parts):
 
 def test_no_window_is_over_a_whole_table(spark):
     df = spark.range(1000).select(spc.F.col("id").alias("i"), spc.F.rand(1).alias("x"))
-    assert spc.slices(df, "i", 100) is not None
+    assert spc.slices(df, "i", 100) is not None and spc.slices(df, "i") is None
     for out in (spc.moving_ranges(df, "x", [], ["i"], spc.slices(df, "i", 100)), sequence.numbered(df, [], ["i"], "p", spc.slices(df, "i", 100))):
         assert out.count() == 1000
         assert out.select(spc.F.spark_partition_id().alias("p")).distinct().count() > 1
