@@ -107,8 +107,10 @@ def moving_ranges(df: DataFrame, value: str, by: list[str], order: list[str], of
     return out.where("_own").select(*df.columns, "moving_range")
 
 
-def _with_limits(df: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
-    """Limits are a row for each chart."""
+def _with_limits(df: DataFrame, limits: DataFrame, by: list[str], places: int | None) -> DataFrame:
+    """Limits are a row for each chart, so they are rounded before they meet the rows."""
+    if places is not None:
+        limits = limits.select(*by, *[F.round(c, places).alias(c) for c in ("cl", "ucl", "lcl")])
     limits = checked(limits)
     if not by:
         return df.join(limits)
@@ -116,15 +118,15 @@ def _with_limits(df: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
     return df.join(limits.withColumnsRenamed({b: f"_{b}" for b in by}), on).drop(*[f"_{b}" for b in by])
 
 
-def xbar_chart(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Each row with its chart's ``cl``, ``ucl`` and ``lcl``."""
-    return _with_limits(df, control_limits(df, value, by), by)
+def xbar_chart(df: DataFrame, value: str, by: list[str] = [], places: int | None = None) -> DataFrame:  # noqa: B006
+    """Each row with its chart's ``cl``, ``ucl`` and ``lcl``, rounded to ``places`` if given."""
+    return _with_limits(df, control_limits(df, value, by), by, places)
 
 
-def r_chart(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
+def r_chart(df: DataFrame, value: str, by: list[str], order: list[str], places: int | None = None) -> DataFrame:
     """Each row with its moving range and the limits of the ranges; the lower one may be negative."""
     ranges = moving_ranges(df, value, by, order)
-    return _with_limits(ranges, control_limits(ranges, "moving_range", by), by)
+    return _with_limits(ranges, control_limits(ranges, "moving_range", by), by, places)
 
 
 def out_of_limits(chart: DataFrame, value: str) -> DataFrame:

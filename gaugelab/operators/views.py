@@ -85,12 +85,14 @@ def time_series(df: DataFrame, test_name: str, first: int = 3) -> DataFrame:
     return long.select("x", "parameter", scalar.column_unit(F.lit(test_name), F.col("parameter")).alias("unit"), "y")
 
 
-def spc_chart(df: DataFrame, test_name: str, first: int = 2) -> DataFrame:
-    """The time series of the first numeric columns with their control limits, which are aggregated side by side before anything is unpivoted."""
+def spc_chart(df: DataFrame, test_name: str, first: int = 2, places: int | None = None) -> DataFrame:
+    """The time series of the first numeric columns with their control limits (rounded to ``places`` if given), which are aggregated side by side before anything is unpivoted."""
     names = numeric_columns(df, first=first)
     one = stats.wide(df, names)
     limits = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(f"{n}_mean").alias("m"), (3 * F.col(f"{n}_std")).alias("w")) for n in names])).alias("l"))
     limits = limits.select(F.col("l.parameter").alias("_parameter"), F.col("l.m").alias("cl"), (F.col("l.m") + F.col("l.w")).alias("ucl"), (F.col("l.m") - F.col("l.w")).alias("lcl"))
+    if places is not None:
+        limits = limits.select("_parameter", *[F.round(c, places).alias(c) for c in ("cl", "ucl", "lcl")])
     # at most ``first`` rows
     return time_series(df, test_name, first).join(F.broadcast(limits), F.col("parameter") == F.col("_parameter")).drop("_parameter")
 

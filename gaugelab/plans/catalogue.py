@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalar
 from ..operators import normalize, rules, sequence, spc, stats, views
@@ -29,8 +30,15 @@ def query(sql: str | None = None):
     return add
 
 
+_KNOWN: dict[str, StructType] = {}
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its footers are asked for their types once in a process."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.schema(_KNOWN[path]).parquet(path) if path in _KNOWN else spark.read.parquet(path)
+    _KNOWN[path] = df.schema
+    return df
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -140,7 +148,7 @@ def control_limits(spark, sf):
 @query(f"SELECT e.event_type, e.event_id, e.value, {_r('cl', 'cl')}, {_r('ucl', 'ucl')}, {_r('lcl', 'lcl')} FROM events e JOIN ({_LIMITS}) l ON e.event_type = l.event_type")
 def xbar_chart(spark, sf):
     log = t(spark, sf, "events").select("event_type", "event_id", "value")
-    return rounded(spc.xbar_chart(log, "value", ["event_type"]), "value")
+    return spc.xbar_chart(log, "value", ["event_type"], places=6)
 
 
 @query(f"SELECT e.event_type, e.event_id, e.value FROM events e JOIN ({_LIMITS}) l ON e.event_type = l.event_type WHERE value > ucl OR value < lcl")
@@ -187,7 +195,7 @@ def range_chart_limits(spark, sf):
 @query(f"SELECT r.event_type, r.event_id, r.moving_range, {_r('cl', 'cl')}, {_r('ucl', 'ucl')}, {_r('lcl', 'lcl')} FROM ({_MR}) r JOIN ({_RL}) l ON r.event_type = l.event_type")
 def r_chart(spark, sf):
     log = t(spark, sf, "events").select("event_type", "event_id", "ts", "value")
-    return rounded(spc.r_chart(log, "value", ["event_type"], _ORDER).drop("ts", "value"), "moving_range")
+    return spc.r_chart(log, "value", ["event_type"], _ORDER, places=6).drop("ts", "value")
 
 
 _SPARSE = "SELECT event_type AS test_type, event_id, value AS resistance, NULL::DOUBLE AS value FROM events WHERE event_type = 'click' UNION ALL SELECT event_type, event_id, NULL, value FROM events WHERE event_type <> 'click'"
@@ -333,7 +341,7 @@ _SPCD = " UNION ALL ".join(f"SELECT l_shipdate AS x, '{c}' AS parameter, '' AS u
 )
 def spc_dashboard(spark, sf):
     df = t(spark, sf, "lineitem").select(F.col("l_shipdate").alias("timestamp"), *MEASURES)
-    return rounded(views.spc_chart(df, "none", first=2), "y")
+    return views.spc_chart(df, "none", first=2, places=6)
 
 
 @query("SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 10")
