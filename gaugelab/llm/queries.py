@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, idfiles, lines, mixing, packing, quality, secrets, simhash, urls
+from . import fingerprints, html_text, idfiles, lines, mixing, packing, quality, queries_text, secrets, simhash, urls
 from .common import table
 
 
@@ -65,7 +65,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_secret_scan, op2_line_dedup, op3_fingerprints, op4_best_fit_packing, op5_simhash, op6_quality_rules, op7_url_filter, op8_source_mixing, op9_token_files, op10_html_text)
-}
+} | queries_text.QUERIES
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -198,7 +198,7 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} WHEN score > 0
 @lru_cache(maxsize=1)
 def _sql() -> dict[str, str]:
     """The other operators hash, tokenize, search or parse in ways SQL can't follow; tests hold them against plain versions."""
-    return {"op1_secret_scan": _op1(), "op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op7_url_filter": _op7(), "op8_source_mixing": _OP8}
+    return {"op1_secret_scan": _op1(), "op2_line_dedup": _OP2, "op6_quality_rules": _OP6, "op7_url_filter": _op7(), "op8_source_mixing": _OP8} | queries_text.SQL
 
 
 def __getattr__(name: str):
