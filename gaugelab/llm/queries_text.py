@@ -4,18 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations
+from . import collocations, search
 from .common import table
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op13_collocations,)}
+QUERIES = {f.__name__: f for f in (op11_ranked_search, op13_collocations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS ts FROM benchmark),
+q AS (SELECT i, unnest(ts) AS term FROM i),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, totals GROUP BY term, docs),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(ts)::BIGINT * docs) // terms AS m FROM d, totals WHERE len(ts) > 0),
+s AS (SELECT i, p.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN p ON q.term = p.term JOIN w ON w.term = p.term JOIN m ON m.r = p.r GROUP BY ALL),
+k AS (SELECT i, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s JOIN d ON s.r = d.r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN i ON k.i = i.i WHERE rank <= 50
+"""
+
 _OP13 = rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
@@ -32,4 +51,4 @@ SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC,
 FROM best JOIN sizes ON best.lang = sizes.lang QUALIFY row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) <= {collocations.MOST_RANKED}
 """
 
-SQL = {"op13_collocations": _OP13}
+SQL = {"op11_ranked_search": _OP11, "op13_collocations": _OP13}
