@@ -43,7 +43,7 @@ def split_words(data: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids[ids > -2], [w for w in words if w not in (b"", b"\n")]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each block and language: its words with their counts, and the stream of its words as places in that list (-1: a piece ends)."""
 
     def run(frames):
@@ -65,7 +65,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 held.setdefault(lang, []).append(data)
                 size += len(data)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield flush()
                     size = 0
         yield flush()
@@ -74,10 +74,10 @@ def blocks(docs: DataFrame) -> DataFrame:
     return src.mapInPandas(run, "block long, lang string, words array<string>, counts array<long>, stream binary")
 
 
-def frequent_words(cut: DataFrame) -> DataFrame:
-    """``(lang, word, n, id)`` for words of LEAST occurrences in their language; ids count from 1 over all languages."""
+def frequent_words(cut: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(lang, word, n, id)`` for words of ``least`` occurrences in their language; ids count from 1 over all languages."""
     each = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
-    placed = each.where(F.col("n") >= LEAST).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = each.where(F.col("n") >= least).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     held = materialize(placed, "collocations-words")
     before, starts = 1, []
     for r in held.groupBy("_part").agg((F.max("_at") + 1).alias("n")).orderBy("_part").collect():  # a row for each partition
@@ -157,8 +157,8 @@ def splitters(coded: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return hi[at], lo[at]
 
 
-def count_phrases(coded: DataFrame, cuts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(key, a)`` for phrases of LEAST occurrences; a key holds four bytes for each word."""
+def count_phrases(coded: DataFrame, cuts: tuple[np.ndarray, np.ndarray], least: int = LEAST) -> DataFrame:
+    """``(key, a)`` for phrases of ``least`` occurrences; a key holds four bytes for each word."""
     held = coded.sparkSession.sparkContext.broadcast(cuts)
 
     def sort(frames):
@@ -201,14 +201,14 @@ def count_phrases(coded: DataFrame, cuts: tuple[np.ndarray, np.ndarray]) -> Data
                 continue
             first = np.flatnonzero(new)
             a = np.add.reduceat(n, first)
-            keep = (a >= LEAST) & (words[first, k] > 0)
+            keep = (a >= least) & (words[first, k] > 0)
             keep[[0, -1]] = words[first[[0, -1]], k] > 0  # these may go on in the ranges beside this one
             out += [(words[i, : k + 1].tobytes(), int(x)) for i, x in zip(first[keep], a[keep])]
         return pd.DataFrame(out, columns=["key", "a"])
 
     ranged = coded.select("stream").mapInPandas(sort, "range long, keys binary")
     counted = ranged.groupBy("range").applyInPandas(runs, "key binary, a long")
-    return counted.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    return counted.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _part(key: str, begin: int, words: int) -> Column:
@@ -232,15 +232,15 @@ def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
     return least.select("key", "a", "m.l", "m.r", "m.score")
 
 
-def mine(docs: DataFrame) -> DataFrame:
+def mine(docs: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's MOST_RANKED phrases by score, count and text."""
-    cut = materialize(blocks(docs), "collocations-blocks")
+    cut = materialize(blocks(docs, block_bytes), "collocations-blocks")
     sizes = cut.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    words = frequent_words(cut)
+    words = frequent_words(cut, least)
     ranges = max(-(-total // RANGE_KEYS), shuffle_width(docs.sparkSession))
     coded = materialize(encode(cut, words, max(1, total // max(200_000, 8 * ranges))), "collocations-streams")
-    phrases = materialize(count_phrases(coded, splitters(coded, ranges)), "collocations-phrases")
+    phrases = materialize(count_phrases(coded, splitters(coded, ranges), least), "collocations-phrases")
     best = materialize(scored(phrases, words), "collocations-scores")
     by_lang = best.join(words.select("lang", F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("_first")), F.substring("key", 1, 4) == F.col("_first")).drop("_first")
     # scores in a thousand steps: from the one on that reaches the last rank, phrases are few enough to be written out and ordered

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, search
+from . import classify, collocations, search
 from .common import table
 
 
@@ -12,11 +12,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op11_ranked_search, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op11_ranked_search, op12_quality_classes, op13_collocations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialize, shuffle_width
+from .common import ascii_lower, discard, materialize
 
 SHARD_BYTES = 32_000_000
 #: Items that are searched in one pass over the index.
@@ -73,7 +73,7 @@ def treaps(start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     return order, left
 
 
-def index(docs: DataFrame, docs_total: int, terms_total: int) -> DataFrame:
+def index(docs: DataFrame, docs_total: int, terms_total: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each shard and term: ``(shard, term, size, at, tf, left)`` in preorder, and one without term for the documents: their ids, numbers of
     terms, and which have no id."""
 
@@ -104,7 +104,7 @@ def index(docs: DataFrame, docs_total: int, terms_total: int) -> DataFrame:
             for i, known, text in zip(f["doc_id"], f["known"], f["text"]):
                 held.append((int(i) if known else None, text.encode("utf-8", "surrogatepass")))
                 size += len(held[-1][1])
-                if size >= SHARD_BYTES:
+                if size >= shard_bytes:
                     yield shard(held, task << 32 | made)
                     made, held, size = made + 1, [], 0
         if held:
@@ -244,11 +244,11 @@ def _block(spark: SparkSession, held: DataFrame, items: list[tuple[int, list[str
     return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "item long, doc_id long, score long")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the ``k`` highest-scoring documents of each item."""
     spark = docs.sparkSession
     docs_total, terms_total = totals(docs)
-    held = materialize(index(docs, docs_total, terms_total), "search-index")
+    held = materialize(index(docs, docs_total, terms_total, shard_bytes), "search-index")
     asked = items.select("item_id", F.array_distinct(terms_of(F.col("text"))).alias("terms"))
     numbered = materialize(asked.withColumn("_item", F.monotonically_increasing_id()), "search-items")
     blocks, block = [], []
