@@ -11,21 +11,28 @@ HOLD = 4
 
 
 def circular_shift(df: DataFrame, value: str, by: list[str], index: str, k: int) -> DataFrame:
-    """``value`` moved on by k places in each series of gapless 0-based ``index``, the end coming round; an equi-join on series and moved index, which parts evenly."""
+    """``value`` moved on by k places in each series of gapless 0-based ``index``, the end coming round.
+
+    Values keep their rows and get a new index, so nothing is sorted or shuffled but a count for each series. Only other columns, which stay where
+    they were, have to be joined to them, by series and index, which parts evenly.
+    """
     n = df.groupBy(*by).agg(F.count("*").alias("_n"))
     if by:
         n = checked(n.select(*[F.col(b).alias(f"_on_{b}") for b in by], "_n"))
         moved = df.join(n, [F.col(b).eqNullSafe(F.col(f"_on_{b}")) for b in by])  # a row for each series
     else:
         moved = df.join(F.broadcast(n))  # one row
-    source = moved.select(*[F.col(b).alias(f"_{b}") for b in by], F.pmod(F.col(index) + k, F.col("_n")).alias("_i"), F.col(value).alias("_v"))
+    place = F.pmod(F.col(index) + k, F.col("_n"))
+    if set(df.columns) == {*by, index, value}:
+        return moved.select(*[place.alias(index) if c == index else F.col(c) for c in df.columns])
+    source = moved.select(*[F.col(b).alias(f"_{b}") for b in by], place.alias("_i"), F.col(value).alias("_v"))
     on = [df[b].eqNullSafe(F.col(f"_{b}")) for b in by] + [df[index] == F.col("_i")]
     return df.join(source, on).select(*[F.col("_v").alias(c) if c == value else df[c] for c in df.columns])
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, of: Column | None = None) -> DataFrame:
     """``df`` with the 0-based place of each row in its series (long): its place in a slice, and the rows of the slices before."""
-    of = slices(df, order[0]) if of is None else of
+    of = slices(df, order[0], by=by) if of is None else of
     if of is None:  # all rows fit in a slice
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0), *by).orderBy(*order)) - 1).cast("long"))
     sliced = df.withColumn("_slice", of)
@@ -44,10 +51,11 @@ def debounce(df: DataFrame, value: str, by: list[str], index: str) -> DataFrame:
 
 
 def debounce_long(df: DataFrame, value: str, by: list[str], index: str) -> DataFrame:
-    """The same for many series, each in one task: sorted partitions are streamed through, with one state for each series and none of its rows kept. A series without key goes in slices."""
+    """The same for series of up to SLICE_ROWS samples, whose sorted partitions are streamed through, with one state for each series and none of its rows
+    kept. If a series is longer, or there is no key, all go in slices."""
     import pandas as pd
 
-    if not by:
+    if not by or df.count() > SLICE_ROWS and df.agg(F.max(index)).first()[0] >= SLICE_ROWS:
         return debounce_sliced(df, value, by, index, SLICE_ROWS)
 
     cols = [*by, index, value]
@@ -85,6 +93,26 @@ def _moves() -> list[list[int]]:
     return out
 
 
+#: Slices whose maps one task applies one after the other.
+STRETCH = 10_000
+
+
+def _starts(found: DataFrame, by: list[str], keys: str, starts, composed, many: bool) -> DataFrame:
+    """The state that each slice begins in, from the maps of all slices (a row of eleven numbers for each). Many slices are taken in stretches,
+    whose composed maps are applied first."""
+    first = found.withColumn("begin", F.lit(0))
+    if not many:
+        return first.groupBy(*by).applyInPandas(starts, f"{keys}, begin int")
+    parted = found.withColumn("_stretch", F.floor(F.col("_slice") / STRETCH).cast("long"))
+    part_keys = keys.replace("`_slice`", "`_stretch`")
+    whole = parted.groupBy(*by, "_stretch").applyInPandas(composed, f"{part_keys}, m array<int>").withColumn("begin", F.lit(0))
+    begin = whole.groupBy(*by).applyInPandas(starts, f"{part_keys}, begin int")
+    names = [*by, "_stretch"]
+    on = [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in names]
+    each = parted.join(begin.select(*[F.col(n).alias(f"_on_{n}") for n in names], "begin"), on).select(*by, "_slice", "m", "begin", "_stretch")
+    return each.groupBy(*names).applyInPandas(starts, f"{keys}, begin int")
+
+
 def debounce_sliced(df: DataFrame, value: str, by: list[str], index: str, width: int) -> DataFrame:
     """The same where single series are too long for a task. Samples are 0 or 1.
 
@@ -113,13 +141,21 @@ def debounce_sliced(df: DataFrame, value: str, by: list[str], index: str, width:
         if key is not None:
             yield pd.DataFrame([(*key, m)], columns=[*names, "m"])
 
-    def starts(f):
+    def composed(f):
         f = f.sort_values("_slice")
-        state, out = 0, []
+        m = list(range(11))
+        for step in f["m"]:
+            m = [int(step[x]) for x in m]
+        return f[[*by, "_stretch"]].head(1).assign(m=[m])
+
+    def starts(f):
+        part = "_slice" if "_slice" in f else "_stretch"
+        f = f.sort_values(part)
+        state, out = int(f["begin"].iloc[0]), []
         for m in f["m"]:
             out.append(state)
             state = int(m[state])
-        return f[names].assign(begin=out)
+        return f[[*by, part]].assign(begin=out)
 
     def run(frames):
         key, state = None, 0
@@ -133,7 +169,7 @@ def debounce_sliced(df: DataFrame, value: str, by: list[str], index: str, width:
             yield f[[*by, index]].assign(**{value: pd.array(out, dtype="int32")})
 
     found = dealt(src).mapInPandas(maps, f"{keys}, m array<int>")
-    found = found.groupBy(*by).applyInPandas(starts, f"{keys}, begin int")  # a row of eleven numbers for each slice
+    found = _starts(found, by, keys, starts, composed, df.count() // width >= STRETCH)
     on = [F.col(n).eqNullSafe(F.col(f"_on_{n}")) for n in names]
     both = src.join(found.select(*[F.col(n).alias(f"_on_{n}") for n in names], "begin"), on).select(*names, index, value, "begin")
     return dealt(both).mapInPandas(run, src.select(*by, index, value).schema)

@@ -37,29 +37,64 @@ def moving_range_sliced(df: DataFrame, value: str, by: list[str], index: str, wi
 SLICE_ROWS = 200_000
 
 
-#: A table of a row for each series or chart is broadcast if it has no more.
-MOST_BROADCAST = 100_000
+#: A table of a row for each series or chart is broadcast if it has no more rows, and no more bytes.
+MOST_BROADCAST = 20_000
+BROADCAST_BYTES = 8_000_000
+
+#: Slices of all series together; beyond so many rows times SLICE_ROWS they grow with the data.
+MOST_SLICES = 4_096
 
 
 def checked(table: DataFrame) -> DataFrame:
-    """A table of a row for each series or chart, worked out once and kept, and broadcast if it has few rows; else joined as Spark sees fit."""
-    held = table.persist()
-    return F.broadcast(held) if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else held
+    """A table of a row for each series or chart: worked out at once, and broadcast, if it has few rows and bytes; else joined as Spark sees fit. Nothing is kept."""
+    held = table.limit(MOST_BROADCAST + 1).toArrow()
+    if held.num_rows > MOST_BROADCAST or held.nbytes > BROADCAST_BYTES:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(held, table.schema))
+
+
+def as_number(df: DataFrame, column: str) -> Column:
+    """A number or a time as a double (seconds), null for NaN."""
+    kind = dict(df.dtypes)[column]
+    return known(F.col(column).cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else F.col(column).cast("double"))
 
 
-def slices(df: DataFrame, column: str, rows: int | None = None) -> Column | None:
-    """A slice number that rises with ``column``, a number or a time, for slices of about so many rows of all series; None if one will do.
+def cut_points(df: DataFrame, by: list[str], column: str, rows: int | None = None) -> list[float]:
+    """Values of ``column`` that part the rows of the series with more than ``rows`` rows into slices of about so many; none if no series is so long.
 
-    The width follows from the count and the range of the data.
+    Cuts are quantiles, so that outliers, bursts and gaps leave the slices even; of equal values all stay in one slice.
     """
-    parts = -(-df.count() // (rows or SLICE_ROWS))
-    if parts <= 1:
-        return None
-    x = F.col(column).cast("timestamp").cast("double") if dict(df.dtypes)[column].startswith("timestamp") else F.col(column).cast("double")
-    seen = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if seen["lo"] is None or seen["hi"] == seen["lo"]:
-        return None
-    return F.coalesce(F.floor((x - F.lit(seen["lo"])) * F.lit(parts / (seen["hi"] - seen["lo"]))), F.lit(-1)).cast("long")
+    rows = rows or SLICE_ROWS
+    counts = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    total = counts.agg(F.sum("_n")).first()[0]
+    if not total:
+        return []
+    parts = min(MOST_SLICES, -(-total // rows))
+    some = df.select(*by, as_number(df, column).alias("_x"))
+    if by:
+        names = {b: f"_on_{b}" for b in by}
+        some = some.join(counts.select(*[F.col(b).alias(n) for b, n in names.items()]), [F.col(b).eqNullSafe(F.col(n)) for b, n in names.items()], "left_semi")
+    found = some.approxQuantile("_x", [k / parts for k in range(1, parts)], 0.2 / parts)
+    return sorted(set(found))
+
+
+def sliced(df: DataFrame, column: str, cuts: list[float]) -> Column:
+    """The number of the slice that a row is in; missing values come first. A tree of comparisons, so as many as the logarithm of the cuts."""
+    x = as_number(df, column)
+
+    def pick(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo).cast("long")
+        mid = (lo + hi) // 2
+        return F.when(x < cuts[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
+
+    return F.when(x.isNull(), F.lit(0).cast("long")).otherwise(pick(0, len(cuts)) + 1)
+
+
+def slices(df: DataFrame, column: str, rows: int | None = None, by: list[str] = []) -> Column | None:  # noqa: B006
+    """A slice number that rises with ``column``, a number or a time, for slices of about so many rows of the long series; None if none is longer."""
+    cuts = cut_points(df, by, column, rows)
+    return sliced(df, column, cuts) if cuts else None
 
 
 def with_tails(df: DataFrame, by: list[str], order: list[str], of: Column, k: int) -> DataFrame:
@@ -81,7 +116,7 @@ def with_tails(df: DataFrame, by: list[str], order: list[str], of: Column, k: in
 
 def _near(df: DataFrame, by: list[str], order: list[str], of: Column | None, k: int) -> tuple[DataFrame, list[str]]:
     """Rows for a window over k rows, and what to partition it by: series and slices, or series alone if all rows fit in a slice."""
-    of = slices(df, order[0]) if of is None else of
+    of = slices(df, order[0], by=by) if of is None else of
     if of is None:
         return df.withColumns({"_own": F.lit(True), "_slice": F.lit(0)}), [*by, "_slice"]
     return with_tails(df, by, order, of, k), [*by, "_slice"]

@@ -359,4 +359,4 @@ def stamps_and_images(spark, sf):
     return t(spark, sf, "events").select("event_id", scalar.run_stamp(F.col("ts")).alias("stamp"), F.base64(F.encode("event_type", "UTF-8")).alias("image"))
 
 
-from . import round_trips  # noqa: E402, F401  # sources, sinks and generators register themselves
+from . import round_trips, series  # noqa: E402, F401  # these register themselves

@@ -331,29 +331,29 @@ def csv_quarantine(spark, sf):
 @query(f"SELECT event_id AS id, value AS voltage, value AS current, {_AT} AS test_time, 'PASS' AS result, 'Sample ICT data' AS description FROM events")
 def ingest_ict(spark, sf):
     """A file without times or results goes into a table, with the time of the call and a pass."""
-    table = writers.scratch_table(spark)
-    ingest.ingest(spark, "ict", _events_csv(spark, sf), AT, table)
+    table, where = writers.scratch_table(spark)
+    ingest.ingest(spark, "ict", _events_csv(spark, sf), AT, table, where)
     return readers.read_table(spark, table)
 
 
 @query("SELECT event_id AS id, value AS resistance, value AS voltage, ts AS test_time, CASE WHEN value < 50 THEN 'PASS' ELSE 'FAIL' END AS result, 'Isolation Test ' || event_id AS description FROM events")
 def ingest_isolation(spark, sf):
     """A file with times and results of its own."""
-    table = writers.scratch_table(spark)
+    table, where = writers.scratch_table(spark)
     result = F.when(F.col("value") < 50, "PASS").otherwise("FAIL").alias("result")
-    ingest.ingest(spark, "isolation", _events_csv(spark, sf, F.col("ts").alias("timestamp"), result), AT, table)
+    ingest.ingest(spark, "isolation", _events_csv(spark, sf, F.col("ts").alias("timestamp"), result), AT, table, where)
     return readers.read_table(spark, table)
 
 
 @query("SELECT event_id AS id, value, 'Burn-in Test ' || event_id AS description FROM events UNION ALL SELECT event_id + 1000000000, value, 'Burn-in Test ' || (event_id + 1000000000) FROM events")
 def append_twice(spark, sf):
     """Two appends to a table; a third, whose ids the table has, adds nothing."""
-    table = writers.scratch_table(spark)
+    table, where = writers.scratch_table(spark)
     one = _events_csv(spark, sf)
     two = writers.write_csv(t(spark, sf, "events").select((F.col("event_id") + 10**9).alias("id"), "value"), writers.scratch(spark), "raw", AT)
     for path in (one, two, one):
         try:
-            ingest.ingest(spark, "burnin", path, AT, table)
+            ingest.ingest(spark, "burnin", path, AT, table, where)
         except normalize.IntegrityError:
             if path != one:
                 raise

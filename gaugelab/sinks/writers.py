@@ -17,14 +17,43 @@ def stamp(at: datetime) -> str:
     return at.strftime("%Y%m%d_%H%M%S")
 
 
-def append_table(df: DataFrame, name: str) -> None:
-    """One job, one commit: a failed task leaves no rows behind."""
-    where = {"path": _scratch_tables[name]} if name in _scratch_tables else {}
-    df.write.mode("append").options(**where).saveAsTable(name)
-
-
-def append_jdbc(df: DataFrame, url: str, name: str, **options) -> None:
-    df.write.format("jdbc").mode("append").options(url=url, dbtable=name, **options).save()
+def append_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """One job, one commit: a failed task leaves no rows behind. A new table's files lie at ``path``, if given."""
+    df.write.mode("append").options(**({"path": path} if path else {})).saveAsTable(name)
+
+
+def append_jdbc(df: DataFrame, url: str, name: str, **options) -> int:
+    """All rows of a frame into a relational table, or none. Returns their number.
+
+    Tasks write to a staging table of their own; if all have succeeded, its rows are moved in one transaction by the database itself. If one fails, or the
+    move does, the target is as it was. The staging table goes in either case. The target must exist.
+    """
+    stage = f"{name}_stage_{uuid.uuid4().hex[:12]}"
+    jvm = df.sparkSession.sparkContext._jvm
+    if options.get("driver"):
+        jvm.java.lang.Class.forName(options["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    given = jvm.java.util.Properties()
+    for k, v in options.items():
+        given.setProperty(k, str(v))
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        columns = ", ".join(f'"{c}"' for c in df.columns)
+        try:
+            df.write.format("jdbc").mode("errorifexists").options(url=url, dbtable=stage, **options).save()
+            statement = connection.createStatement()
+            n = statement.executeUpdate(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {stage}")
+            connection.commit()
+            return n
+        except BaseException:
+            connection.rollback()
+            raise
+        finally:
+            if connection.getMetaData().getTables(None, None, stage.upper(), None).next() or connection.getMetaData().getTables(None, None, stage, None).next():
+                connection.createStatement().executeUpdate(f"DROP TABLE {stage}")
+            connection.commit()
+    finally:
+        connection.close()
 
 
 #: Times as CSV, with all their digits.
@@ -59,14 +88,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
-def scratch_table(spark: SparkSession) -> str:
-    """The name of a new empty table whose files lie in a folder as ``scratch`` gives."""
-    name = f"scratch_{uuid.uuid4().hex}"
-    _scratch_tables[name] = scratch(spark)
-    return name
-
-
-_scratch_tables: dict[str, str] = {}
+def scratch_table(spark: SparkSession) -> tuple[str, str]:
+    """The name of a new table and a folder for its files, as ``scratch`` gives."""
+    return f"scratch_{uuid.uuid4().hex}", scratch(spark)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

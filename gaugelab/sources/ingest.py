@@ -24,15 +24,15 @@ def prepared(spark: SparkSession, test_type: str, path: str, now: datetime | Non
     return entities(normalize(read_csv(spark, path, schema), test_type, now), test_type, legacy_float_id)
 
 
-def ingest(spark: SparkSession, test_type: str, path: str, now: datetime | None = None, table: str | None = None) -> int:
-    """All rows of a file, or on any error none. Ids must be new to the table. Returns the number of rows."""
+def ingest(spark: SparkSession, test_type: str, path: str, now: datetime | None = None, table: str | None = None, table_path: str | None = None) -> int:
+    """All rows of a file, or on any error none. Ids must be new to the table; a new table's files lie at ``table_path``, if given. Returns the number of rows."""
     table = table or SPECS[test_type].table
     rows = prepared(spark, test_type, path, now)
     existing = spark.table(table) if spark.catalog.tableExists(table) else None
     checked = guarded(rows, test_type, existing).cache()
     try:
         n = checked.count()
-        append_table(checked, table)
+        append_table(checked, table, table_path)
     finally:
         checked.unpersist()
     return n

@@ -74,5 +74,19 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+#: Rows of a relational table that one task is meant to read.
+JDBC_ROWS = 1_000_000
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, rows: int = JDBC_ROWS, **options) -> DataFrame:
+    """A relational table. With a numeric ``column`` it is read in parts of about so many rows, whose bounds are the column's least and greatest value; rows
+    without one are in the first part."""
+    table = {"url": url, "dbtable": name, **options}
+    if column is None:
+        return spark.read.format("jdbc").options(**table).load()
+    bounds = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM {name}"
+    lo, hi, n = spark.read.format("jdbc").options(url=url, query=bounds, **options).load().first()
+    parts = -(-n // rows)
+    if parts > 1 and lo is not None and lo != hi:
+        table |= {"partitionColumn": column, "lowerBound": str(lo), "upperBound": str(hi + 1), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**table).load()

@@ -1,4 +1,4 @@
-"""Measurements as they arrive: windowed statistics with late data, and a moving range that keeps one value for each key."""
+"""Measurements as they arrive: windowed statistics with late data, and a moving range whose rows wait until their order is sure."""
 
 from __future__ import annotations
 
@@ -22,21 +22,72 @@ def windowed_stats(stream: DataFrame, value: str, by: str, at: str = "ts", windo
     return grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *more)
 
 
-def live_moving_range(stream: DataFrame, value: str, by: str, index: str) -> DataFrame:
-    """``(by, index, value, moving_range)``: the difference to the key's previous row. Rows of a batch are put in order of ``index``; state is the last value of each key."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState
-
-    def step(key, frames, state: GroupState):
-        (last,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(frames)).sort_values(index)
-        prev = rows[value].shift(1)
-        if last is not None:
-            prev.iloc[0] = last
-        out = pd.DataFrame({by: key[0], index: rows[index], value: rows[value], "moving_range": (rows[value] - prev).abs()})
-        tail = rows[value].iloc[-1]
-        state.update((None if pd.isna(tail) else float(tail),))
-        yield out
-
-    src = stream.select(F.col(by).cast("string").alias(by), F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value))
-    return src.groupBy(by).applyInPandasWithState(step, f"{by} string, {index} long, {value} double, moving_range double", "last double", "append", "NoTimeout")
+def live_moving_range(stream: DataFrame, value: str, by: str, index: str, at: str | None = None, late: str = "1 minute", forget: float | None = None) -> DataFrame:
+    """``(by, index, value, moving_range)``: the absolute difference to the key's previous row, in order of time (``at``) and ``index``, however rows arrive.
+
+    A row waits in its key's buffer until the watermark, ``late`` behind the latest time seen, has passed it; then event-time timers let rows go in order. A
+    row that comes after a later one of its key has gone is left out, as no range could be right for it. The state of a key is the rows that wait and the last
+    one that went; after ``forget`` seconds without rows it is dropped, and the next range is null. Without ``at``, ``index`` is taken as seconds.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Ordered(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.held = handle.getListState("held", "at long, index long, value double")
+            self.last = handle.getValueState("last", "at long, index long, value double")
+
+        def _emit(self, key, rows):
+            import pandas as pd
+
+            return pd.DataFrame(rows, columns=[by, index, value, "moving_range"]).astype({index: "int64", value: "float64", "moving_range": "float64"})
+
+        def handleInputRows(self, key, rows, timerValues):
+            last, first = self.last.get() if self.last.exists() else None, None
+            new = []
+            for f in rows:
+                for t, i, x in zip(f["seen_us"].tolist(), f[index].tolist(), f[value].tolist()):
+                    if last is None or (t, i) > (last[0], last[1]):
+                        new.append((t, i, x))
+                        first = t if first is None else min(first, t)
+            if new:
+                self.held.appendList(new)
+                self.handle.registerTimer(max(-(-first // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            yield self._emit(key, [])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import math
+
+            now = timerValues.getCurrentWatermarkInMs()
+            rows = sorted(self.held.get()) if self.held.exists() else []
+            ready, rest = [r for r in rows if r[0] <= now * 1000], [r for r in rows if r[0] > now * 1000]
+            last = self.last.get() if self.last.exists() else None
+            out = []
+            for t, i, x in ready:
+                here = None if x is None or math.isnan(x) else x
+                before = last[2] if last is not None and (forget is None or t - last[0] <= forget * 1_000_000) else None
+                out.append((key[0], i, here, None if here is None or before is None or math.isnan(before) else abs(here - before)))
+                last = (t, i, here)
+            if ready:
+                self.last.update(last)
+            if rest:
+                self.held.put(rest)
+                self.handle.registerTimer(-(-rest[0][0] // 1000))
+            else:
+                self.held.clear()
+                if forget is not None and last is not None:
+                    gone = -(-last[0] // 1000) + int(forget * 1000)
+                    if now >= gone:
+                        self.last.clear()
+                    else:
+                        self.handle.registerTimer(gone)
+            yield self._emit(key, out)
+
+        def close(self):
+            pass
+
+    seen = F.col(at).cast("timestamp") if at else F.timestamp_seconds(F.col(index))
+    src = stream.select(F.col(by).cast("string").alias(by), F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value), seen.alias("seen_ts")).withWatermark("seen_ts", late)
+    src = src.withColumn("seen_us", F.unix_micros("seen_ts"))
+    shape = f"{by} string, {index} long, {value} double, moving_range double"
+    return src.groupBy(by).transformWithStateInPandas(Ordered(), outputStructType=shape, outputMode="append", timeMode="eventtime").withColumns({c: known(F.col(c)) for c in (value, "moving_range")})
