@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, discard, materialize
 
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 12_000_000
 #: Items that are searched in one pass over the index.
 BLOCK_ITEMS = 5_000
 #: Intervals that are split at once, and postings up to which one is scored outright.
-WIDTH, FEW = 32, 2_000
+WIDTH, FEW = 16, 6_000
 
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -172,12 +172,12 @@ class Shard:
                 w = weight(v1, e1)
                 d = self.at[v1[np.arange(len(v1)), w.argmax(axis=1)]]
                 wide = lambda x: np.repeat(x, q)
-                flat_v, flat_e = v1.ravel(), e1.ravel()
-                own = weight(*self.root(flat_v, flat_e, wide(d), wide(d + 1))).reshape(-1, q).sum(axis=1)
-                best.take(own, d, self.ids)
-                halves = [(self.root(flat_v, flat_e, wide(a), wide(b)), a, b) for a, b in ((lo1, d), (d + 1, hi1))]
-                halves = [(x.reshape(-1, q), y.reshape(-1, q), a, b) for (x, y), a, b in halves]
-                rest = [np.concatenate(x) for x in zip(rest, *[(*h, weight(h[0], h[1]).sum(axis=1)) for h in halves])]
+                thirds = ((d, d + 1), (lo1, d), (d + 1, hi1))  # the document itself, and what is left and right of it
+                low, high = (np.concatenate([wide(x[k]) for x in thirds]) for k in (0, 1))
+                roots, ends = (x.reshape(3, -1, q) for x in self.root(np.tile(v1.ravel(), 3), np.tile(e1.ravel(), 3), low, high))
+                sums = weight(roots, ends).sum(axis=2)
+                best.take(sums[0], d, self.ids)
+                rest = [np.concatenate([x, *y]) for x, y in zip(rest, zip(*[(roots[k], ends[k], *thirds[k], sums[k]) for k in (1, 2)]))]
             v, end, lo, hi, bound = rest
             open_ = (bound > 0) & best.open(bound, lo, self.ids)
             v, end, lo, hi, bound = v[open_], end[open_], lo[open_], hi[open_], bound[open_]
