@@ -178,11 +178,12 @@ _CONTENT = frozenset("article content main post entry story body text page prose
 #: First words of names that say what an element is about or has; fixed values.
 _ABOUT = frozenset("tag category cat topic has with without no is type format status author series layout".split())
 _TAGS = ("article", "main", "section", "div", "p", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "a", "span", "figure", "blockquote", "button", "select")
+_MARKS = frozenset("nav footer aside form header".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FEATURES = (
     *(f"is_{t}" for t in _TAGS), "is_heading", "is_inline", "is_loose", "is_hidden", "boiler", "comment", "content", "about", "up_boiler", "up_comment", "up_content", "up_article",
     "depth", "size", "share", "link_share", "parent_link_share", "own_size", "kids", "siblings", "alike", "place", "blocks", "sentences",
-    "boiler_above", "comment_above", "heads", "comments_within", "parent_share", "parent_sentences",
+    "boiler_above", "comment_above", "heads", "comments_within", "parent_share", "parent_sentences", "up_mark", "mark_above", "main_elsewhere", "content_elsewhere", "prose_elsewhere", "after_heading", "links_only", "sentence_links", "marks_inside",
 )
 _AT = {name: k for k, name in enumerate(FEATURES)}
 
@@ -198,15 +199,21 @@ def _named(attrs: str) -> tuple[int, int, int, int, bool]:
         if len(words) > 1 and words[0] in _ABOUT:
             about += 1
         else:
-            for k, known in enumerate((_BOILER, _COMMENT, _CONTENT)):
-                found[k] += sum(w in known for w in words)
+            counts = [sum(w in known for w in words) for known in (_BOILER, _COMMENT, _CONTENT)]
+            if counts[0] or counts[1]:
+                counts[2] = 0  # the content of a sidebar, the footer of a post
+            found = [a + b for a, b in zip(found, counts)]
     style = named.get("style", "").replace(" ", "").lower()
     hidden = "display:none" in style or "visibility:hidden" in style or named.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) is not None
     return (*found, about, hidden)
 
 
 def featurize(nodes: list[Node]) -> np.ndarray:
-    """A row of FEATURES for each node. Ancestors with a boiler or comment name are known by their number and by the share of the page's text that the nearest holds."""
+    """A row of FEATURES for each node. Ancestors with a boiler or comment name, or a tag that says so, are known by their number and by the share of the page's text that the nearest holds.
+
+    What a name is worth depends on the rest of the page: a thread is its content where there is no article, and comments where there is one. So nodes also
+    know how much text stands in articles, in elements named as content, and in paragraphs of plain elements, outside of their own branch.
+    """
     n = len(nodes)
     f = np.zeros((n, len(FEATURES)), np.float32)
     size, link, own, stops, blocks, heads, within = ([0.0] * n for _ in range(7))
@@ -234,7 +241,21 @@ def featurize(nodes: list[Node]) -> np.ndarray:
             within[k] = size[k]
     t = _AT["is_heading"]
     whole = size[0] or 1.0
-    up = [(0, 0, 0, 0, 0, 0.0, 0.0)] * n
+    up = [(0, 0, 0, 0, 0, 0.0, 0.0, 0, 0.0, 0)] * n
+    # text in the topmost articles, elements named as content, and paragraphs under no name or tag of another kind: below each node, and in all
+    marked, branch = [[0.0] * n for _ in range(3)], [[False] * n for _ in range(3)]
+    aside = [False] * n
+    for k, x in enumerate(nodes):
+        j = x.parent.index if x.parent is not None else -1
+        aside[k] = (j >= 0 and aside[j]) or x.tag in _MARKS or (names[k][0] > 0 or names[k][1] > 0) and x.tag not in ("article", "main", "body", "html")
+        for z, is_it in enumerate((x.tag in ("article", "main") and not aside[k], names[k][2] > 0 and not aside[k] and x.tag not in ("body", "html"), x.tag in ("p", LOOSE) and not aside[k])):
+            branch[z][k] = is_it or (j >= 0 and branch[z][j])
+            if is_it and not (j >= 0 and branch[z][j]):
+                marked[z][k] = size[k]
+    for k in range(n - 1, 0, -1):
+        for z in range(3):
+            marked[z][nodes[k].parent.index] += marked[z][k] if not branch[z][nodes[k].parent.index] else 0.0
+    totals = [m[0] for m in marked]
     for k, x in enumerate(nodes):
         row = f[k]
         if x.tag in _TAGS:
@@ -242,15 +263,15 @@ def featurize(nodes: list[Node]) -> np.ndarray:
         boiler, comment, content, about, hidden = names[k]
         p = x.parent
         if p is not None:
-            b, c, d, e, depth, bs, cs = up[p.index]
+            b, c, d, e, depth, bs, cs, g, gs, inside = up[p.index]
             j = p.index
             row[_AT["parent_link_share"]] = link[j] / (size[j] or 1.0)
             row[_AT["siblings"]] = len(p.kids)
             row[_AT["parent_share"]] = size[j] / whole
             row[_AT["parent_sentences"]] = stops[j] / (1.0 + size[j] / 50.0)
         else:
-            b = c = d = e = depth = 0
-            bs = cs = 0.0
+            b = c = d = e = depth = g = inside = 0
+            bs = cs = gs = 0.0
         mine = size[k] / whole
         row[t : t + 13] = (x.tag in _HEADS, x.tag in INLINE, x.tag == LOOSE, hidden, boiler, comment, content, about, b, c, d, e, depth)
         row[t + 13 : t + 16] = np.log1p(size[k]), mine, link[k] / (size[k] or 1.0)
@@ -259,8 +280,16 @@ def featurize(nodes: list[Node]) -> np.ndarray:
         row[_AT["sentences"]] = stops[k] / (1.0 + size[k] / 50.0)
         row[_AT["boiler_above"]], row[_AT["comment_above"]] = bs, cs
         row[_AT["heads"]], row[_AT["comments_within"]] = np.log1p(heads[k]), within[k] / (size[k] or 1.0)
-        mark = x.tag in ("nav", "footer", "aside", "form", "header")
-        up[k] = (max(b, boiler + mark), max(c, comment), max(d, content), max(e, x.tag in ("article", "main")), depth + 1, mine if boiler + mark else bs, mine if comment else cs)
+        mark = x.tag in _MARKS
+        row[_AT["up_mark"]], row[_AT["mark_above"]] = g, gs
+        # names and tags of other parts below the nearest element that is, or is named as, content
+        inside = 0 if x.tag in ("article", "main") or content else inside + (boiler + comment > 0 or mark)
+        row[_AT["marks_inside"]] = inside
+        for z, name in enumerate(("main_elsewhere", "content_elsewhere", "prose_elsewhere")):
+            row[_AT[name]] = 0.0 if z < 2 and branch[z][k] else (totals[z] - (size[k] if branch[z][k] else marked[z][k])) / whole
+        row[_AT["links_only"]] = size[k] > 0 and link[k] >= 0.9 * size[k]
+        row[_AT["sentence_links"]] = stops[p.index] / (1.0 + link[p.index] / 20.0) if p is not None else 0.0
+        up[k] = (max(b, boiler + mark), max(c, comment), max(d, content), max(e, x.tag in ("article", "main")), depth + 1, mine if boiler + mark else bs, mine if comment else cs, max(g, mark), mine if mark else gs, inside)
     for x in nodes:  # sibling statistics
         kids = [c for c in x.kids if not isinstance(c, str)]
         if kids:
@@ -270,6 +299,7 @@ def featurize(nodes: list[Node]) -> np.ndarray:
             for i, c in enumerate(kids):
                 f[c.index, _AT["alike"]] = tags[c.tag] / len(kids)
                 f[c.index, _AT["place"]] = i / len(kids)
+                f[c.index, _AT["after_heading"]] = i > 0 and kids[i - 1].tag in _HEADS
     return f
 
 
@@ -358,7 +388,7 @@ def training_page(seed: int) -> str:
     def holder(names, p):
         """The class of a container of content, which may also say what the content is about or has beside it, in the same words that name other parts."""
         own = [pick(names)] if r.random() < p else []
-        if r.random() < 0.3:
+        if r.random() < 0.4:
             for _ in range(r.randint(1, 4)):
                 k = r.random()
                 own.append(pick(listed_names) if k < 0.35 else f"{pick(sorted(_ABOUT))}-{pick(listed_names)}" if k < 0.8 else f"{_words(r, 1)[:-1].lower().strip(',.')}-{pick(listed_names)}")
@@ -387,8 +417,10 @@ def training_page(seed: int) -> str:
         if out and r.random() < 0.2:
             out = [f"<header{cls(('entry-header', 'post-header'), 0.4)}{y}>{out[0]}</header>"]
         plain = r.random() < 0.12  # text without paragraphs
-        for _ in range(pick((1, 1, 2, 3, 5, 8, 14))):
-            k = r.random()
+        linked = lambda n: f"<{(g := pick(('ul', 'ul', 'ol')))}{y}>" + "".join(f'<li{y}><a href="/s"{y}>{_words(r, pick((1, 3, 6)))[:-1]}</a></li>' for _ in range(n)) + f"</{g}>"
+        even = r.random() < 0.35  # paragraphs alone
+        for _ in range(pick((1, 1, 2, 3, 5, 8, 14, 24)) if not even else pick((1, 2, 3, 6, 12, 20, 30))):
+            k = 0.5 if even else r.random()
             if k < 0.04:
                 out.append(f'<p{y}><a href="/x"{y}>{_words(r, r.randint(1, 6))}</a></p>')
             elif k < 0.75:
@@ -401,14 +433,30 @@ def training_page(seed: int) -> str:
                 out.append(f"<blockquote{y}>{paragraph()}</blockquote>")
             elif k < 0.92:
                 out.append(f"<table{y}>" + "".join(f"<tr{y}><td{y}>{_words(r, 2)}</td><td{y}>{_words(r, 3)}</td></tr>" for _ in range(3)) + "</table>")
-            elif k < 0.93:
+            elif k < 0.94:  # sources, reports, see also
+                out.append((f"<{(g := pick(('h2', 'h3', 'h2', 'p')))}{y}>{_words(r, pick((1, 1, 2, 4)))}</{g}>" if r.random() < 0.7 else "") + linked(pick((2, 3, 4, 8, 12))))
+            elif k < 0.95:
                 out.append(f"<div{y}>{_words(r, pick((4, 12, 30)))}</div>")
             else:
                 out.append(boiler_block())
+        if r.random() < 0.15:
+            out.append(f"<{(g := pick(('h2', 'h3')))}{y}>{_words(r, pick((1, 2)))}</{g}>" + linked(pick((2, 3, 4, 8))))
         return "".join(out)
 
+    def much():
+        """Text of another kind as long as articles are."""
+        return (f"<h3>{_words(r, 2)}</h3>" if r.random() < 0.4 else "") + "".join(f"<p>{_words(r, pick((5, 8, 20, 40, 60)))}</p>" for _ in range(pick((2, 4, 6, 6, 9, 12, 20))))
+
     def boiler_block():
-        k = r.randint(0, 13)
+        k = r.randint(0, 19)
+        if k in (14, 15):
+            return f"<aside{cls(('sidebar', 'related', 'widget', 'right'), 0.4)}>{much()}</aside>"
+        if k == 16:
+            return f'<div{cls(("sidebar", "side-bar", "right-rail", "widget-area", "sidebar-content", "sideBar"), 1)}>{much()}</div>'
+        if k in (17, 18):
+            return f'<{(g := pick(("div", "div", "section")))}{cls(("comments", "comment-list", "disqus_thread", "reader-comments", "discussion", "replies"), 1)}>{much()}</{g}>'
+        if k == 19:
+            return f"<footer{cls(('entry-footer', 'footer', 'site-footer'), 0.4)}>{much()}</footer>"
         t = _words(r, pick((3, 8, 20, 40)))
         if k == 0:
             return f'<div{cls(("ad", "ads", "advert", "banner-ad", "sponsored", "ad-text", "content-ad"), 1)}>{t}</div>'
@@ -452,6 +500,8 @@ def training_page(seed: int) -> str:
     top += [boiler_block() for _ in range(pick((0, 0, 1, 1, 2)))]
     after = [boiler_block() for _ in range(pick((0, 0, 1, 2, 3)))]
     foot = f"<footer{cls(('site-footer',), 0.3)}>&copy; {_words(r, pick((3, 10, 30)))}</footer>" if r.random() < 0.7 else f'<div{cls(("footer", "site-footer", "copyright", "legal", "footer-text"), 1)}><p>&copy; {_words(r, pick((3, 10)))}</p>{link()}</div>'
+    if r.random() < 0.2:
+        foot = f"<footer{cls(('site-footer', 'footer'), 0.4)}>{much()}</footer>" if r.random() < 0.7 else f'<div{cls(("footer", "site-footer", "legal"), 1)}>{much()}</div>'
     for part in (top, after):
         if r.random() < 0.12:
             part.insert(r.randint(0, len(part)), stray())
@@ -462,9 +512,13 @@ def training_page(seed: int) -> str:
         main = f"<article{holder(('post', 'story', 'entry', 'hentry', 'article'), 0.4)}{y}>{body()}</article>"
     elif kind < 0.65:
         main = f"<main{holder(('content', 'main', 'page'), 0.2)}{y}>{body()}</main>"
-    elif kind < 0.85:
+    elif kind < 0.81:
         main = f'<div{holder(("content", "post", "main", "entry-content", "article-body", "story", "text", "post-body", "main-content"), 0.95)}{y}>{body()}</div>'
-    elif kind < 0.94:
+    elif kind < 0.9:  # a forum: its posts are what the page is for
+        posts = "".join(f"<{(g := pick(('div', 'div', 'section', 'li')))}{cls(('post', 'message', 'post-body', 'reply', 'entry'), 0.9)}{y}>" + "".join(paragraph() for _ in range(pick((1, 1, 2, 4)))) + f"</{g}>" for _ in range(pick((1, 2, 3, 6, 10))))
+        main = f"<div{cls(('thread', 'topic', 'discussion', 'posts', 'forum-thread', 'messages'), 0.95)}{y}>" + (f"<h1{y}>{_words(r, 4)}</h1>" if r.random() < 0.6 else "") + posts + "</div>"
+        after = [b for b in after if "comment" not in b and "repl" not in b and "discuss" not in b and "disqus" not in b]
+    elif kind < 0.95:
         main = f"<section{holder(('content', 'article'), 0.8)}{y}>{body()}</section>"
     else:
         main = body()
@@ -501,15 +555,19 @@ def training_sample(pages: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def default_model(pages: int = 900, rounds: int = 50) -> trees.Trees:
+def default_model(pages: int = 1000, rounds: int = 60) -> trees.Trees:
     """Fitted on ``pages`` generated pages (a bounded sample); the same in every process."""
     x, y = training_sample(pages)
     return trees.fit(x, y, rounds=rounds, depth=4, rate=0.3)
 
 
+#: Longer text has no more say, so that much text can't outvote what stands around it.
+MOST_WEIGHT = 4.0
+
+
 def kept_nodes(nodes: list[Node], features: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Which nodes are kept, by the model's odds of each. The page itself, html and body hold both kinds and count nothing."""
-    o = odds * (1.0 + features[:, _AT["own_size"]])
+    """Which nodes are kept, by the model's odds of each, weighed by the logarithm of their own text up to MOST_WEIGHT. The page itself, html and body hold both kinds and count nothing."""
+    o = odds * (1.0 + np.minimum(features[:, _AT["own_size"]], MOST_WEIGHT))
     for n in nodes:
         if n.tag in ("#page", "html", "body"):
             o[n.index] = 0.0

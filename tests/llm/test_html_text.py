@@ -83,3 +83,72 @@ def test_kept_columns_may_clash(spark):
     got = html_text.extract(df, keep=("page_id", "_html", "with.dot", "text"))
     assert got.columns == ["page_id", "_html", "with.dot", "text"]
     assert [(r.page_id, r._html, r["with.dot"], r.text) for r in got.collect()] == [(1, "x", "y", f"H\n{A}\n{B}")] * 2 + [(None, None, None, "")]
+
+
+NAV, FOOT = '<nav><ul><li><a href="/">no home</a></li><li><a href="/a">no news</a></li></ul></nav>', "<footer><p>no rights</p></footer>"
+
+
+def paragraphs(n, mark=""):
+    return "".join(f"<p>{mark}{[A, B, C][i % 3]}</p>" for i in range(n))
+
+
+OTHER = {
+    "aside": "<aside>{}</aside>",
+    "sidebar": '<div class="sidebar">{}</div>',
+    "comments": '<div id="comments">{}</div>',
+    "comments with a heading": '<section class="comments"><h2>no</h2>{}</section>',
+    "footer": "<footer>{}</footer>",
+}
+
+
+@pytest.mark.parametrize("k", [2, 6, 12, 20])
+@pytest.mark.parametrize("name", OTHER)
+@pytest.mark.parametrize("holder", ["<article>{}</article>", '<div class="content">{}</div>', "<main>{}</main>"])
+def test_long_text_of_another_kind_goes(model, holder, name, k):
+    """However much longer than the article it is."""
+    for n in (2, 3):
+        main, other = holder.format(f"<h1>A title</h1>{paragraphs(n)}"), OTHER[name].format(paragraphs(k, "no "))
+        got = html_text.extract_all([f"<html><body>{NAV}{main}{other}{FOOT if name != 'footer' else ''}</body></html>"], model)[0]
+        assert got.split("\n") == ["A title", *[A, B, C][:n]]
+
+
+LISTS = {"sources": ("<h2>Sources</h2>", "Report {} of the river board", 3), "see also": ("<h2>See also</h2>", "Mill {}", 4), "reports": ("", "Annual report of 196{}", 8)}
+
+
+@pytest.mark.parametrize("name", LISTS)
+@pytest.mark.parametrize("n", [2, 3, 8])
+def test_links_of_an_article_stay(model, name, n):
+    head, text, k = LISTS[name]
+    items = [text.format(i) for i in range(k)]
+    listed = "<ul>" + "".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(items)) + "</ul>"
+    got = html_text.extract_all([f"<html><body>{NAV}<article><h1>A title</h1>{paragraphs(n)}{head}{listed}</article>{FOOT}</body></html>"], model)[0]
+    assert got.split("\n") == ["A title", *([A, B, C] * 3)[:n], *([head[4:-5]] if head else []), *items]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_posts_of_a_forum_stay(model, n):
+    posts = "".join(f'<div class="post"><p>{A}</p><p>{B}</p></div>' for _ in range(n))
+    for head in ("", "<h1>How high was the river in the dry year</h1>"):
+        got = html_text.extract_all([f'<html><body>{NAV}<div class="thread">{head}{posts}</div>{FOOT}</body></html>'], model)[0]
+        assert got.split("\n") == ([head[4:-5]] if head else []) + [A, B] * n
+
+
+def test_decode_against_all_choices():
+    """On small trees: of all choices without a kept node below a dropped one, none has a larger sum."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(2, 11))
+        nodes = [html_text.Node("div", "", None)]
+        for k in range(1, n):
+            nodes.append(html_text.Node("div", "", nodes[int(rng.integers(0, k))]))
+        for k, x in enumerate(nodes):
+            x.index = k
+        odds = rng.normal(size=n).round(2) * 3
+        best = max(
+            sum(o if keep >> k & 1 else -o for k, o in enumerate(odds) if k)
+            for keep in range(1, 2**n, 2)
+            if all(not keep >> k & 1 or keep >> x.parent.index & 1 for k, x in enumerate(nodes) if k)
+        )
+        kept = html_text.decode(nodes, odds)
+        assert kept[0] and all(not kept[k] or kept[x.parent.index] for k, x in enumerate(nodes) if k)
+        assert sum(o if kept[k] else -o for k, o in enumerate(odds) if k) == pytest.approx(best)
