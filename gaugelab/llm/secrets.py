@@ -2,11 +2,11 @@
 
 Each text is searched once. Base kinds are reported wherever they match. Two further kinds are candidates: keys in the format of a known
 issuer, and opaque strings of mixed letters and digits. What decides on a candidate is who holds it: its hash is counted over the corpus by
-distinct owners and distinct repositories, and a value that many of either hold is a widely copied example, while one that few hold looks
-live. Live-looking candidates become spans; base spans are graded the same way but always stay.
+distinct owners and distinct repositories. A value that many owners hold is a widely copied example; one that few hold is theirs and looks live, in
+however many of their repositories they have left it. Live-looking candidates become spans; base spans are graded the same way but always stay.
 
 A repository is one owner's body of work that may be copied as a whole. Where no column names it, it is a different text of an owner: copies
-of one document, as forks are, count once for each owner.
+of one document, as forks are, count once. Where the owner is unknown, repositories stand in for owners.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ FURTHER = {
 #: What a value of a kind holds besides.
 HOLDS = {"opaque": ("[0-9]", "[A-Z]", "[a-z]")}
 KINDS = BASE | FURTHER
-#: A value that more owners, or more repositories, hold is an example. A few of each are copies and moves of the real thing.
+#: A value that more owners hold, or more repositories of unknown owners, is an example. A few of each are copies and moves of the real thing.
 MOST_OWNERS, MOST_REPOS = 3, 3
 
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -98,12 +98,12 @@ def listed(spans: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``(hash, owner, repo)`` rows -> one row for each hash: numbers of distinct owners and of distinct repositories (each of one owner).
+    """``(hash, owner, repo)`` rows -> one row for each hash: numbers of distinct owners, of distinct repositories (each of one owner), and of those without owner.
 
     Owners are reduced before hashes, so that a hash that all documents hold is many small groups first.
     """
     pairs = candidates.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return pairs.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
+    return pairs.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"), F.sum(F.when(F.col("owner") == "", F.col("n")).otherwise(0)).alias("n_unowned"))
 
 
 def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo: str | None = None, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo: st
     each = some.select("row", "owner", "repo", F.explode("all").alias("s"))
     owned = ownership(each.select(F.col("s.hash").alias("hash"), "owner", "repo"))
     graded = each.select("row", "s", F.col("s.hash").alias("hash")).join(owned, "hash")
-    live = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_unowned") <= most_repos)
     per = graded.groupBy("row").agg(
         F.collect_list(F.when((F.col("s.kind") < n_base) | live, F.col("s"))).alias("spans"),
         F.sum(live.cast("long")).alias("n_live"),
