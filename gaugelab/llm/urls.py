@@ -26,7 +26,7 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 #: At most so many labelled URLs, of least hash, are used for a fit.
 MOST_LABELLED = 20_000
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_digits", "host_marks", "host_parts", "entropy", "n_params", "query_length", "longest_part", "suffix_rate")
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_digits", "host_marks", "host_parts", "entropy", "n_params", "query_length", "longest_part", "marks_below", "marked_part", "suffix_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -67,16 +67,22 @@ def _parts(host: Column) -> Column:
 
 
 def _entropy(s: Column) -> Column:
-    """Bits a character, to six places."""
+    """Bits a character, to six places, from the runs of the sorted characters."""
     n = F.char_length(s)
-    chars = F.split(s, "")
 
-    def total(c: Column) -> Column:
-        kinds = F.array_distinct(c)
-        counts = F.transform(kinds, lambda k: F.size(F.filter(c, lambda x: x == k)).cast("double"))
-        return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * F.log2(x))
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["c"] == c
+        return F.struct(c.alias("c"), F.when(same, acc["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, acc["sum"]).otherwise(acc["sum"] + acc["run"] * F.log2(acc["run"])).alias("sum"))
 
-    return F.when(n > 0, F.round(F.log2(n.cast("double")) - let(chars, total) / n, 6)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("c"), F.lit(1.0).alias("run"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(F.array_sort(F.split(s, "")), start, step, lambda acc: acc["sum"] + acc["run"] * F.log2(acc["run"]))
+    return F.when(n > 0, F.round(F.log2(n.cast("double")) - total / n, 6)).otherwise(0.0)
+
+
+def _marked(host: Column) -> Column:
+    """The longest part of the host's names that hold a hyphen or underscore; 0 if none does."""
+    names = F.filter(F.split(host, r"\."), lambda x: x.rlike("[-_]"))
+    return F.coalesce(F.array_max(F.transform(F.split(F.array_join(names, "-"), "[-_]"), lambda w: F.char_length(w))), F.lit(0))
 
 
 def features(url: Column, host: Column, path: Column, m: Model) -> list[Column]:
@@ -101,6 +107,8 @@ def features(url: Column, host: Column, path: Column, m: Model) -> list[Column]:
         F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         F.char_length(query),
         F.coalesce(F.array_max(F.transform(_parts(host), lambda w: F.char_length(w))), F.lit(0)),
+        F.char_length(F.regexp_replace(F.regexp_replace(host, r"\.?[^.]*\.?[^.]*$", ""), "[^-_]+", "")),
+        _marked(host),
         rate,
     ]
     return [c.cast("double") for c in out]
@@ -122,6 +130,7 @@ def features_of(url: str | None, m: Model | None = None) -> tuple[str, list[floa
     out = [
         n, len(host), sum(1 for x in path.split("/") if x), len(re.findall("[0-9]", u)) / n if n else 0.0, len(re.findall("[0-9]", host)), len(re.findall("[-_]", host)),
         len(host.split(".")), bits, len(query.split("&")) if query else 0, len(query), max((len(w) for w in re.split("[.-]", host) if len(w) > 1), default=0),
+        len(re.findall("[-_]", ".".join(host.split(".")[:-2]))), max((len(w) for x in host.split(".") if re.search("[-_]", x) for w in re.split("[-_]", x)), default=0),
     ]
     return suffix, [float(x) for x in (out if m is None else [*out, m.suffix.get(suffix, m.usual)])]
 
@@ -171,32 +180,50 @@ def _name(r: random.Random, syllables: int) -> str:
 _SUFFIXES = {"com": (44, 36), "org": (14, 5), "net": (10, 12), "edu": (7, 0.3), "gov": (4, 0.1), "de": (6, 3), "fr": (5, 2), "uk": (5, 3), "io": (3, 4), "info": (1.5, 11), "biz": (0.5, 9), "xyz": (0.4, 9), "top": (0.1, 6)}
 
 
+def _word(r: random.Random, least: int, most: int) -> str:
+    return (_name(r, 5) + "nestor")[: r.randint(least, most)]
+
+
 def seed_labels(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled URLs from a rule of shape alone, for tables that carry no labels.
+    """Labelled URLs from a rule of shape alone, for tables that carry no labels; half of them are to block.
 
-    Those to block, in the manner of link farms, mostly have hosts of short names joined by hyphens, often with digits, cheap suffixes and many
-    parameters; some are plain. The others are mostly plain names, some with a hyphen, deep paths or parameters.
+    Hyphens, digits, depth, parameters and cheap suffixes stand on both sides, and what tells them apart is how they meet. To block are two or three short
+    words joined below a platform's name; own names with digits or hyphens under a cheap suffix; names of letters and digits in disorder with long
+    queries. Plain sites join words in a name of their own, or below it where one of them is long; they have digits, deep paths and parameters
+    too, each less often together.
     """
     r = random.Random(seed)
+    plain = lambda bad: r.choices(list(_SUFFIXES), [v[bad] for v in _SUFFIXES.values()])[0]
+    cheap = lambda: r.choice(("info", "biz", "xyz", "top", "xyz"))
+    above = lambda p: [r.choice(("www", "www", "blog", "m", "news", "shop"))] if r.random() < p else []
+    segment = lambda: r.choice((_name(r, r.randint(1, 4)), _name(r, 2) + "-" + _name(r, 2), r.choice(("en", "de", "fr", "es")), str(r.randint(1, 99999))))
     out = []
     for i in range(n):
-        bad = i % 2
-        parts = [_name(r, r.randint(1, 2) if bad else r.randint(1, 4))]
-        if r.random() < (0.93 if bad else 0.035):
-            parts += [_name(r, r.randint(1, 2) if bad else r.randint(1, 3)) for _ in range(r.choice((1, 1, 1, 2, 3) if bad else (1, 1, 1, 2)))]
-        if r.random() < (0.25 if bad else 0.02):
-            parts[-1] += str(r.randint(1, 9999))
-        if bad and r.random() < 0.06:
-            parts.append(r.choice("x1230z"))
-        name = "-".join(parts)
-        above = [r.choice(("www", "www", "blog", "m", "news", "shop", _name(r, 2)))] if r.random() < 0.6 else []
-        below = [_name(r, r.randint(2, 3))] if r.random() < 0.4 else []  # names below a host's, as platforms give them
-        suffix = r.choices(list(_SUFFIXES), [v[bad] for v in _SUFFIXES.values()])[0]
-        segment = lambda: r.choice((_name(r, r.randint(1, 4)), _name(r, 2) + "-" + _name(r, 2), r.choice(("en", "de", "fr", "es")), str(r.randint(1, 99999))))
+        bad, k = i % 2, r.random()
+        asked = r.choice((0, 0, 0, 1, 2, 3) if not bad else (0, 0, 0, 1, 2, 4))
+        if bad and k < 0.42:  # a lure below a platform
+            name = r.choice("--__-----").join([_word(r, 2, 6), _word(r, 1, 6), *([_word(r, 2, 5)] if r.random() < 0.2 else [])])
+            host = [*above(0.5), name, _name(r, r.randint(2, 4)) if r.random() < 0.7 else "example", r.choice((plain(0), plain(0), cheap()))]
+        elif bad and k < 0.7:  # a name of its own that says too much
+            name = "-".join(_word(r, 2, 7) for _ in range(r.choice((1, 2, 3, 4))))
+            host = [*above(0.4), name + (str(r.randint(1, 999)) if r.random() < 0.6 else ""), cheap()]
+            asked = r.choice((1, 2, 4, 6))
+        elif bad:  # disorder
+            name = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(9, 22)))
+            host = [*above(0.2), name, plain(1)]
+            asked = r.choice((0, 1, 2, 3, 6))
+        elif k < 0.28:  # words joined in a name of its own
+            host = [*above(0.6), "-".join(_word(r, 2, 9) for _ in range(r.choice((2, 2, 2, 3, 4)))), plain(0) if r.random() < 0.95 else cheap()]
+        elif k < 0.4:  # joined below it, one of them long
+            parts = [_word(r, 8, 13), *[_word(r, 2, 9) for _ in range(r.choice((1, 1, 2)))]]
+            r.shuffle(parts)
+            host = [*above(0.3), "-".join(parts), _name(r, r.randint(2, 3)), plain(0)]
+        else:
+            name = _name(r, r.randint(1, 5)) + (str(r.randint(1, 999)) if r.random() < 0.1 else "")
+            host = [*above(0.6), *([_name(r, r.randint(1, 4))] if r.random() < 0.5 else []), name if r.random() < 0.8 else "example", plain(0) if r.random() < 0.96 else cheap()]
         path = "".join("/" + segment() for _ in range(r.randint(0, 5)))
-        asked = r.choice((0, 0, 0, 1, 2) if not bad else (0, 0, 1, 2, 5))
         tail = "?" + "&".join(f"{_name(r, 1)}={r.choice((_name(r, 2), str(r.randint(0, 10**6))))}" for _ in range(asked)) if asked else r.choice(("", "/", ".html", "#top"))
-        out.append((r.choice(("http", "https")) + "://" + ".".join([*above, name, *below, suffix]) + path + tail, bad))
+        out.append((r.choice(("http", "https")) + "://" + ".".join(host) + path + tail, bad))
     return out
 
 

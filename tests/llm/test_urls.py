@@ -78,3 +78,19 @@ def test_a_callers_columns(spark, model):
     assert (r.host, r.path, r.rule, r.verdict, r._url, r._row, r.ruled, r["with.dot"]) == ("a.com", "/en/1", "com/en/", "block", "a", "b", "c", "d")
     assert r.score == pytest.approx(walk(model, urls.features_of(u, model)[1]))
     assert urls.judge(df.limit(0), model, url="host").count() == 0
+
+
+def test_no_single_feature_decides(model):
+    """The best threshold on any one feature is far behind the trees on held-out hosts, and hyphens are common on both sides."""
+    held = urls.seed_labels(3000, 99)
+    x, y = np.array([urls.features_of(u, model)[1] for u, _ in held]), np.array([v for _, v in held])
+    right = ((model.trees.score(x) > 0) == y).mean()
+    alone = [max(max(((x[:, k] > t) == y).mean(), ((x[:, k] <= t) == y).mean()) for t in np.unique(x[:, k])) for k in range(len(urls.FEATURES))]
+    assert right > 0.95 and max(alone) < 0.8
+    marks = x[:, urls.FEATURES.index("host_marks")] > 0
+    assert marks[y == 0].mean() > 0.3 and marks[y == 1].mean() < 0.7
+
+
+@pytest.mark.parametrize(("url", "block"), [("https://the-guardian.com/en", False), ("http://www.new-york-times.com/a/b", False), ("https://my-site.de/", False), ("http://cheappills4you.xyz/?a=1&b=2", True), ("https://free-bets.example.com/en/5462", True), ("http://developer-handbook.example.org/x", False)])
+def test_hyphens_alone_block_nothing(model, url, block):
+    assert (walk(model, urls.features_of(url, model)[1]) > 0) == block
