@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, let, materialize, unwrapped, words_of, wrapped
+from .common import WORD, discard, let, materialize, shuffle_width, unwrapped, words_of, wrapped
 
-#: Rule name -> failure, as a function of the measurements. The place in this table is the bit; rules are only ever appended.
+#: Rule name -> failure, as a function of the measurements. The place in this table is the bit; rules are only ever appended, and a retired one keeps its
+#: place and never fails, so that stored ledgers read as they were written.
 RULES = {
     "too_few_words": lambda m: m["n_words"] < 50,
     "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
@@ -25,6 +26,7 @@ RULES = {
     "bang_heavy": lambda m: 2 * m["n_bangs"] > m["n_words"],
     "odd_word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
+    "abusive_words": None,  # a fixed list, retired
     "abusive_stems": lambda m: (m["n_stems"] >= 3) & (1000 * m["n_stems"] >= 5 * m["n_words"]),
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
@@ -39,7 +41,7 @@ def mask(*names: str) -> int:
 POLICIES = {
     "base-1": BASE_MASK,
     "web-1": mask("too_few_words", "repeated_windows", "symbol_heavy", "few_letters", "shouting", "bang_heavy", "odd_word_length", "repeated_lines"),
-    "web-4": mask(*RULES),
+    "web-4": mask(*[n for n, rule in RULES.items() if rule]),
 }
 CURRENT = LEARNED = "web-4"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_bangs", "n_stems")
@@ -71,18 +73,20 @@ def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     place = F.conv(F.substring(F.md5(F.col("_d").cast("string")), 1, 5), 16, 10).cast("int")
     chosen = known.where(place < F.when(F.col("_toxic") == 1, part(1, MOST_TOXIC)).otherwise(part(0, MOST_CLEAN)))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    held = materialize(rows.join(F.broadcast(chosen), "_d"), "quality-labelled")  # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast; no text is parted before it is chosen
-    rows = held.withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).drop("text").where(F.size("ws") >= 20)
-    n = {(r["lang"], r["_toxic"]): r["count"] for r in rows.groupBy("lang", "_toxic").count().collect()}
-    each = rows.select("_d", "lang", "_toxic", F.size("ws").alias("n"), F.explode(F.flatten(F.transform("ws", lambda w: F.array(*[F.when(F.char_length(w) >= j, F.left(w, F.lit(j))) for j in STEM])))).alias("stem")).where("stem IS NOT NULL")
+    # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast, and no text is parted before it is chosen; the chosen ones are dealt out again, as few of the files' parts hold them
+    chosen_rows = rows.join(F.broadcast(chosen), "_d").repartition(shuffle_width(docs.sparkSession), F.xxhash64("_d", "text"))
+    rows = chosen_rows.withColumn("_ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).where(F.size("_ws") >= 20)
+    words = rows.select("_d", "lang", "_toxic", F.size("_ws").alias("n"), F.explode("_ws").alias("word")).groupBy("_d", "lang", "_toxic", "n", "word").agg(F.count("*").alias("c"))
+    held = materialize(words, "quality-words")  # prefixes are cut from different words
+    groups = held.select("_d", "lang", "_toxic").distinct().groupBy("lang").agg(F.greatest(F.lit(1), F.count_if(F.col("_toxic") == 1)).alias("bad"), F.greatest(F.lit(1), F.count_if(F.col("_toxic") == 0)).alias("good"))
+    begins = F.array_compact(F.array(*[F.when(F.char_length("word") >= j, F.left("word", F.lit(j))) for j in STEM]))
+    each = held.select("_d", "lang", "_toxic", "n", "c", F.explode(begins).alias("stem"))
     # whole numbers, so that no order of adding up matters
-    share = each.groupBy("_d", "lang", "_toxic", "n", "stem").agg(F.least(F.lit(WHOLE).cast("long"), F.floor(20 * WHOLE * F.count("*") / F.col("n"))).alias("share"))
+    share = each.groupBy("_d", "lang", "_toxic", "n", "stem").agg(F.least(F.lit(WHOLE).cast("long"), F.floor(20 * WHOLE * F.sum("c") / F.col("n"))).alias("share"))
     toxic = F.col("_toxic") == 1
     sums = share.groupBy("lang", "stem").agg(*[F.sum(F.when(c, v).otherwise(F.lit(0).cast("long"))).alias(k) for k, c, v in (("hit", toxic, F.col("share")), ("base", ~toxic, F.col("share")), ("n_hit", toxic, F.lit(1)), ("n_base", ~toxic, F.lit(1)))])
-    bad, good = F.lit(1), F.lit(1)
-    for (k, y), c in n.items():
-        own = F.col("lang").eqNullSafe(F.lit(k))
-        bad, good = (F.when(own, F.lit(c)).otherwise(bad), good) if y == 1 else (bad, F.when(own, F.lit(c)).otherwise(good))
+    sums = sums.join(groups.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))  # a row for each language
+    bad, good = F.col("bad"), F.col("good")
     often = (F.col("n_hit") >= STEM_DOCS) & (100 * F.col("n_hit") >= STEM_HUNDREDTHS * bad)
     marks = often & (F.col("hit") * good >= STEM_RATIO * (F.col("base") + FLOOR) * bad) & (F.col("n_hit") * good >= 3 * F.col("n_base") * bad)
     out: dict[str | None, list[str]] = {}
@@ -156,7 +160,7 @@ def ledger(docs: DataFrame, text: str = "text", stems: dict[str | None, list[str
     own = {"_text": F.col(f"`{text}`")} | ({"_lang": F.col(f"`{lang}`")} if stems else {})
     kept = [c for c, n in zip(unwrapped(docs), docs.columns) if n not in ("measures", "failed")]
     out = measure(wrapped(docs, **own), "_text").withColumn("_measures", F.struct(*[(parts[k] if k in parts else m[k]).alias(k) for k in MEASURES]))
-    bits = [F.when(rule(F.col("_measures")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
+    bits = [F.when(rule(F.col("_measures")), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES.items() if rule]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
@@ -169,7 +173,9 @@ def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, as they are."""
+    """The rows of ``docs`` that the policy keeps, as they are. A policy with the rule of stems needs some, though it be none that were found."""
+    if stems is None and POLICIES[policy] & BIT["abusive_stems"]:
+        raise ValueError(f"{policy} needs stems; web-1 has the same rules without them")
     own = {"_text": F.col(f"`{text}`")} | ({"_lang": F.col(f"`{lang}`")} if stems else {})
     led = apply_policy(ledger(wrapped(docs, **own), "_text", stems, "_lang"), policy)
     return led.where("kept").select(unwrapped(docs))

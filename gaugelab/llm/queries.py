@@ -82,8 +82,8 @@ m AS ({found}),
 e AS (SELECT r, kind, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM m),
 s AS (SELECT r, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(ms[i]) AS n, vs[i] AS v FROM e),
 f AS (SELECT r, kind, a, a + n AS b, sha256(v) AS h FROM s WHERE {passes}),
-owned AS (SELECT h, count(DISTINCT owner) AS owners, count(DISTINCT (owner, t)) AS repos FROM f JOIN d ON f.r = d.r GROUP BY h),
-g AS (SELECT f.*, owners, repos, owners <= {secrets.MOST_OWNERS} AND repos <= {secrets.MOST_REPOS} AS live FROM f JOIN owned ON f.h = owned.h),
+owned AS (SELECT h, count(DISTINCT owner) AS owners, count(DISTINCT (owner, t)) AS repos, count(DISTINCT CASE WHEN owner = '' THEN t END) AS unowned FROM f JOIN d ON f.r = d.r GROUP BY h),
+g AS (SELECT f.*, owners, repos, owners <= {secrets.MOST_OWNERS} AND unowned <= {secrets.MOST_REPOS} AS live FROM f JOIN owned ON f.h = owned.h),
 per AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))}, {listed} FILTER (kind < {n}) AS base, {listed} FILTER (kind < {n} OR live) AS spans,
   count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS most_owners, max(repos) AS most_repos FROM g GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
@@ -189,6 +189,8 @@ f AS (SELECT *, length(u)::DOUBLE AS length, length(host)::DOUBLE AS host_length
   CASE WHEN u = '' THEN 0 ELSE round(log2(length(u)) - list_sum(list_transform(map_values(list_histogram(regexp_extract_all(u, '(?s).'))), lambda c: c * log2(c))) / length(u), 6) END AS entropy,
   CASE WHEN query = '' THEN 0 ELSE len(string_split(query, '&')) END::DOUBLE AS n_params, length(query)::DOUBLE AS query_length,
   coalesce(list_max(list_transform(list_filter(string_split_regex(host, '[.-]'), lambda w: length(w) > 1), lambda w: length(w))), 0)::DOUBLE AS longest_part,
+  len(regexp_replace(regexp_replace(host, '\.?[^.]*\.?[^.]*$', ''), '[^-_]', '', 'g'))::DOUBLE AS marks_below,
+  coalesce(list_max(list_transform(string_split_regex(array_to_string(list_filter(string_split(host, '.'), lambda x: regexp_matches(x, '[-_]')), '-'), '[-_]'), lambda w: length(w))), 0)::DOUBLE AS marked_part,
   CASE list_last(string_split(host, '.')) {rates} ELSE {m.usual!r}::DOUBLE END AS suffix_rate FROM h),
 s AS (SELECT *, {m.trees.start!r}::DOUBLE + {" + ".join(tree(t) for t in m.trees.trees)} AS score FROM f)
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} WHEN score > 0 THEN 'block' ELSE 'allow' END AS verdict, round(score, 6) AS score FROM s
