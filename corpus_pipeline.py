@@ -13,9 +13,11 @@ from gaugelab.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule go; abuse is known by fixed words and by stems learned from the labels beside the documents."""
-    stems = quality.learn_stems(docs, table(spark, sf_dir, "labels")) if sf_dir else {}
-    return quality.keep(docs, quality.LEARNED, stems=stems)
+    """Documents that fail a rule go; abuse is known by stems learned from the labels beside the documents. Without tables there are none, and the
+    policy is the one without that rule."""
+    if not sf_dir:
+        return quality.keep(docs, "web-1")
+    return quality.keep(docs, quality.LEARNED, stems=quality.learn_stems(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
