@@ -6,7 +6,8 @@ choose alike, wherever they moved. Of those of 8 bytes the 32 rarest different o
 filler, have features too; a text under 8 bytes is one feature. The same rules hold for texts of every length.
 
 Features are put, in the order of the text, into a chain of Bloom filters of 2,048 bits for each size, a new one begun after 160 features. Two
-digests are alike by the overlap of their filters' bits, less what chance gives, over the most that is possible.
+digests are alike by the overlap of their filters' bits, less what chance gives, over the most that is possible. A filter looks for its partner in the
+other digest's chain of its size, up to BAND filters from its own place counted from either end, so that the work grows with the text and not with its square.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ POPULAR = 0.25
 #: So many windows of TINY bytes are features of a text, if it has as many different ones.
 RAREST = 32
 BITS, PER_FILTER, HASHES = 2048, 160, 5
+#: About half a megabyte of text either way: what has moved further within a text is not found again.
+BAND = 64
 
 _STEPS = (np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * (1 << 16)).round().astype(np.int64)
 
@@ -132,8 +135,14 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], h[order]
 
 
-def digests(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text an array of filters (n, 256) of bytes; none for an empty text, and at least one for any other."""
+class Digest(np.ndarray):
+    """Filters (n, 256) of bytes; ``sizes`` has how many of them each chain has, in order."""
+
+    sizes: tuple[int, ...] = ()
+
+
+def digests(texts: list[bytes]) -> list[Digest]:
+    """For each text its filters; none for an empty text, and at least one for any other."""
     chain, h = _features(texts)
     count = np.bincount(chain, minlength=CHAINS * len(texts)) if len(texts) else np.zeros(0, np.int64)
     filters = -(-count // PER_FILTER)
@@ -144,27 +153,42 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
     for k in range(HASHES):
         bits[slot, (h >> np.uint64(11 * k)) & np.uint64(BITS - 1)] = True
     packed = np.packbits(bits, axis=1)
-    return [packed[a:b] for a, b in zip(base[:-1:CHAINS], base[CHAINS::CHAINS])]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    out = []
+    for i, (a, b) in enumerate(zip(base[:-1:CHAINS], base[CHAINS::CHAINS])):
+        out.append(packed[a:b].view(Digest))
+        out[-1].sizes = tuple(filters[CHAINS * i : CHAINS * (i + 1)].tolist())
+    return out
+
+
+def _partners(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """For each filter of chain ``a`` the best score of a partner in chain ``b`` within the band."""
+    best = np.zeros(len(a))
+    p, q = len(a), len(b)
+    for shift in {0, q - p}:  # places counted from the start, and from the end
+        for delta in range(max(-BAND, 1 - p - shift), min(BAND, q - 1 - shift) + 1):
+            lo, hi = max(0, -shift - delta), min(p, q - shift - delta)
+            if lo >= hi:
+                continue
+            x, y, n, m = a[lo:hi], b[lo + shift + delta : hi + shift + delta], na[lo:hi], nb[lo + shift + delta : hi + shift + delta]
+            chance, most = n * m / BITS, np.maximum(n, m)
+            score = (np.bitwise_count(x & y).sum(1, dtype=np.int64) - chance) / np.maximum(most - chance, 1e-9)
+            best[lo:hi] = np.maximum(best[lo:hi], score)
+    return best
+
+
+def likeness(a: Digest, b: Digest) -> float:
     """From 0 to 1: each filter of the shorter digest with its best partner in the other, weighted by its bits. Two empty texts are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
-    na, nb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
     if a.shape == b.shape and (a == b).all():
         return 1.0
-    total = weight = 0.0
-    for x, n in zip(a, na):
-        both = np.bitwise_count(b & x).sum(1, dtype=np.int64)
-        chance = n * nb / BITS
-        most = np.maximum(n, nb)
-        score = np.where(most > chance, (both - chance) / np.maximum(most - chance, 1e-9), 0.0)
-        total += n * max(0.0, float(score.max()))
-        weight += n
-    return min(1.0, total / weight)
+    x, y = np.asarray(a), np.asarray(b)
+    na, nb = np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
+    ends_a, ends_b = np.cumsum([0, *a.sizes]), np.cumsum([0, *b.sizes])
+    best = np.concatenate([_partners(x[i:j], y[k:m], na[i:j], nb[k:m]) for i, j, k, m in zip(ends_a, ends_a[1:], ends_b, ends_b[1:])])
+    return min(1.0, float((na * best).sum() / na.sum()))
 
 
 def text_of(digest: np.ndarray) -> str:

@@ -139,16 +139,19 @@ def digest(text, mix, usual, share=0.25, rarest=32, bits=2048, per_filter=160, h
     return out
 
 
-def likeness(a, b, bits=2048):
+def likeness(a, b, sizes_a, sizes_b, bits=2048):
+    """``sizes``: filters of each chain."""
     if not a or not b:
         return float(not a and not b)
     if a == b:
         return 1.0
     if len(a) > len(b):
-        a, b = b, a
+        a, b, sizes_a, sizes_b = b, a, sizes_b, sizes_a
 
     def score(x, y):
         chance, most = len(x) * len(y) / bits, max(len(x), len(y))
         return max(0.0, (len(x & y) - chance) / (most - chance))
 
-    return sum(len(x) * max(score(x, y) for y in b) for x in a) / sum(map(len, a))
+    chain = lambda sizes: [k for k, n in enumerate(sizes) for _ in range(n)]
+    best = lambda x, k: max((score(x, y) for y, m in zip(b, chain(sizes_b)) if m == k), default=0.0)
+    return sum(len(x) * best(x, k) for x, k in zip(a, chain(sizes_a))) / sum(map(len, a))

@@ -1,5 +1,6 @@
 """Digests against a plain version, and what they tell apart."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -30,9 +31,9 @@ def test_digests_and_likeness_against_a_plain_version(texts):
     want = [plain.digest(t, fingerprints._MIX, fingerprints.USUAL) for t in some]
     assert [filters(d) for d in got] == want
     for i in range(len(some) - 1):
-        assert abs(fingerprints.likeness(got[i], got[i + 1]) - plain.likeness(want[i], want[i + 1])) < 1e-9
+        assert abs(fingerprints.likeness(got[i], got[i + 1]) - plain.likeness(want[i], want[i + 1], got[i].sizes, got[i + 1].sizes)) < 1e-9
         part = fingerprints.digests([some[i][: len(some[i]) // 2 + 1]])[0]
-        assert abs(fingerprints.likeness(got[i], part) - plain.likeness(want[i], filters(part))) < 1e-9
+        assert abs(fingerprints.likeness(got[i], part) - plain.likeness(want[i], filters(part), got[i].sizes, part.sizes)) < 1e-9
 
 
 def test_filler_is_told_apart():
@@ -57,6 +58,21 @@ def test_a_few_bytes_more_change_little(texts, n):
     assert np.mean([like(t[:n], t[: n + 20]) for t in some]) > (0.85 if n >= 200 else 0.6)
 
 
+def test_long_texts_take_time_in_proportion():
+    """Ten megabytes, edited as in the contract, shifted by an insertion, and unrelated."""
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.choice(np.frombuffer(b"etaoinshrdlucmfw", np.uint8), rng.integers(1, 9))) for _ in range(5000)]
+    text = lambda n: b" ".join(words[i] for i in rng.integers(0, 5000, n))
+    big, other = text(1_800_000), text(900_000)
+    edited, shifted = big[: len(big) - len(big) // 2] + other, big[:1000] + text(20_000) + big[1000:]
+    made = fingerprints.digests([big, edited, shifted, other])
+    assert len(made[0]) > 1000
+    began = time.monotonic()
+    near = [fingerprints.likeness(made[0], d) for d in made[1:]]
+    assert time.monotonic() - began < 20
+    assert 0.4 < near[0] < 0.65 and near[1] > 0.6 and near[2] < 0.1
+
+
 def test_order_with_hot_and_missing_ids(spark):
     """A doc_id, and null, that hold a third of the rows each, in many buckets."""
     rows = [(None, f"null {i}") for i in range(60)] + [(7, f"seven {i}") for i in range(60)] + [(i, f"text {i}") for i in range(60)] + [(7, "twice"), (7, "twice"), (-(1 << 63), "low"), ((1 << 63) - 1, "high")]
