@@ -8,6 +8,10 @@ fingerprint, and within a group work in proportion to its points: no pairs are l
 Each joined pair of points verifies a link of at most 1 + 1 + 1 bits by itself.
 
 Links then are contracted to components by min-label rounds over a table that holds near duplicates alone.
+
+Three bits are tight for near copies. ``similar_links`` adds links between texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or
+more: min-wise hashes of the shingles in BANDS bands propose pairs, each text with one of its bucket (another one in each band), and every pair is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -211,10 +215,90 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def _classes_of(known: DataFrame) -> DataFrame:
+#: Words of a shingle and similarity of near copies; bands of min-wise hashes, and hashes of each: at the similarity a pair shares none in one of 2,800 cases.
+WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 5
+_FAMILY = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+_PLACES = np.random.default_rng(6).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: bytes | None) -> np.ndarray:
+    """The different five-word shingles of a text, hashed and in order; of fewer words the whole sequence, of none nothing."""
+    from xxhash import xxh64_intdigest as xxh
+
+    ws = (text or b"").lower().split()
+    if not ws:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter((xxh(w) for w in ws), np.uint64, len(ws))
+    k = min(WORDS, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out += h[j : len(h) - k + 1 + j] * _PLACES[j]
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def _band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, BANDS) keys of sets that aren't empty: equal with the probability that all hashes of the band agree."""
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    every = np.concatenate(sets)
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        least = np.minimum.reduceat((every * _FAMILY[0, k] + _FAMILY[1, k]) >> np.uint64(16), starts)
+        band = k // ROWS
+        keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+    return keys
+
+
+def similar_links(docs: DataFrame, known: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``(a, b)``: fingerprints of texts that are at least so similar. ``known`` has the fingerprints (``ta``, ``fp``) of all texts."""
+
+    def bands(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_hashes(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                some = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+                if len(some):
+                    keys = _band_keys([sets[i] for i in some])
+                    ta = np.asarray(part.column(0))[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ta, BANDS))], ["key", "ta"])
+
+    def hashed(batches):
+        for b in batches:
+            sets = [shingle_hashes(t).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["ta", "s"])
+
+    def verified(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similar * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    ta, _ = wide_hash(F.col(f"`{text}`"))
+    texts = docs.select(ta.alias("ta"), F.col(f"`{text}`").alias("text"))
+    keys = materialize(texts.mapInArrow(bands, "key long, ta long").distinct(), "simhash-bands")
+    tops = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("ta", "key").alias("h"), F.col("ta").alias("tb"))).alias("m")).where("n > 1").select("key", "m.tb")
+    fps = known.groupBy("ta").agg(F.min("fp").alias("fp"))
+    pairs = keys.join(tops, "key").where("ta <> tb").select("ta", "tb").distinct()
+    pairs = pairs.join(fps.select("ta", F.col("fp").alias("a")), "ta").join(fps.select(F.col("ta").alias("tb"), F.col("fp").alias("b")), "tb").where("a <> b")
+    pairs = materialize(pairs, "simhash-pairs")
+    needed = materialize(pairs.select("ta").unionAll(pairs.select("tb")).distinct(), "simhash-needed")
+    sets = materialize(texts.join(needed, "ta").mapInArrow(hashed, "ta long, s binary").groupBy("ta").agg(F.first("s").alias("s")), "simhash-sets")
+    both = pairs.join(sets.withColumnRenamed("s", "x"), "ta").join(sets.select(F.col("ta").alias("tb"), F.col("s").alias("y")), "tb")
+    out = materialize(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long").distinct(), "simhash-similar")
+    for used in (keys, pairs, needed, sets):
+        discard(used)
+    return out
+
+
+def _classes_of(known: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """``(fp, root, component_id)`` for each distinct fingerprint; root is a fingerprint that names the component."""
     least = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
-    found = components(links(least.select("fp")))
+    near = links(least.select("fp"))
+    found = components(near if more is None else near.unionAll(more))
     comp = materialize(found.unionAll(found.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "simhash-comp")
     tops = comp.join(least, "fp").groupBy("root").agg(F.min("least").alias("top"))
     dealt = _dealt(comp, "fp")  # a component may hold a large part of all fingerprints
@@ -236,13 +320,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return known.join(_classes_of(known), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component of ``docs``: that with the smallest doc_id (nulls last), then by its text's hash; of exact repeats, one."""
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest doc_id (nulls last), then by its text's hash; of exact repeats, one. With ``similar``
+    texts of that similarity are linked too."""
     known = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fp")
+    more = None if similar is None else similar_links(docs, known, text, similar)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "ta", "tb", "n")).alias("k")
     # one row for each fingerprint before components are looked up: a group of copies is reduced where it is read
     per = known.groupBy("fp", "doc_id", "ta", "tb").agg(F.count("*").alias("n")).groupBy("fp").agg(first)
-    least = per.join(_classes_of(known).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k"))
+    least = per.join(_classes_of(known, more).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k"))
     keep = least.select(F.col("k.doc_id").alias("_d"), F.col("k.ta").alias("_ta"), F.col("k.tb").alias("_tb"), F.col("k.n").alias("_n"))
     keep = materialize(keep, "simhash-keep")
     ta, tb = wide_hash(F.col(f"`{text}`"))

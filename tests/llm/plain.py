@@ -61,10 +61,27 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def components(ids, fps):
+def shingles(text, k=5):
+    ws = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORDS.findall(text or "")]
+    return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+
+
+def similar_pairs(texts, similar=0.8):
+    """Places of texts whose sets of shingles are at least so similar; equal texts without words aren't pairs."""
+    sets = [shingles(t) for t in texts]
+    of = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            of.setdefault(x, []).append(i)
+    shared = Counter((i, j) for who in of.values() for a, i in enumerate(who) for j in who[a + 1 :])
+    return [(i, j) for (i, j), n in shared.items() if n >= similar * (len(sets[i]) + len(sets[j]) - n)]
+
+
+def components(ids, fps, texts=None):
+    """Of fingerprints within three bits, and of texts that are similar if they are given."""
     f = np.array(fps, np.uint64)
     pairs = [(i, j) for i in range(len(f)) for j in (np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= 3) + i + 1).tolist()]
-    r = roots(len(f), pairs)
+    r = roots(len(f), pairs + (similar_pairs(texts) if texts is not None else []))
     least = {}
     for i, k in enumerate(r):
         if ids[i] is not None:

@@ -243,7 +243,7 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
     led = {r.doc_id: r.kept for r in queries.op6_quality_rules(spark, sf_dir).collect()}
     rows = [r for r in docs if led[r[0]]]
     rows = [(r[0], t, r[2], r[3]) for r, t in zip(rows, plain.line_dedup([(r[0], r[1], r[3]) for r in rows], lines.RATIO, lines.MIN_PAGES))]
-    comp = plain.components([r[0] for r in rows], [plain.simhash(r[1]) for r in rows])
+    comp = plain.components([r[0] for r in rows], [plain.simhash(r[1]) for r in rows], [r[1] for r in rows])
     rows = [r for r, c in zip(rows, comp) if r[0] == c]
     stage = spark.createDataFrame([(*r, len(r[1])) for r in rows], plain.SCHEMA)
     times = {r.doc_id: r.times for r in mixing.taken(stage).collect()}
@@ -257,6 +257,37 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_copies_found(spark, sf):
+    """Of all pairs of a similarity of 0.8 or more, those that the stage joins; of texts that no link reaches, none is lost."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain.components([r[0] for r in rows], [plain.simhash(r[1]) for r in rows], [r[1] for r in rows])
+    known = simhash.materialize(simhash.fingerprints(docs), "test-fp")
+    found = {r.doc_id: r.root for r in known.join(simhash._classes_of(known, simhash.similar_links(docs, known)), "fp").select("doc_id", "root").collect()}
+    pairs = plain.similar_pairs([r[1] for r in rows])
+    joined = [found[rows[i][0]] == found[rows[j][0]] for i, j in pairs]
+    assert len(joined) >= 10 and np.mean(joined) >= 0.99
+    kept = {r.doc_id for r in simhash.keep_one(docs, similar=0.8).collect()}
+    assert kept <= set(want) | {r[0] for r in rows} and {r[0] for r, c in zip(rows, want) if r[0] == c} <= kept
+
+
+def test_similar_texts_beside_a_plain_version(spark, odd):
+    """Near copies that differ in many bits, in a group of hundreds, with short, empty and missing texts."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    for i in range(150):
+        t = list(base)
+        for k in rng.choice(200, 2, replace=False):
+            t[k] = f"x{rng.integers(10**6)}"
+        rows.append((1000 + i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs, similar=0.8).collect()}
+    want = plain.components([r[0] for r in rows], [plain.simhash(r[1]) for r in rows], [r[1] for r in rows])
+    assert {x for x in kept if x is not None} == {c for c in want if c is not None}
+
+
 def test_quality_stage_finds_abuse_in_every_language(spark):
     import corpus_pipeline
 
