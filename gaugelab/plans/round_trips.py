@@ -42,39 +42,42 @@ def _missing(x: str, rate: float, seed: int, *keys: str) -> str:
     return f"CASE WHEN {_u(seed, repr('loss'), *keys)} >= {rate!r}::DOUBLE THEN {x} END"
 
 
-def _line(n: int, start: float, stop: float) -> str:
-    return f"({float(start)!r}::DOUBLE + i * {(stop - start) / (n - 1)!r}::DOUBLE)"
+def _line(n: str, start: float, stop: float | str) -> str:
+    stop = stop if isinstance(stop, str) else f"{float(stop)!r}::DOUBLE"
+    return f"({float(start)!r}::DOUBLE + i * CASE WHEN {n} > 1 THEN ({stop} - {float(start)!r}::DOUBLE) / ({n} - 1) ELSE 0 END)"
 
 
-def _index(n: int, channels: int) -> str:
-    return f"SELECT CAST(id % {channels} AS INTEGER) AS ch, id // {channels} AS i FROM range({n * channels}) r(id)"
+def _n(channels: int) -> str:
+    return f"(SELECT max(event_id) // {channels} + 1 FROM events)"
 
 
-def _analog(seconds: float, channels: int, seed: int = 0) -> str:
-    n = int(seconds * DAQ_RATE)
-    return f"SELECT ch, i, 5.0::DOUBLE * sin({_line(n, 0, 2 * math.pi)}) + {_g(0.0, 0.1, seed, repr('analog'), 'ch', 'i')} + {_line(n, 0, 0.5)} AS x FROM ({_index(n, channels)})"
+def _index(channels: int) -> str:
+    """Samples are the rows of the log, dealt to channels."""
+    return f"SELECT CAST(event_id % {channels} AS INTEGER) AS ch, event_id // {channels} AS i FROM events"
 
 
-def _digital(seconds: float, seed: int = 0) -> str:
-    n = int(seconds * DAQ_RATE)
-    states = f"SELECT ch, i, CASE WHEN {_u(seed, repr('coin'), repr('digital'), 'ch', 'i')} < 0.5 THEN 1 ELSE 0 END AS b FROM ({_index(n, 1)})"
+def _analog(channels: int, seed: int = 0) -> str:
+    n = _n(channels)
+    return f"SELECT ch, i, 5.0::DOUBLE * sin({_line(n, 0, 2 * math.pi)}) + {_g(0.0, 0.1, seed, repr('analog'), 'ch', 'i')} + {_line(n, 0, 0.5)} AS x FROM ({_index(channels)})"
+
+
+def _digital(seed: int = 0) -> str:
+    states = f"SELECT ch, i, CASE WHEN {_u(seed, repr('coin'), repr('digital'), 'ch', 'i')} < 0.5 THEN 1 ELSE 0 END AS b FROM ({_index(1)})"
     return f"""WITH RECURSIVE raw AS MATERIALIZED ({states}), d AS (SELECT ch, i, b AS x, 0 AS hold FROM raw WHERE i = 0 UNION ALL
  SELECT raw.ch, raw.i, CASE WHEN d.hold > 0 THEN d.x ELSE raw.b END, CASE WHEN d.hold > 0 THEN d.hold - 1 WHEN raw.b <> d.x THEN 4 ELSE 0 END FROM d JOIN raw ON raw.ch = d.ch AND raw.i = d.i + 1)
  SELECT ch, i, x FROM d"""
 
 
-def _network(seconds: float, channels: int, seed: int = 0) -> str:
-    n = int(seconds * NETWORK_RATE)
-    keys = ("ch", "i")
-    x = f"{_g(0.5, 0.1, seed, repr('network'), *keys)} + 0.05::DOUBLE * sin({2 * math.pi * 0.1!r}::DOUBLE * {_line(n, 0, seconds)}) + {_g(0.0, 0.01, seed, repr('network noise'), *keys)}"
-    return f"SELECT ch, i, {_missing(x, LOSS['network'], seed, *keys)} AS x FROM ({_index(n, channels)})"
+def _network(channels: int, seed: int = 0) -> str:
+    n, keys = _n(channels), ("ch", "i")
+    x = f"{_g(0.5, 0.1, seed, repr('network'), *keys)} + 0.05::DOUBLE * sin({2 * math.pi * 0.1!r}::DOUBLE * {_line(n, 0, f'({n} / {NETWORK_RATE}.0::DOUBLE)')}) + {_g(0.0, 0.01, seed, repr('network noise'), *keys)}"
+    return f"SELECT ch, i, {_missing(x, LOSS['network'], seed, *keys)} AS x FROM ({_index(channels)})"
 
 
-def _ethernet(seconds: float, seed: int = 0) -> str:
-    n = int(seconds * DAQ_RATE)
-    raw = f"SELECT ch, i, {_missing(_g(0.0, 1.0, seed, repr('ethernet'), 'ch', 'i'), LOSS['ethernet'], seed, 'ch', 'i')} AS x FROM ({_index(n, 1)})"
+def _ethernet(seed: int = 0) -> str:
+    raw = f"SELECT ch, i, {_missing(_g(0.0, 1.0, seed, repr('ethernet'), 'ch', 'i'), LOSS['ethernet'], seed, 'ch', 'i')} AS x FROM ({_index(1)})"
     late = f"CAST(trunc({_g(0.02, 0.005, seed, repr('latency'))} * {DAQ_RATE}) AS BIGINT)"
-    return f"SELECT a.ch, a.i, b.x FROM ({raw}) a JOIN ({raw}) b ON a.ch = b.ch AND a.i = (b.i + {late}) % {n}"
+    return f"SELECT a.ch, a.i, b.x FROM ({raw}) a JOIN ({raw}) b ON a.ch = b.ch AND a.i = (b.i + {late}) % {_n(1)}"
 
 
 def _ts(rate: int) -> str:
@@ -89,14 +92,13 @@ def _two(rows: str) -> str:
     return f"SELECT i, max(x) FILTER (ch = 0) AS a, max(x) FILTER (ch = 1) AS b FROM ({rows}) GROUP BY i"
 
 
-_SECONDS = 2
 _RUNS = {
     "burnin": f"SELECT a.i, {_ts(DAQ_RATE)} AS timestamp, a.x AS temperature, d.x AS status, {_g(3.3, 0.1, 0, repr('burnin voltage'), 'a.i')} AS voltage, {_g(0.5, 0.05, 0, repr('burnin current'), 'a.i')} AS current "
-    f"FROM ({_analog(_SECONDS, 1)}) a JOIN ({_digital(_SECONDS)}) d ON a.i = d.i".replace(_ts(DAQ_RATE), _ts(DAQ_RATE).replace("(i *", "(a.i *")),
-    "hipot": f"SELECT i, {_ts(DAQ_RATE)} AS timestamp, abs(a) * 5.0::DOUBLE + 0.0 AS voltage, abs(b) * 1.0::DOUBLE + 0.0 AS current FROM ({_two(_analog(_SECONDS, 2))})",
-    "isolation": f"SELECT i, {_ts(DAQ_RATE)} AS timestamp, abs(x) * 1000000.0::DOUBLE + 0.0 AS resistance FROM ({_analog(_SECONDS, 1)})",
-    "laser": f"SELECT i, {_ts(NETWORK_RATE)} AS timestamp, a * 50.0::DOUBLE + 55.0::DOUBLE AS power, b * 25.0::DOUBLE + 825.0::DOUBLE AS wavelength FROM ({_two(_network(_SECONDS, 2))})",
-    "parametric": f"SELECT *, voltage * current / 1000 AS power FROM (SELECT i, {_ts(DAQ_RATE)} AS timestamp, abs(a) * 1000.0::DOUBLE + 0.0 AS voltage, abs(b) * 1000.0::DOUBLE + 0.0 AS current FROM ({_two(_analog(_SECONDS, 2))}))",
+    f"FROM ({_analog(1)}) a JOIN ({_digital()}) d ON a.i = d.i".replace(_ts(DAQ_RATE), _ts(DAQ_RATE).replace("(i *", "(a.i *")),
+    "hipot": f"SELECT i, {_ts(DAQ_RATE)} AS timestamp, abs(a) * 5.0::DOUBLE + 0.0 AS voltage, abs(b) * 1.0::DOUBLE + 0.0 AS current FROM ({_two(_analog(2))})",
+    "isolation": f"SELECT i, {_ts(DAQ_RATE)} AS timestamp, abs(x) * 1000000.0::DOUBLE + 0.0 AS resistance FROM ({_analog(1)})",
+    "laser": f"SELECT i, {_ts(NETWORK_RATE)} AS timestamp, a * 50.0::DOUBLE + 55.0::DOUBLE AS power, b * 25.0::DOUBLE + 825.0::DOUBLE AS wavelength FROM ({_two(_network(2))})",
+    "parametric": f"SELECT *, voltage * current / 1000 AS power FROM (SELECT i, {_ts(DAQ_RATE)} AS timestamp, abs(a) * 1000.0::DOUBLE + 0.0 AS voltage, abs(b) * 1000.0::DOUBLE + 0.0 AS current FROM ({_two(_analog(2))}))",
 }
 _FLAGS = {
     "burnin": ("failures", "temperature > 90"),
@@ -117,9 +119,9 @@ def _ict() -> str:
     parts, start = [], 0
     for f in FAMILIES:
         points = ", ".join(f"({start + k + 1}, {p!r})" for k, p in enumerate(f.points))
-        x, ok = _g(f.mean, f.std, 0, repr("ict"), "p"), f"x < {f.rule.low}" if f.rule.kind == "below" else f"abs(x - {f.rule.low}::DOUBLE) / {f.rule.low}::DOUBLE <= {f.rule.high}::DOUBLE"
+        x, ok = _g(f.mean, f.std, 0, repr("ict"), "p", "i"), f"x < {f.rule.low}" if f.rule.kind == "below" else f"abs(x - {f.rule.low}::DOUBLE) / {f.rule.low}::DOUBLE <= {f.rule.high}::DOUBLE"
         cols = "x AS resistance, NULL::DOUBLE AS value" if f.column == "resistance" else "NULL::DOUBLE AS resistance, x AS value"
-        parts.append(f"SELECT CAST(n AS BIGINT) AS sequence_num, {f.label!r} AS test_type, p AS test_point, {cols}, {ok} AS pass_fail FROM (SELECT *, {x} AS x FROM (VALUES {points}) v(n, p))")
+        parts.append(f"SELECT i * {sum(len(x.points) for x in FAMILIES)} + n AS sequence_num, {f.label!r} AS test_type, p AS test_point, {cols}, {ok} AS pass_fail FROM (SELECT *, {x} AS x FROM ({_index(1)}), (VALUES {points}) v(n, p))")
         start += len(f.points)
     return " UNION ALL ".join(parts)
 
@@ -132,6 +134,12 @@ def _places(df: DataFrame, places: int) -> DataFrame:
 _PLACES = {"isolation": 2, "parametric": 3}
 
 
+def _samples(spark, sf):
+    """Samples of so many channels: the rows of the log."""
+    log = t(spark, sf, "events").select("event_id")
+    return lambda channels: log.select((F.col("event_id") % channels).cast("int").alias("channel"), F.expr(f"event_id div {channels}").alias("sample_idx"))
+
+
 def _generated(test: str) -> None:
     names, places = schemas.REPORT[test].names, _PLACES.get(test, 6)
     doubles = {f.name for f in schemas.REPORT[test].fields if f.dataType.simpleString() == "double"}
@@ -140,7 +148,7 @@ def _generated(test: str) -> None:
     cols = [f"round({c}, {places}) AS {c}" if c in doubles else "i AS sample_idx" if c == "sample_idx" else c for c in have]
 
     def generated(spark, sf):
-        return _places(generate(spark, test, _SECONDS).select(*have), places)
+        return _places(generate(spark, test, index=_samples(spark, sf)).select(*have), places)
 
     generated.__name__, generated.__doc__ = f"generated_{test}", f"A run of {SPECS[test].title} measurements."
     query(f"SELECT {', '.join(cols)} FROM ({_ict() if test == 'ict' else _run(test)})")(generated)
@@ -150,27 +158,27 @@ for _test in GENERATORS:
     _generated(_test)
 
 
-@query(_signal(_analog(_SECONDS, 2)))
+@query(_signal(_analog(2)))
 def signal_analog(spark, sf):
-    return rounded(signal(spark, "analog", _SECONDS, 2))
+    return rounded(signal(spark, "analog", 0, 2, index=_samples(spark, sf)))
 
 
-@query(_signal(_digital(_SECONDS)))
+@query(_signal(_digital()))
 def signal_digital(spark, sf):
-    return rounded(signal(spark, "digital", _SECONDS, 1))
+    return rounded(signal(spark, "digital", 0, 1, index=_samples(spark, sf)))
 
 
-@query(_signal(_ethernet(_SECONDS)))
+@query(_signal(_ethernet()))
 def signal_ethernet(spark, sf):
-    return rounded(signal(spark, "ethernet", _SECONDS, 1))
+    return rounded(signal(spark, "ethernet", 0, 1, index=_samples(spark, sf)))
 
 
-@query(_signal(_network(30, 3), NETWORK_RATE))
+@query(_signal(_network(3), NETWORK_RATE))
 def signal_network(spark, sf):
-    return rounded(signal(spark, "network", 30, 3))
+    return rounded(signal(spark, "network", 0, 3, index=_samples(spark, sf)))
 
 
-@query(f"SELECT *, 'OK: *IDN?' AS reply, true AS released FROM ({_signal(_network(30, 1, 4), NETWORK_RATE)})")
+@query(f"SELECT *, 'OK: *IDN?' AS reply, true AS released FROM ({_signal(_network(1, 4), NETWORK_RATE)})")
 def instrument_session(spark, sf):
     """An instrument is opened, asked, read and released; reading it closed is refused."""
     x = Instrument(spark, "network", seed=4)
@@ -182,11 +190,57 @@ def instrument_session(spark, sf):
         raise AssertionError("a closed instrument was read")
     if not x.connect():
         raise ConnectionError("not connected")
-    rows = rounded(x.read(30)).withColumn("reply", F.lit(x.send("*IDN?")))
+    rows = rounded(x.read(0, index=_samples(spark, sf))).withColumn("reply", F.lit(x.send("*IDN?")))
     return rows.withColumn("released", F.lit(x.disconnect() and not x.connected))
 
 
-# Statistics of generated runs
+# Runs taken from the measurement log: each row of ``events`` is a sample, its value scaled to what a test measures
+
+#: Test -> measured column -> (factor, offset).
+_SCALES = {
+    "burnin": {"temperature": (2.0, 0.0), "voltage": (0.01, 3.0), "current": (0.005, 0.0)},
+    "hipot": {"voltage": (0.02, 4.0), "current": (0.02, 0.0)},
+    "isolation": {"resistance": (5.0, 0.0)},
+    "laser": {"power": (1.0, 5.0), "wavelength": (1.0, 800.0)},
+    "parametric": {"voltage": (4.0, 3200.0), "current": (2.0, 450.0)},
+}
+
+
+def _log(spark, sf, test: str) -> DataFrame:
+    """The log as a run of a test, flagged by its rules."""
+    rows = t(spark, sf, "events").select(F.col("event_id").alias("sample_idx"), F.col("ts").alias("timestamp"), F.col("value").alias("x"))
+    if test == "ict":
+        parts = []
+        for k, f in enumerate(FAMILIES):
+            own = rows.where(F.pmod("sample_idx", F.lit(len(FAMILIES))) == k).select((F.col("sample_idx") + 1).alias("sequence_num"), F.lit(f.label).alias("test_type"), F.lit(f.points[0]).alias("test_point"), rules.scaled(F.col("x"), f.std / 10, f.mean).alias(f.column))
+            parts.append(own.withColumn("pass_fail", rules.holds(f.rule)))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*schemas.REPORT["ict"].names)
+    out = rows.select("sample_idx", "timestamp", *[rules.scaled(F.col("x"), k, b).alias(n) for n, (k, b) in _SCALES[test].items()])
+    if test == "burnin":
+        out = out.withColumn("status", F.pmod("sample_idx", F.lit(2)).cast("int"))
+    if test == "parametric":
+        out = out.withColumn("power", rules.milli_product(F.col("voltage"), F.col("current")))
+    return rules.with_flag(out, SPECS[test])
+
+
+def _logged(test: str) -> str:
+    """The same in SQL."""
+    if test == "ict":
+        parts = []
+        for k, f in enumerate(FAMILIES):
+            x, ok = f"value * {f.std / 10!r}::DOUBLE + {f.mean!r}::DOUBLE", f"x < {f.rule.low}" if f.rule.kind == "below" else f"abs(x - {f.rule.low}::DOUBLE) / {f.rule.low}::DOUBLE <= {f.rule.high}::DOUBLE"
+            cols = "x AS resistance, NULL::DOUBLE AS value" if f.column == "resistance" else "NULL::DOUBLE AS resistance, x AS value"
+            parts.append(f"SELECT event_id + 1 AS sequence_num, {f.label!r} AS test_type, {f.points[0]!r} AS test_point, {cols}, {ok} AS pass_fail FROM (SELECT event_id, {x} AS x FROM events WHERE event_id % {len(FAMILIES)} = {k})")
+        return " UNION ALL ".join(parts)
+    cols = ", ".join(f"value * {k!r}::DOUBLE + {b!r}::DOUBLE AS {n}" for n, (k, b) in _SCALES[test].items())
+    rows = f"SELECT event_id AS i, ts AS timestamp, {cols}, CAST(event_id % 2 AS INTEGER) AS status FROM events"
+    if test == "parametric":
+        rows = f"SELECT *, voltage * current / 1000 AS power FROM ({rows})"
+    flag, holds = _FLAGS[test]
+    return f"SELECT *, CASE WHEN {holds} THEN 1 ELSE 0 END AS {flag} FROM ({rows})"
+
+
+# Statistics and views of those runs
 
 
 def _shown(test: str, of: str = "statistic") -> str:
@@ -197,35 +251,35 @@ def _statistics(test: str) -> str:
     """(test_name, statistic, unit, mean, std, min, max), unrounded."""
     four = lambda x: f"avg({x}) AS mean, stddev_samp({x}) AS std, min({x}) AS min, max({x}) AS max"
     if test == "ict":
-        rows = f"SELECT test_type || '_stats' AS statistic, {four('coalesce(resistance, value)')} FROM ({_ict()}) GROUP BY test_type"
+        rows = f"SELECT test_type || '_stats' AS statistic, {four('coalesce(resistance, value)')} FROM ({_logged('ict')}) GROUP BY test_type"
     else:
         rows = " UNION ALL ".join(f"SELECT '{p.name}_stats' AS statistic, {four(p.name)} FROM r" for p in SPECS[test].parameters)
-        rows = f"WITH r AS MATERIALIZED ({_run(test)}) {rows}"
+        rows = f"WITH r AS MATERIALIZED ({_logged(test)}) {rows}"
     return f"SELECT {test!r} AS test_name, statistic, {_shown(test)} AS unit, mean, std, min, max FROM ({rows})"
 
 
 _R4 = ", ".join(f"round({s}, 4) AS {s}" for s in ("mean", "std", "min", "max"))
 
 
-@query(" UNION ALL ".join(f"SELECT test_name, statistic, unit, {_R4} FROM ({_statistics(n)})" for n in GENERATORS if n not in _PLACES))
+@query(" UNION ALL ".join(f"SELECT test_name, statistic, unit, {_R4} FROM ({_statistics(n)})" for n in GENERATORS))
 def generated_statistics(spark, sf):
-    """Statistics of one run of each test type, one below the other: every entry of a result that has a mean."""
-    return _places(views.cross_test({n: runs.analyze(generate(spark, n, _SECONDS), n, AT) for n in GENERATORS if n not in _PLACES}), 4)
+    """Statistics of a run of each test type, one below the other: every entry of a result that has a mean."""
+    return _places(views.cross_test({n: runs.analyze(_log(spark, sf, n), n, AT) for n in GENERATORS}), 4)
 
 
-def _hipot(spark) -> DataFrame:
-    return runs.analyze(generate(spark, "hipot", _SECONDS), "hipot", AT)
+def _hipot(spark, sf) -> DataFrame:
+    return runs.analyze(_log(spark, sf, "hipot"), "hipot", AT)
 
 
 @query(f"SELECT test_name, statistic, unit, {_R4} FROM ({_statistics('hipot')})")
 def document_scan(spark, sf):
     """A result document is written as JSON and read again."""
-    path = writers.write_document(_hipot(spark), writers.scratch(spark), "hipot", AT)
+    path = writers.write_document(_hipot(spark, sf), writers.scratch(spark), "hipot", AT)
     return _places(views.statistics(readers.read_document(spark, path, "hipot"), "hipot"), 4)
 
 
 _LINE = "printf('%.2f', {})"
-_RATE = f"SELECT avg(pass_fail) * 100 AS p FROM ({_run('hipot')})"
+_RATE = f"SELECT avg(pass_fail) * 100 AS p FROM ({_logged('hipot')})"
 _TITLE = "CASE statistic WHEN 'voltage_stats' THEN 'Voltage Stats' ELSE 'Current Stats' END"
 
 
@@ -238,12 +292,12 @@ def _text(label: str, *cols: str) -> str:
     f"SELECT {_TITLE}, {_text('Mean', 'mean')} || '; ' || {_text('Std', 'std')} || '; ' || {_text('Range', 'min', 'max')}, NULL FROM ({_statistics('hipot')})"
 )
 def summary_cards(spark, sf):
-    return views.summary_cards(_hipot(spark), "hipot").withColumn("lines", F.array_join("lines", "; "))
+    return views.summary_cards(_hipot(spark, sf), "hipot").withColumn("lines", F.array_join("lines", "; "))
 
 
 @query(f"SELECT {_TITLE} AS parameter, " + ", ".join(f"{_LINE.format(s)} || ' ' || unit AS {s}" for s in ("mean", "std", "min", "max")) + f" FROM ({_statistics('hipot')})")
 def detail_table(spark, sf):
-    return views.detail_table(_hipot(spark), "hipot")
+    return views.detail_table(_hipot(spark, sf), "hipot")
 
 
 @query(
@@ -254,7 +308,7 @@ def console_report(spark, sf):
     """What a run prints, and a summary on the command line: the newest result found below a folder."""
     root = writers.scratch(spark)
     for at in (datetime(2024, 1, 1), AT):
-        path = writers.write_document(_hipot(spark), root, "hipot", at)
+        path = writers.write_document(_hipot(spark, sf), root, "hipot", at)
     found = readers.latest_artifact(spark, root, "hipot", "json")
     if found is None or not found.endswith(path.rsplit("/", 1)[1]):
         raise AssertionError(f"{found} isn't the newest result")
@@ -262,31 +316,31 @@ def console_report(spark, sf):
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
-@query(f"SELECT timestamp, round(voltage, 6) AS voltage, round(current, 6) AS current, pass_fail FROM ({_run('hipot')})")
+@query(f"SELECT timestamp, round(voltage, 6) AS voltage, round(current, 6) AS current, pass_fail FROM ({_logged('hipot')})")
 def report_rescan(spark, sf):
     """A run's data is written as CSV, found as the newest report and read in its own types."""
     root = writers.scratch(spark)
-    runs.run(spark, "hipot", root, _SECONDS, at=AT)
+    runs.run(spark, "hipot", root, at=AT, data=_log(spark, sf, "hipot"))
     return rounded(readers.read_report(spark, readers.latest_artifact(spark, root, "hipot", "csv"), "hipot"))
 
 
-@query(f"SELECT timestamp, round(voltage, 6) AS voltage, round(current, 6) AS current, pass_fail FROM ({_run('hipot')}) ORDER BY timestamp LIMIT 10")
+@query(f"SELECT timestamp, round(voltage, 6) AS voltage, round(current, 6) AS current, pass_fail FROM ({_logged('hipot')}) ORDER BY timestamp LIMIT 10")
 def report_rows(spark, sf):
     """The first rows of a report by its order; what isn't a number of rows means ten."""
-    path = writers.write_csv(generate(spark, "hipot", _SECONDS).select(schemas.REPORT["hipot"].names), writers.scratch(spark), "hipot", AT)
+    path = writers.write_csv(_log(spark, sf, "hipot").select(schemas.REPORT["hipot"].names), writers.scratch(spark), "hipot", AT)
     return rounded(views.head_rows(readers.read_report(spark, path, "hipot"), scalar.row_count_or("all of them")))
 
 
 _LIMIT = {"voltage": (4.5, 5.5), "current": (None, 1.0)}
 
 
-@query(" UNION ALL ".join(f"SELECT timestamp AS x, '{p}' AS parameter, round({p}, 6) AS y, {'NULL' if lo is None else lo}::DOUBLE AS lower, {hi}::DOUBLE AS upper FROM ({_run('hipot')})" for p, (lo, hi) in _LIMIT.items()))
+@query(" UNION ALL ".join(f"SELECT timestamp AS x, '{p}' AS parameter, round({p}, 6) AS y, {'NULL' if lo is None else lo}::DOUBLE AS lower, {hi}::DOUBLE AS upper FROM ({_logged('hipot')})" for p, (lo, hi) in _LIMIT.items()))
 def plot_panels(spark, sf):
-    return rounded(views.plot_panels(generate(spark, "hipot", _SECONDS).drop("sample_idx"), SPECS["hipot"]))
+    return rounded(views.plot_panels(_log(spark, sf, "hipot").drop("sample_idx"), SPECS["hipot"]))
 
 
 def _panel(chart: str, p: str) -> str:
-    x = f"SELECT i AS x, {p} AS y FROM ({_run('hipot')})"
+    x = f"SELECT i AS x, {p} AS y FROM ({_logged('hipot')})"
     if chart == "r":
         x = f"SELECT x, abs(y - lag(y) OVER (ORDER BY x)) AS y FROM ({x})"
     return f"SELECT '{chart}' AS chart, x, '{p}' AS parameter, round(y, 5) AS y, round(avg(y) OVER (), 5) AS cl, round(avg(y) OVER () + 3 * stddev_samp(y) OVER (), 5) AS ucl, round(avg(y) OVER () - 3 * stddev_samp(y) OVER (), 5) AS lcl FROM ({x})"
@@ -294,15 +348,26 @@ def _panel(chart: str, p: str) -> str:
 
 @query(" UNION ALL ".join(_panel(c, p) for c in ("x", "r") for p in _LIMIT))
 def spc_panels(spark, sf):
-    xbar, ranges = views.spc_panels(generate(spark, "hipot", _SECONDS), SPECS["hipot"])
+    xbar, ranges = views.spc_panels(_log(spark, sf, "hipot"), SPECS["hipot"])
     both = xbar.select(F.lit("x").alias("chart"), "x", "parameter", "y", "cl", "ucl", "lcl").unionByName(ranges.select(F.lit("r").alias("chart"), "x", "parameter", F.col("moving_range").alias("y"), "cl", "ucl", "lcl"))
     return _places(both, 5)
 
 
-@query("SELECT * FROM (VALUES ('laser', true), ('no such test', false), ('ict', true)) v(test_name, success)")
+@query("SELECT 'type ' || event_type AS test_name, event_type <> 'error' AS success, CASE WHEN event_type <> 'error' THEN count(*) END AS n_rows FROM events GROUP BY event_type")
 def batch_status(spark, sf):
-    """A run that fails doesn't stop the batch."""
-    return runs.batch(spark, writers.scratch(spark), ["laser", "no such test", "ict"], 1).select("test_name", "success")
+    """A run for each type of the log; those on errors fail, which doesn't stop the batch. Reports of the others are read again."""
+    root, log = writers.scratch(spark), t(spark, sf, "events")
+    types = sorted(r[0] for r in log.select("event_type").distinct().collect())  # a handful of names
+
+    def data(name):
+        rows = _log(spark, sf, "hipot").join(log.where(F.col("event_type") == name).select(F.col("event_id").alias("sample_idx")), "sample_idx", "left_semi")
+        return rows.withColumn("voltage", F.raise_error(F.lit("not measured")).cast("double")) if name == "error" else rows
+
+    done = runs.batch(spark, root, [f"type {n}" for n in types], run_one=lambda name: runs.run(spark, "hipot", f"{root}/{name.replace(' ', '-')}", at=AT, data=data(name.removeprefix("type "))))
+    kept = [n for n in types if n != "error"]
+    counts = [readers.read_report(spark, readers.latest_artifact(spark, f"{root}/type-{n}", "hipot", "csv"), "hipot").agg(F.count("*").alias("n_rows")).select(F.lit(f"type {n}").alias("_name"), "n_rows") for n in kept]
+    n_rows = reduce(DataFrame.unionByName, counts)
+    return done.join(n_rows, F.col("test_name") == F.col("_name"), "left").select("test_name", "success", "n_rows")
 
 
 # Files and tables

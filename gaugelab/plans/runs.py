@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 from datetime import datetime
@@ -22,24 +23,25 @@ def analyze(df: DataFrame, test_type: str, at: datetime | None = None) -> DataFr
     return stats.document(df, SPECS[test_type], stamp)
 
 
-def run(spark: SparkSession, test_type: str, root: str, duration: float = 10, seed: int = 0, at: datetime | None = None) -> dict[str, str]:
-    """Data and result document of one generated run below ``root``; returns their paths."""
+def run(spark: SparkSession, test_type: str, root: str, duration: float = 10, seed: int = 0, at: datetime | None = None, data: DataFrame | None = None) -> dict[str, str]:
+    """Measurements, generated if none are given, and their result document below ``root``; returns their paths."""
     at = at or datetime.now()
-    df = generate(spark, test_type, duration, seed)
+    df = generate(spark, test_type, duration, seed) if data is None else data
     names = schemas.REPORT[test_type].names
     order = "sequence_num" if "sequence_num" in df.columns else "sample_idx"
     return {"csv": writers.write_csv(df.orderBy(order).select(names), root, test_type, at), "json": writers.write_document(analyze(df, test_type, at), root, test_type, at)}
 
 
-def batch(spark: SparkSession, root: str, tests: list[str] | None = None, duration: float = 10, seed: int = 0, timeout: float = 300) -> DataFrame:
-    """Runs one test after the other: ``(test_name, success, message)``. A run that fails or takes longer than ``timeout`` seconds doesn't stop the batch; its jobs are cancelled."""
+def batch(spark: SparkSession, root: str, tests: list[str] | None = None, duration: float = 10, seed: int = 0, timeout: float = 300, run_one: Callable[[str], object] | None = None) -> DataFrame:
+    """Runs one test after the other: ``(test_name, success, message)``. A run that fails or takes longer than ``timeout`` seconds doesn't stop the batch; its jobs are cancelled.
+    ``run_one`` runs a test by its name, if runs aren't to be generated."""
     rows = []
     for name in tests or list(SPECS):
         tag = f"batch-{name}"
 
         def one(name=name, tag=tag):
             spark.addTag(tag)
-            return run(spark, name, root, duration, seed)
+            return run(spark, name, root, duration, seed) if run_one is None else run_one(name)
 
         pool = ThreadPoolExecutor(1)
         try:

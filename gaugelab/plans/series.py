@@ -167,12 +167,11 @@ def live_moving_range(spark, sf):
     """The moving range of a stream whose rows come in any order: files hold rows of all times, and each waits until the watermark has passed it."""
     log, root = t(spark, sf, "events").select("event_id", "event_type", "value", "ts"), writers.scratch(spark)
     log.repartition(4, F.xxhash64("event_id")).write.parquet(f"{root}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     seen = log.agg((F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).alias("s")).first()["s"] or 0
     # rows may be as late as the whole log is long; a last row, of a key of its own, lets the watermark pass all others
     last = log.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), (F.col("ts") + F.make_dt_interval(F.lit(int(seen) // 86400 + 2))).alias("ts"))
-    ranges = live.live_moving_range(stream, "value", "event_type", "event_id", "ts", f"{int(seen) + 1} seconds")
+    ranges = live.ordered_moving_range(stream, "value", "event_type", "event_id", "ts", f"{int(seen) + 1} seconds")
     for k in range(2):  # the files, and then the last row
         if k:
             last.coalesce(1).write.mode("append").parquet(f"{root}/in")

@@ -22,45 +22,49 @@ def _index(spark: SparkSession, n: int, channels: int) -> DataFrame:
     return base.select((F.col("id") % channels).cast("int").alias("channel"), F.expr(f"id div {channels}").alias("sample_idx"))
 
 
-def _analog(spark, duration, channels, seed):
-    n = int(duration * DAQ_RATE)
-    i, key = F.col("sample_idx"), (F.col("channel"), F.col("sample_idx"))
-    x = 5.0 * F.sin(linspace(i, n, 0, 2 * math.pi)) + gaussian(0, 0.1, seed, "analog", *key) + linspace(i, n, 0, 0.5)
-    return _index(spark, n, channels).withColumn("x", x)
+def _key() -> tuple:
+    return F.col("channel"), F.col("sample_idx")
 
 
-def _digital(spark, duration, channels, seed):
-    raw = _index(spark, int(duration * DAQ_RATE), channels).withColumn("x", coin(seed, "digital", F.col("channel"), F.col("sample_idx")))
+def _analog(base: DataFrame, n: int, seed: int) -> DataFrame:
+    i = F.col("sample_idx")
+    return base.withColumn("x", 5.0 * F.sin(linspace(i, n, 0, 2 * math.pi)) + gaussian(0, 0.1, seed, "analog", *_key()) + linspace(i, n, 0, 0.5))
+
+
+def _digital(base: DataFrame, n: int, seed: int) -> DataFrame:
+    raw = base.withColumn("x", coin(seed, "digital", *_key()))
     return debounce(raw, "x", ["channel"], "sample_idx").withColumn("x", F.col("x").cast("double"))
 
 
-def _ethernet(spark, duration, channels, seed):
-    n = int(duration * DAQ_RATE)
-    key = (F.col("channel"), F.col("sample_idx"))
-    raw = _index(spark, n, channels).withColumn("x", missing(gaussian(0, 1, seed, "ethernet", *key), LOSS["ethernet"], seed, *key))
-    late = spark.range(1).select((gaussian(0.02, 0.005, seed, "latency") * DAQ_RATE).cast("int").alias("k")).first()["k"]
+def _ethernet(base: DataFrame, n: int, seed: int) -> DataFrame:
+    raw = base.withColumn("x", missing(gaussian(0, 1, seed, "ethernet", *_key()), LOSS["ethernet"], seed, *_key()))
+    late = base.sparkSession.range(1).select((gaussian(0.02, 0.005, seed, "latency") * DAQ_RATE).cast("int").alias("k")).first()["k"]
     return circular_shift(raw, "x", ["channel"], "sample_idx", late) if n else raw
 
 
-def _network(spark, duration, channels, seed):
-    n = int(duration * NETWORK_RATE)
-    key = (F.col("channel"), F.col("sample_idx"))
-    t = linspace(F.col("sample_idx"), n, 0, duration)
-    x = gaussian(0.5, 0.1, seed, "network", *key) + 0.05 * F.sin(2 * math.pi * 0.1 * t) + gaussian(0, 0.01, seed, "network noise", *key)
-    return _index(spark, n, channels).withColumn("x", missing(x, LOSS["network"], seed, *key))
+def _network(base: DataFrame, n: int, seed: int) -> DataFrame:
+    t = linspace(F.col("sample_idx"), n, 0, n / NETWORK_RATE)
+    x = gaussian(0.5, 0.1, seed, "network", *_key()) + 0.05 * F.sin(2 * math.pi * 0.1 * t) + gaussian(0, 0.01, seed, "network noise", *_key())
+    return base.withColumn("x", missing(x, LOSS["network"], seed, *_key()))
 
 
 SOURCES: dict[str, tuple[Callable, int]] = {"analog": (_analog, DAQ_RATE), "digital": (_digital, DAQ_RATE), "ethernet": (_ethernet, DAQ_RATE), "network": (_network, NETWORK_RATE)}
 
 
-def signal(spark: SparkSession, source: str, duration: float, channels: int = 1, seed: int = 0, begin: datetime = datetime(2024, 1, 1)) -> DataFrame:
-    """``(channel, sample_idx, timestamp, x)`` of a named source; lost samples are null."""
+#: Given a number of channels, their samples: ``(channel, sample_idx)``, each channel's numbers without gaps from 0.
+Index = Callable[[int], DataFrame]
+
+
+def signal(spark: SparkSession, source: str, duration: float, channels: int = 1, seed: int = 0, begin: datetime = datetime(2024, 1, 1), index: Index | None = None) -> DataFrame:
+    """``(channel, sample_idx, timestamp, x)`` of a named source; lost samples are null. As many samples as the duration holds, or those of ``index``, whatever the duration."""
     if source not in SOURCES:
         raise ValueError(f"unknown source {source!r}; there are {', '.join(SOURCES)}")
     make, rate = SOURCES[source]
     step = int(1e6 / rate)
     ts = F.lit(begin).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("sample_idx") * step / 1e6).cast("decimal(18,6)"))
-    return make(spark, duration, channels, seed).select("channel", "sample_idx", ts.alias("timestamp"), "x")
+    n = int(duration * rate) if index is None else (index(channels).agg(F.max("sample_idx")).first()[0] or 0) + 1
+    base = _index(spark, n, channels) if index is None else index(channels)
+    return make(base, n, seed).select("channel", "sample_idx", ts.alias("timestamp"), "x")
 
 
 class Instrument:
@@ -82,10 +86,10 @@ class Instrument:
         self.connected = False
         return True
 
-    def read(self, duration: float, channels: int = 1) -> DataFrame:
+    def read(self, duration: float, channels: int = 1, index: Index | None = None) -> DataFrame:
         if not self.connected:
             raise ConnectionError("not connected")
-        return signal(self.spark, self.source, duration, channels, self.seed)
+        return signal(self.spark, self.source, duration, channels, self.seed, index=index)
 
     def send(self, command: str) -> str:
         if not self.connected:

@@ -22,12 +22,37 @@ def windowed_stats(stream: DataFrame, value: str, by: str, at: str = "ts", windo
     return grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *more)
 
 
-def live_moving_range(stream: DataFrame, value: str, by: str, index: str, at: str | None = None, late: str = "1 minute", forget: float | None = None) -> DataFrame:
+def live_moving_range(stream: DataFrame, value: str, by: str, index: str) -> DataFrame:
+    """``(by, index, value, moving_range)`` at once: the difference to the key's previous row, for streams whose batches come in order. Rows of a batch are put in order
+    of ``index``; state is the last row of each key, and a row that comes after a later one is left out, as no range could be right for it
+    (``ordered_moving_range`` waits for such rows)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState
+
+    def step(key, frames, state: GroupState):
+        at, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(index)
+        if at is not None:
+            rows = rows[rows[index] > at]
+        if len(rows):
+            prev = rows[value].shift(1)
+            if last is not None:
+                prev.iloc[0] = last
+            tail = rows[value].iloc[-1]
+            state.update((int(rows[index].iloc[-1]), None if pd.isna(tail) else float(tail)))
+            yield pd.DataFrame({by: key[0], index: rows[index], value: rows[value], "moving_range": (rows[value] - prev).abs()})
+
+    src = stream.select(F.col(by).cast("string").alias(by), F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value))
+    return src.groupBy(by).applyInPandasWithState(step, f"{by} string, {index} long, {value} double, moving_range double", "at long, last double", "append", "NoTimeout")
+
+
+def ordered_moving_range(stream: DataFrame, value: str, by: str, index: str, at: str, late: str = "1 minute", forget: float | None = None) -> DataFrame:
     """``(by, index, value, moving_range)``: the absolute difference to the key's previous row, in order of time (``at``) and ``index``, however rows arrive.
 
     A row waits in its key's buffer until the watermark, ``late`` behind the latest time seen, has passed it; then event-time timers let rows go in order. A
     row that comes after a later one of its key has gone is left out, as no range could be right for it. The state of a key is the rows that wait and the last
-    one that went; after ``forget`` seconds without rows it is dropped, and the next range is null. Without ``at``, ``index`` is taken as seconds.
+    one that went; after ``forget`` seconds without rows it is dropped, and the next range is null.
+    Its states need RocksDB, which the session is set to.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -86,7 +111,8 @@ def live_moving_range(stream: DataFrame, value: str, by: str, index: str, at: st
         def close(self):
             pass
 
-    seen = F.col(at).cast("timestamp") if at else F.timestamp_seconds(F.col(index))
+    seen = F.col(at).cast("timestamp")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src = stream.select(F.col(by).cast("string").alias(by), F.col(index).cast("long").alias(index), F.col(value).cast("double").alias(value), seen.alias("seen_ts")).withWatermark("seen_ts", late)
     src = src.withColumn("seen_us", F.unix_micros("seen_ts"))
     shape = f"{by} string, {index} long, {value} double, moving_range double"

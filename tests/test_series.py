@@ -288,8 +288,16 @@ def test_stream_ingest_survives_restarts(spark, tmp_path):
     assert stream_ingest.ingested(spark, root, "burnin").count() == 40
 
 
+def test_rows_of_older_batches_are_left_out(spark, tmp_path):
+    shape, folder = "k string, i long, x double", str(tmp_path / "in")
+    for rows in ([("a", 5, 5.0), ("a", 3, 1.0)], [("a", 4, 9.0), ("a", 7, 6.0), ("b", 1, None)]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(shape).parquet(folder)
+        live.live_moving_range(stream, "x", "k", "i").writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+    assert {(r.k, r.i): r.moving_range for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 3): None, ("a", 5): 4.0, ("a", 7): 1.0, ("b", 1): None}
+
+
 def test_live_moving_range_with_late_rows(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     shape = "k string, i long, x double, ts timestamp"
     at = lambda s: T0 + timedelta(seconds=s)
     batches = [
@@ -302,6 +310,6 @@ def test_live_moving_range_with_late_rows(spark, tmp_path):
     for rows in batches:  # a run of the stream for each, from its checkpoint
         spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(shape).parquet(folder)
-        live.live_moving_range(stream, "x", "k", "i", "ts", "10 seconds", forget=20).writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        live.ordered_moving_range(stream, "x", "k", "i", "ts", "10 seconds", forget=20).writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     got = {(r.k, r.i): r.moving_range for r in spark.read.parquet(out).collect()}
     assert {x: v for x, v in got.items() if x[0] != "z"} == {("a", 1): None, ("a", 2): 1.0, ("a", 4): None, ("a", 5): None, ("a", 30): None, ("b", 1): None, ("b", 40): None}
