@@ -258,24 +258,24 @@ def _statistics(test: str) -> str:
     return f"SELECT {test!r} AS test_name, statistic, {_shown(test)} AS unit, mean, std, min, max FROM ({rows})"
 
 
-_R4 = ", ".join(f"round({s}, 4) AS {s}" for s in ("mean", "std", "min", "max"))
+_R8 = ", ".join(f"round({s}, 8) AS {s}" for s in ("mean", "std", "min", "max"))
 
 
-@query(" UNION ALL ".join(f"SELECT test_name, statistic, unit, {_R4} FROM ({_statistics(n)})" for n in GENERATORS))
+@query(" UNION ALL ".join(f"SELECT test_name, statistic, unit, {_R8} FROM ({_statistics(n)})" for n in GENERATORS))
 def generated_statistics(spark, sf):
     """Statistics of a run of each test type, one below the other: every entry of a result that has a mean."""
-    return _places(views.cross_test({n: runs.analyze(_log(spark, sf, n), n, AT) for n in GENERATORS}), 4)
+    return _places(views.cross_test({n: runs.analyze(_log(spark, sf, n), n, AT) for n in GENERATORS}), 8)
 
 
 def _hipot(spark, sf) -> DataFrame:
     return runs.analyze(_log(spark, sf, "hipot"), "hipot", AT)
 
 
-@query(f"SELECT test_name, statistic, unit, {_R4} FROM ({_statistics('hipot')})")
+@query(f"SELECT test_name, statistic, unit, {_R8} FROM ({_statistics('hipot')})")
 def document_scan(spark, sf):
     """A result document is written as JSON and read again."""
     path = writers.write_document(_hipot(spark, sf), writers.scratch(spark), "hipot", AT)
-    return _places(views.statistics(readers.read_document(spark, path, "hipot"), "hipot"), 4)
+    return _places(views.statistics(readers.read_document(spark, path, "hipot"), "hipot"), 8)
 
 
 _LINE = "printf('%.2f', {})"
