@@ -18,7 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"), distinct=True)
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"), distinct=True, most=0.5)
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
@@ -99,7 +99,9 @@ lines AS (SELECT DISTINCT source, text, line FROM (SELECT source, text, unnest(l
 totals AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM d) GROUP BY source),
 bad AS (SELECT c.source, list(line) AS drops FROM (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line) c
   JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= {lines.MIN_PAGES} AND n > {lines.RATIO}::DOUBLE * pages GROUP BY c.source),
-k AS (SELECT doc_id, d.source, text, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(drops, x), false)) AS kept FROM d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
+f AS (SELECT doc_id, d.source, text, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(drops, x), false)) AS fewer FROM d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source),
+-- a text that would lose over half of its lines stays whole
+k AS (SELECT *, CASE WHEN 2 * (len(ls) - len(fewer)) <= len(list_filter(ls, lambda x: {_HAS_WORD.format("x")})) THEN fewer ELSE ls END AS kept FROM f)
 SELECT doc_id, source, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text FROM k
 """
 
