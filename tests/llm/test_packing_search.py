@@ -47,3 +47,38 @@ def test_packing_of_hard_lengths(spark):
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 4096
     assert len(fill) < packing.best_fit(lengths, 4096).max() + 1 - 20
+
+
+def fewest(lengths, capacity):
+    """By trying every bin for each length, the largest first; equal loads once."""
+    best = len(lengths)
+
+    def place(k, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if k == len(lengths):
+            best = len(loads)
+            return
+        for load in set(loads):
+            if load + lengths[k] <= capacity:
+                i = loads.index(load)
+                place(k + 1, [*loads[:i], load + lengths[k], *loads[i + 1 :]])
+        place(k + 1, [*loads, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_tiny_cases_against_exhaustive_search():
+    """The search needs no more bins than the best of all packings, and sometimes fewer than best fit."""
+    gained = 0
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        capacity = int(rng.integers(20, 60))
+        lengths = np.sort(rng.integers(1, capacity + 1, int(rng.integers(1, 11))) if seed % 2 else rng.integers(capacity // 5, capacity // 2 + 1, int(rng.integers(6, 13))))[::-1].copy()
+        pop = packing.evolve(packing.first_population(lengths, capacity, packing.POPULATION, rng), lengths, capacity, 60, rng)
+        got, want = pop[0].max() + 1, fewest(lengths.tolist(), capacity)
+        assert whole(pop[0], lengths, capacity) and got == want, (seed, lengths, capacity)
+        gained += packing.best_fit(lengths, capacity).max() + 1 > got
+    assert gained > 0
