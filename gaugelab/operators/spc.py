@@ -65,6 +65,8 @@ def cut_points(df: DataFrame, by: list[str], column: str, rows: int | None = Non
     Cuts are quantiles, so that outliers, bursts and gaps leave the slices even; of equal values all stay in one slice.
     """
     rows = rows or SLICE_ROWS
+    if df.count() <= rows:
+        return []
     counts = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
     total = counts.agg(F.sum("_n")).first()[0]
     if not total:
