@@ -172,8 +172,10 @@ def apply_policy(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     return led.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
-def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, as they are. A policy with the rule of stems needs some, though it be none that were found."""
+def keep(docs: DataFrame, policy: str | None = None, text: str = "text", stems: dict[str | None, list[str]] | None = None, lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, as they are: the current one, or web-1 where no stems are given. A policy with the rule of stems needs
+    some, though it be none that were found."""
+    policy = policy or (CURRENT if stems is not None else "web-1")
     if stems is None and POLICIES[policy] & BIT["abusive_stems"]:
         raise ValueError(f"{policy} needs stems; web-1 has the same rules without them")
     own = {"_text": F.col(f"`{text}`")} | ({"_lang": F.col(f"`{lang}`")} if stems else {})

@@ -198,8 +198,10 @@ def test_sql_on_odd_rows(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "http://a.com/en/1", "x"), (1, "http://a.com/en/1", "x"), (2, None, None), (None, "", ""), (4, "https://A-b.C.xyz/p?q=1&r=%20#f", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    items = [(1, "the CAT sat"), (2, None), (3, "w1 w2 w3 w3 more a"), (3, "w1 w2 w3 w3 more a"), (None, "no id É́ı"), (5, "nowhere-at-all"), (6, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     assert queries.SQL.keys() <= queries.QUERIES.keys()
     for name, sql in queries.SQL.items():
