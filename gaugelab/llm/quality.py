@@ -74,10 +74,12 @@ def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     chosen = known.where(place < F.when(F.col("_toxic") == 1, part(1, MOST_TOXIC)).otherwise(part(0, MOST_CLEAN)))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_d"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     # at most about MOST_TOXIC + MOST_CLEAN rows are broadcast, and no text is parted before it is chosen; the chosen ones are dealt out again, as few of the files' parts hold them
-    chosen_rows = rows.join(F.broadcast(chosen), "_d").repartition(shuffle_width(docs.sparkSession), F.xxhash64("_d", "text"))
-    rows = chosen_rows.withColumn("_ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).where(F.size("_ws") >= 20)
+    chosen_rows = materialize(rows.join(F.broadcast(chosen), "_d").repartition(shuffle_width(docs.sparkSession), F.xxhash64("_d", "text")), "quality-labelled")
+    rows = chosen_rows.withColumn("_ws", F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0)))
     words = rows.select("_d", "lang", "_toxic", F.size("_ws").alias("n"), F.explode("_ws").alias("word")).groupBy("_d", "lang", "_toxic", "n", "word").agg(F.count("*").alias("c"))
-    held = materialize(words, "quality-words")  # prefixes are cut from different words
+    written = materialize(words, "quality-words")  # prefixes are cut from different words
+    discard(chosen_rows)  # written, as Spark would move filters on their words before the choice
+    held = written.where("n >= 20")
     groups = held.select("_d", "lang", "_toxic").distinct().groupBy("lang").agg(F.greatest(F.lit(1), F.count_if(F.col("_toxic") == 1)).alias("bad"), F.greatest(F.lit(1), F.count_if(F.col("_toxic") == 0)).alias("good"))
     begins = F.array_compact(F.array(*[F.when(F.char_length("word") >= j, F.left("word", F.lit(j))) for j in STEM]))
     each = held.select("_d", "lang", "_toxic", "n", "c", F.explode(begins).alias("stem"))
@@ -92,7 +94,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     out: dict[str | None, list[str]] = {}
     for r in sums.where(marks).select("lang", "stem").collect():
         out.setdefault(r["lang"], []).append(r["stem"])
-    discard(held)
+    discard(written)
     return {k: sorted(x for x in v if not any(x[:j] in v for j in range(1, len(x)))) for k, v in out.items()}
 
 
