@@ -12,28 +12,62 @@ from ..functions.scalar import known
 from .spc import _near, as_number, cut_points, sliced
 
 
+def _micros(x: Column) -> Column:
+    return F.round(x * 1_000_000).cast("long")
+
+
+def _reaching(df: DataFrame, by: list[str], at: str, seconds: float, rows: int | None) -> DataFrame:
+    """``df`` with its time in seconds as ``_x``, and ``_slice`` and ``_own``: long series are cut at quantiles of the time into slices never shorter than
+    ``seconds``, and a row also stands in the next slice, not as its own, if its time is that near."""
+    cuts: list[float] = []
+    for c in cut_points(df, by, at, rows):
+        if not cuts or c - cuts[-1] >= seconds:
+            cuts.append(c)
+    timed = df.withColumn("_x", as_number(df, at))
+    if not cuts:
+        return timed.withColumns({"_slice": F.lit(0), "_own": F.lit(True)})
+    own = sliced(timed, "_x", cuts)
+    late = timed.withColumn("_y", F.col("_x") + seconds + 2e-6)  # times are told apart by microseconds, sums of doubles may fall short of them
+    last = F.when(F.col("_x").isNull(), F.col("_mine")).otherwise(sliced(late, "_y", cuts))
+    late = late.withColumn("_mine", own).withColumn("_slice", F.explode(F.sequence(F.col("_mine"), last)))
+    return late.withColumn("_own", F.col("_slice") == F.col("_mine"))
+
+
 def rolling_time(df: DataFrame, by: list[str], at: str, seconds: float, rows: int | None = None, **results: Callable[[], Column]) -> DataFrame:
     """``df`` with aggregates over the rows of the same keys from ``seconds`` before a row's time up to it, rows of the same time included.
 
     ``results`` are aggregates such as ``n=F.count("x")``. Long series are cut into slices at quantiles of the time, never shorter than the window, and a row also stands
-    in the next slice if its time is that near: each row at most twice. Rows without a time have null results.
+    in the next slice if its time is that near: each row at most twice. Rows without a time have null results. Spark adds up each row's frame anew;
+    ``rolling_sums`` doesn't.
     """
-    cuts, reach = [], int(round(seconds * 1_000_000))
-    for c in cut_points(df, by, at, rows):
-        if not cuts or c - cuts[-1] >= seconds:
-            cuts.append(c)
-    timed = df.withColumns({"_x": as_number(df, at), "_own": F.lit(True)})
-    if cuts:
-        own, last = sliced(timed, "_x", cuts), sliced(timed.withColumn("_y", F.col("_x") + seconds), "_y", cuts)
-        timed = timed.withColumns({"_mine": own, "_y": F.col("_x") + seconds})
-        timed = timed.withColumn("_slice", F.explode(F.sequence(F.col("_mine"), F.when(F.col("_x").isNull(), F.col("_mine")).otherwise(last)))).withColumn("_own", F.col("_slice") == F.col("_mine"))
-    else:
-        timed = timed.withColumn("_slice", F.lit(0))
-    w = Window.partitionBy(*by, "_slice").orderBy(F.round(F.col("_x") * 1_000_000).cast("long")).rangeBetween(-reach, 0)
+    timed, reach = _reaching(df, by, at, seconds, rows), int(round(seconds * 1_000_000))
+    w = Window.partitionBy(*by, "_slice").orderBy(_micros(F.col("_x"))).rangeBetween(-reach, 0)
     out = timed.withColumns({n: F.when(F.col("_x").isNotNull(), r.over(w)) for n, r in results.items()})
     return out.where("_own").select(*df.columns, *results)
 
 
+def rolling_sums(df: DataFrame, value: str, by: list[str], at: str, seconds: float, rows: int | None = None) -> DataFrame:
+    """``df`` with ``rolling_n``, ``rolling_sum`` and ``rolling_mean`` of the values from ``seconds`` before a row's time up to it, in one pass whatever the frames hold.
+
+    Each value enters at its time and leaves once the window has passed it: rows and departures stand in one order, and a sum that runs from the start of
+    the slice counts the former up and the latter down. Bursts, where frames hold most of a series, cost no more than other rows. Missing and infinite values
+    aren't counted; without any in reach, sum and mean are null; rows without a time have null results. Sums round as those of a slice do.
+    """
+    timed, reach = _reaching(df, by, at, seconds, rows), int(round(seconds * 1_000_000))
+    v = known(F.col(value).cast("double"))
+    timed = timed.withColumns({"_v": F.when(F.abs(v) < float("inf"), v), "_t": _micros(F.col("_x"))})
+    # of one time rows come first and departures last, so that a window holds both its ends
+    enters = timed.withColumns({"_o": F.col("_t") * 2, "_sign": F.lit(1)})
+    gone = timed.where("_t IS NOT NULL AND _v IS NOT NULL").select(*by, "_slice", "_v", ((F.col("_t") + reach) * 2 + 1).alias("_o"), F.lit(-1).alias("_sign"))
+    w = Window.partitionBy(*by, "_slice").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)
+    there = F.col("_t").isNotNull() & F.col("_own")
+    n = F.sum(F.when(F.col("_o").isNotNull() & F.col("_v").isNotNull(), F.col("_sign")).otherwise(0)).over(w)
+    total = F.sum(F.when(F.col("_o").isNotNull(), F.col("_v") * F.col("_sign"))).over(w)
+    out = enters.unionByName(gone, allowMissingColumns=True).withColumns({"_n": n, "_sum": total}).where("_sign = 1 AND _own")
+    some = there & (F.col("_n") > 0)
+    return out.select(*df.columns, F.when(there, F.col("_n")).cast("long").alias("rolling_n"), F.when(some, F.col("_sum")).alias("rolling_sum"), F.when(some, F.col("_sum") / F.col("_n")).alias("rolling_mean"))
+
+
 def rolling_apply(df: DataFrame, value: str, k: int, by: list[str], order: list[str], function: Callable[[np.ndarray], np.ndarray], name: str = "rolling", of: Column | None = None) -> DataFrame:
     """``df`` with a caller's function of the last ``k`` values: it gets an array of windows, one in each row, and gives a number for each; null unless all k are there.
 

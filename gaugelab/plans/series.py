@@ -93,6 +93,27 @@ def rolling_hour_one_series(spark, sf):
     return _hourly(t(spark, sf, "events").select("event_id", "ts", "value"), [], FEW)
 
 
+_WEEK = "WINDOW w AS (PARTITION BY {by} ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)"
+_SUMMED = "count(value) OVER w AS rolling_n, round(sum(value) OVER w, 6) AS rolling_sum, round(avg(value) OVER w, 6) AS rolling_mean"
+
+
+def _weekly(log: DataFrame, by: list[str], rows: int | None) -> DataFrame:
+    out = rolling.rolling_sums(log, "value", by, "ts", 7 * 86_400, rows)
+    return out.select("event_id", "rolling_n", F.round("rolling_sum", 6).alias("rolling_sum"), F.round("rolling_mean", 6).alias("rolling_mean"))
+
+
+@query(f"SELECT event_id, {_SUMMED} FROM events {_WEEK.format(by='user_id')}")
+def rolling_week_by_user(spark, sf):
+    """Number, sum and mean of the week before each row of its user."""
+    return _weekly(t(spark, sf, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], None)
+
+
+@query(f"SELECT event_id, {_SUMMED} FROM events {_WEEK.format(by='1')}")
+def rolling_week_one_series(spark, sf):
+    """The same over all rows, where a window holds a large part of the log, in slices of time."""
+    return _weekly(t(spark, sf, "events").select("event_id", "ts", "value"), [], FEW)
+
+
 @query(
     "SELECT event_type, event_id, CASE WHEN count(value) OVER w = 5 THEN max(value) OVER w - min(value) OVER w END AS rolling_range FROM events "
     "WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"

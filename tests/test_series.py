@@ -144,6 +144,52 @@ def test_rolling_time_against_a_plain_version(spark, rows):
             assert (got[i].n, got[i].hi) == ((len(near), max(near, default=None)) if t is not None else (None, None))
 
 
+@pytest.mark.parametrize("rows", [None, 60])
+def test_rolling_sums_against_a_plain_version(spark, rows):
+    rng = np.random.default_rng(12)
+    seconds = np.concatenate([rng.uniform(0, 300, 300), rng.uniform(800, 801, 200), [5000.0, 5000.0, 5003.0, 5004.0]])
+    odd = {5: float("nan"), 7: float("inf"), 26: None}
+    data = [("hot" if i % 5 else None, i, T0 + timedelta(microseconds=int(s * 1e6)), odd.get(i % 40, float(i))) for i, s in enumerate(seconds)] + [("hot", 999, None, 1.0), (None, 998, None, None)]
+    df = frame(spark, data, "k string, i long, t timestamp, x double")
+    for by, reach in ((["k"], 4.0), ([], 4.0), (["k"], 0.25), ([], 0.0)):
+        got = {r.i: r for r in rolling.rolling_sums(df, "x", by, "t", reach, rows).collect()}
+        assert len(got) == len(data)
+        for k, i, t, _ in data:
+            near = [x for k2, _, t2, x in data if t is not None and t2 is not None and (not by or k == k2) and timedelta(0) <= t - t2 <= timedelta(seconds=reach) and x is not None and math.isfinite(x)]
+            assert got[i].rolling_n == (len(near) if t is not None else None)
+            assert (got[i].rolling_sum, got[i].rolling_mean) == (pytest.approx((sum(near), sum(near) / len(near))) if near else (None, None))
+    assert rolling.rolling_sums(df.limit(0), "x", ["k"], "t", 1.0, rows).count() == 0
+
+
+def test_rolling_windows_meet_cuts_exactly(spark):
+    """Times a window apart whose sums of doubles fall short of each other, with cuts between them."""
+    data = [(i, i / 10) for i in range(400)]
+    df = frame(spark, data, "i long, t double")
+    for reach, back in ((0.1, 1), (0.3, 3), (0.7, 7)):
+        n = {r.i: r.n for r in rolling.rolling_time(df, [], "t", reach, 20, n=F.count("i")).collect()}
+        m = {r.i: r.rolling_n for r in rolling.rolling_sums(df, "i", [], "t", reach, 20).collect()}
+        assert n == m == {i: min(i, back) + 1 for i in range(400)}
+
+
+def test_bursts_cost_no_more_than_other_rows(spark):
+    """120,000 rows within one window: frames added up anew would be 7 billion values."""
+    df = spark.range(120_000).select((F.col("id") % 1000).cast("double").alias("t"), F.lit(1.0).alias("x"))
+    last = rolling.rolling_sums(df, "x", [], "t", 1e6).agg(F.max("rolling_n"), F.sum("rolling_n")).first()
+    assert tuple(last) == (120_000, sum(120 * 120 * k for k in range(1, 1001)))
+
+
+def test_many_cuts_are_searched(spark):
+    cuts = [float(k * k) for k in range(1, 4096)]
+    df = spark.range(0, 17_000_000, 997).select(F.col("id").cast("double").alias("t"))
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),), (1.0,), (0.5,)], "t double")
+    got = {r.t: r.s for r in df.union(odd).where("t IS NOT NULL AND NOT isnan(t)").select("t", spc.sliced(df, "t", cuts).alias("s")).collect()}
+    assert got == {t: int(np.searchsorted(cuts, t, "right")) + 1 for t in got}
+    assert {r.s for r in odd.where("t IS NULL OR isnan(t)").select(spc.sliced(odd, "t", cuts).alias("s")).collect()} == {0}
+    for few in ([], [3.0], [3.0, 4.0]):
+        got = {r.t: r.s for r in odd.where("NOT isnan(t)").union(spark.createDataFrame([(3.0,), (3.5,), (4.0,)], "t double")).select("t", spc.sliced(odd, "t", few).alias("s")).collect()}
+        assert all(s == int(np.searchsorted(few, t, "right")) + 1 for t, s in got.items() if t is not None)
+
+
 def lambda_count():
     return F.count("x")
 
