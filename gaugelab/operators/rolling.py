@@ -46,23 +46,25 @@ def rolling_time(df: DataFrame, by: list[str], at: str, seconds: float, rows: in
     return out.where("_own").select(*df.columns, *results)
 
 
-def rolling_sums(df: DataFrame, value: str, by: list[str], at: str, seconds: float, rows: int | None = None) -> DataFrame:
+def rolling_sums(df: DataFrame, value: str, by: list[str], at: str, seconds: float, rows: int | None = None, places: int | None = None) -> DataFrame:
     """``df`` with ``rolling_n``, ``rolling_sum`` and ``rolling_mean`` of the values from ``seconds`` before a row's time up to it, in one pass whatever the frames hold.
 
     Each value enters at its time and leaves once the window has passed it: rows and departures stand in one order, and a sum that runs from the start of
     the slice counts the former up and the latter down. Bursts, where frames hold most of a series, cost no more than other rows. Missing and infinite values
-    aren't counted; without any in reach, sum and mean are null; rows without a time have null results. Sums round as those of a slice do.
+    aren't counted; without any in reach, sum and mean are null; rows without a time have null results. Sums of
+    doubles round as those of a slice do; with ``places``, values are taken as decimals of so many places (28 digits in all, more is an error) and summed up exactly.
     """
     timed, reach = _reaching(df, by, at, seconds, rows), int(round(seconds * 1_000_000))
     v = known(F.col(value).cast("double"))
-    timed = timed.withColumns({"_v": F.when(F.abs(v) < float("inf"), v), "_t": _micros(F.col("_x"))})
+    v = F.when(F.abs(v) < float("inf"), v)
+    timed = timed.withColumns({"_v": v if places is None else v.cast(f"decimal(28, {places})"), "_t": _micros(F.col("_x"))})
     # of one time rows come first and departures last, so that a window holds both its ends
     enters = timed.withColumns({"_o": F.col("_t") * 2, "_sign": F.lit(1)})
     gone = timed.where("_t IS NOT NULL AND _v IS NOT NULL").select(*by, "_slice", "_v", ((F.col("_t") + reach) * 2 + 1).alias("_o"), F.lit(-1).alias("_sign"))
     w = Window.partitionBy(*by, "_slice").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)
     there = F.col("_t").isNotNull() & F.col("_own")
     n = F.sum(F.when(F.col("_o").isNotNull() & F.col("_v").isNotNull(), F.col("_sign")).otherwise(0)).over(w)
-    total = F.sum(F.when(F.col("_o").isNotNull(), F.col("_v") * F.col("_sign"))).over(w)
+    total = F.sum(F.when(F.col("_o").isNotNull(), F.when(F.col("_sign") > 0, F.col("_v")).otherwise(-F.col("_v")))).over(w).cast("double")
     out = enters.unionByName(gone, allowMissingColumns=True).withColumns({"_n": n, "_sum": total}).where("_sign = 1 AND _own")
     some = there & (F.col("_n") > 0)
     return out.select(*df.columns, F.when(there, F.col("_n")).cast("long").alias("rolling_n"), F.when(some, F.col("_sum")).alias("rolling_sum"), F.when(some, F.col("_sum") / F.col("_n")).alias("rolling_mean"))

@@ -94,12 +94,13 @@ def rolling_hour_one_series(spark, sf):
 
 
 _WEEK = "WINDOW w AS (PARTITION BY {by} ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)"
-_SUMMED = "count(value) OVER w AS rolling_n, round(sum(value) OVER w, 6) AS rolling_sum, round(avg(value) OVER w, 6) AS rolling_mean"
+_EXACT = "CAST(sum(CAST(value AS DECIMAL(28, 6))) OVER w AS DOUBLE)"
+_SUMMED = f"count(value) OVER w AS rolling_n, {_EXACT} AS rolling_sum, {_EXACT} / nullif(count(value) OVER w, 0) AS rolling_mean"
 
 
 def _weekly(log: DataFrame, by: list[str], rows: int | None) -> DataFrame:
-    out = rolling.rolling_sums(log, "value", by, "ts", 7 * 86_400, rows)
-    return out.select("event_id", "rolling_n", F.round("rolling_sum", 6).alias("rolling_sum"), F.round("rolling_mean", 6).alias("rolling_mean"))
+    """Sums are exact to six places, so no order of adding up shows in them."""
+    return rolling.rolling_sums(log, "value", by, "ts", 7 * 86_400, rows, places=6).select("event_id", "rolling_n", "rolling_sum", "rolling_mean")
 
 
 @query(f"SELECT event_id, {_SUMMED} FROM events {_WEEK.format(by='user_id')}")

@@ -161,6 +161,14 @@ def test_rolling_sums_against_a_plain_version(spark, rows):
     assert rolling.rolling_sums(df.limit(0), "x", ["k"], "t", 1.0, rows).count() == 0
 
 
+def test_rolling_sums_of_decimals_are_exact(spark):
+    """Beside a great value doubles lose a cent for good; decimals don't."""
+    df = frame(spark, [(i, float(i), 1e15 if i == 3 else 0.01) for i in range(40)], "i long, t double, x double")
+    for rows in (None, 10):
+        got = {r.i: r.rolling_sum for r in rolling.rolling_sums(df, "x", [], "t", 2.0, rows, places=2).collect()}
+        assert all(got[i] == 0.03 for i in range(6, 40)) and got[0] == 0.01 and got[1] == 0.02
+
+
 def test_rolling_windows_meet_cuts_exactly(spark):
     """Times a window apart whose sums of doubles fall short of each other, with cuts between them."""
     data = [(i, i / 10) for i in range(400)]
