@@ -130,6 +130,21 @@ def test_interval_join_against_a_plain_version(spark):
     assert align.interval_join(df, lim.limit(0), ["k"], "t", "a", "b", ["j"]).count() == 0
 
 
+@pytest.mark.parametrize("by", [["k"], []])
+def test_interval_join_in_slices(spark, by):
+    """Hot and short series, open and closed intervals: the same pairs however long series are cut, and rows aren't copied before they are joined."""
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 4 else None if i % 8 else f"c{i % 48}", i, float(rng.choice([rng.uniform(0, 1000), 500.0]))) for i in range(600)]
+    limits = [(["hot", "c0", None][j % 3], j, None if j % 17 == 0 else a, None if j % 19 == 0 else a + float(10.0 ** rng.uniform(-4, 3.2))) for j, a in enumerate(rng.uniform(-200, 1200, 90).tolist())]
+    df, lim = frame(spark, rows, "k string, i long, t double"), frame(spark, limits, "k string, j long, a double, b double")
+    want = Counter((i, j) for k, i, t in rows for k2, j, a, b in limits if (not by or k is not None and k == k2) and (a is None or a <= t) and (b is None or t < b))
+    for most in (20, 200, 10_000):
+        joined = align.interval_join(df, lim, by, "t", "a", "b", ["j"], most)
+        assert Counter((r.i, r.j) for r in joined.collect()) == want and len(want) > 500
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == (1 if most < 600 or not by else 0)  # of intervals alone
+
+
 @pytest.mark.parametrize("rows", [None, 60])
 def test_rolling_time_against_a_plain_version(spark, rows):
     rng = np.random.default_rng(11)
