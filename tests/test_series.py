@@ -145,6 +145,14 @@ def test_interval_join_in_slices(spark, by):
         assert plan.count("Generate explode") == (1 if most < 600 or not by else 0)  # of intervals alone
 
 
+def test_interval_join_of_a_table_with_itself(spark):
+    df = spark.range(50).select((F.col("id") % 3).alias("k"), "id", F.col("id").cast("double").alias("t"))
+    limits = df.select("k", F.col("id").alias("j"), "t", F.lead("t").over(align.Window.partitionBy("k").orderBy("t")).alias("u"))
+    for most in (5, 1000):
+        got = align.interval_join(df.join(df.select(F.col("id").alias("i")), F.col("id") == F.col("i")), limits, ["k"], "t", "t", "u", ["j"], most).collect()
+        assert len(got) == 50 and all(r.j == r.id for r in got)
+
+
 @pytest.mark.parametrize("rows", [None, 60])
 def test_rolling_time_against_a_plain_version(spark, rows):
     rng = np.random.default_rng(11)
