@@ -38,7 +38,7 @@ def rolling_time(df: DataFrame, by: list[str], at: str, seconds: float, rows: in
 
     ``results`` are aggregates such as ``n=F.count("x")``. Long series are cut into slices at quantiles of the time, never shorter than the window, and a row also stands
     in the next slice if its time is that near: each row at most twice. Rows without a time have null results. Spark adds up each row's frame anew;
-    ``rolling_sums`` doesn't.
+    ``rolling_stats`` and ``rolling_sums`` don't.
     """
     timed, reach = _reaching(df, by, at, seconds, rows), int(round(seconds * 1_000_000))
     w = Window.partitionBy(*by, "_slice").orderBy(_micros(F.col("_x"))).rangeBetween(-reach, 0)
@@ -46,6 +46,34 @@ def rolling_time(df: DataFrame, by: list[str], at: str, seconds: float, rows: in
     return out.where("_own").select(*df.columns, *results)
 
 
+def rolling_stats(df: DataFrame, value: str, by: list[str], at: str, seconds: float) -> DataFrame:
+    """``df`` with ``rolling_n``, ``rolling_mean``, ``rolling_max`` and ``rolling_min`` of the values from ``seconds`` before a row's time up to it, rows of the same time
+    included, in one pass each way whatever the frames hold.
+
+    Time falls into blocks as long as the window, which so holds the end of one block and the start of the next. In a block stand its own rows, summed up as
+    time rises, and those of the block before, a window later, summed up as time falls: no frame is added up anew, and nothing is taken off a sum. Each row stands twice. Missing values
+    aren't counted; rows without a time have null results. A block is one task's work, which Spark spills if it has to.
+    """
+    reach = int(round(seconds * 1_000_000))
+    timed = df.withColumns({"_t": _micros(as_number(df, at)), "_v": F.col(value).cast("double")})
+    timed = timed.withColumns({"_block": F.coalesce(F.floor(F.col("_t") / max(reach, 1)), F.pmod(F.xxhash64("_v"), F.lit(1000))), "_v": F.when(F.col("_t").isNotNull(), F.col("_v")), "_own": F.lit(True)})
+    both = timed
+    if reach:
+        past = timed.where("_t IS NOT NULL AND _v IS NOT NULL").select(*by, "_v", (F.col("_t") + reach).alias("_t"), (F.col("_block") + 1).alias("_block"), F.lit(False).alias("_own"))
+        both = timed.unionByName(past, allowMissingColumns=True)
+    block = Window.partitionBy(*by, "_block")
+    results = {}
+    for side, own, order in (("here", True, F.col("_t")), ("past", False, F.col("_t").desc())):
+        w, v = block.orderBy(order).rangeBetween(Window.unboundedPreceding, 0), F.when(F.col("_own") == own, F.col("_v"))
+        results |= {f"_{side}_{name}": f(v).over(w) for name, f in (("n", F.count), ("sum", F.sum), ("max", F.max), ("min", F.min))}
+    got = both.withColumns(results).where("_own")
+    there, zero = F.col("_t").isNotNull(), F.lit(0.0)
+    n = F.col("_here_n") + F.col("_past_n")
+    mean = (F.coalesce("_here_sum", zero) + F.coalesce("_past_sum", zero)) / F.when(n > 0, n)
+    most, least = F.greatest("_here_max", "_past_max"), F.least("_here_min", "_past_min")
+    return got.select(*df.columns, *[F.when(there, x).alias(f"rolling_{name}") for name, x in (("n", n), ("mean", mean), ("max", most), ("min", least))])
+
+
 def rolling_sums(df: DataFrame, value: str, by: list[str], at: str, seconds: float, rows: int | None = None, places: int | None = None) -> DataFrame:
     """``df`` with ``rolling_n``, ``rolling_sum`` and ``rolling_mean`` of the values from ``seconds`` before a row's time up to it, in one pass whatever the frames hold.
 

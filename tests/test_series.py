@@ -184,6 +184,30 @@ def test_rolling_sums_against_a_plain_version(spark, rows):
     assert rolling.rolling_sums(df.limit(0), "x", ["k"], "t", 1.0, rows).count() == 0
 
 
+def test_rolling_stats_against_a_plain_version(spark):
+    rng = np.random.default_rng(13)
+    seconds = np.concatenate([rng.uniform(-20, 300, 300), rng.uniform(800, 801, 200), [5000.0, 5000.0, 5003.0, 5004.0, 5008.0]])
+    odd = {5: float("nan"), 7: float("inf"), 26: None}
+    data = [("hot" if i % 5 else None, i, T0 + timedelta(microseconds=int(s * 1e6)), odd.get(i % 40, float(i % 91))) for i, s in enumerate(seconds)] + [("hot", 999, None, 1.0), (None, 998, None, None)]
+    df = frame(spark, data, "k string, i long, t timestamp, x double")
+    rank = lambda x: (math.isnan(x), 0 if math.isnan(x) else x)  # noqa: E731  # NaN is the greatest
+    for by, reach in ((["k"], 4.0), ([], 4.0), (["k"], 0.25), ([], 0.0), ([], 1e6)):
+        got = {r.i: r for r in rolling.rolling_stats(df, "x", by, "t", reach).collect()}
+        assert len(got) == len(data)
+        for k, i, t, _ in data:
+            near = [x for k2, _, t2, x in data if t is not None and t2 is not None and (not by or k == k2) and timedelta(0) <= t - t2 <= timedelta(seconds=reach) and x is not None]
+            want = (len(near), sum(near) / len(near), max(near, key=rank), min(near, key=rank)) if near else (0 if t is not None else None, None, None, None)
+            assert tuple(got[i])[-4:] == pytest.approx(want, nan_ok=True)
+    assert rolling.rolling_stats(df.limit(0), "x", ["k"], "t", 1.0).count() == 0
+
+
+def test_statistics_of_bursts_cost_no_more_than_other_rows(spark):
+    """60,000 rows within one window: frames worked out anew would be 3.6 billion values."""
+    df = spark.range(60_000).select((F.col("id") % 1000).cast("double").alias("t"), F.col("id").cast("double").alias("x"))
+    last = rolling.rolling_stats(df, "x", [], "t", 1000.0).agg(F.max("rolling_n"), F.sum("rolling_n"), F.min("rolling_min"), F.max("rolling_max")).first()
+    assert tuple(last) == (60_000, sum(60 * 60 * k for k in range(1, 1001)), 0.0, 59_999.0)
+
+
 def test_rolling_sums_of_decimals_are_exact(spark):
     """Beside a great value doubles lose a cent for good; decimals don't."""
     df = frame(spark, [(i, float(i), 1e15 if i == 3 else 0.01) for i in range(40)], "i long, t double, x double")
