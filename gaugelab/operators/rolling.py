@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import known
-from .spc import _near, as_number, cut_points, sliced
+from .spc import _near, as_number, checked, cut_points, sliced
 
 
 def _micros(x: Column) -> Column:
@@ -81,19 +81,34 @@ def rolling_sums(df: DataFrame, value: str, by: list[str], at: str, seconds: flo
     the slice counts the former up and the latter down. Bursts, where frames hold most of a series, cost no more than other rows. Missing and infinite values
     aren't counted; without any in reach, sum and mean are null; rows without a time have null results. Sums of
     doubles round as those of a slice do; with ``places``, values are taken as decimals of so many places (28 digits in all, more is an error) and summed up exactly.
+    Exact sums are carried from slice to slice, so their slices are as even as the order can be cut, however long the window; slices of doubles are never shorter than it.
     """
-    timed, reach = _reaching(df, by, at, seconds, rows), int(round(seconds * 1_000_000))
+    reach = int(round(seconds * 1_000_000))
+    timed = _reaching(df, by, at, seconds, rows) if places is None else df.withColumns({"_x": as_number(df, at), "_own": F.lit(True), "_slice": F.lit(0)})
     v = known(F.col(value).cast("double"))
     v = F.when(F.abs(v) < float("inf"), v)
     timed = timed.withColumns({"_v": v if places is None else v.cast(f"decimal(28, {places})"), "_t": _micros(F.col("_x"))})
     # of one time rows come first and departures last, so that a window holds both its ends
     enters = timed.withColumns({"_o": F.col("_t") * 2, "_sign": F.lit(1)})
     gone = timed.where("_t IS NOT NULL AND _v IS NOT NULL").select(*by, "_slice", "_v", ((F.col("_t") + reach) * 2 + 1).alias("_o"), F.lit(-1).alias("_sign"))
+    both = enters.unionByName(gone, allowMissingColumns=True)
+    cuts = cut_points(both.select(*by, "_o"), by, "_o", rows) if places is not None else []
+    if cuts:
+        both = both.withColumn("_slice", sliced(both, "_o", cuts))
+    steps = F.when(F.col("_o").isNotNull() & F.col("_v").isNotNull(), F.col("_sign")).otherwise(0)
+    signed = F.when(F.col("_o").isNotNull(), F.when(F.col("_sign") > 0, F.col("_v")).otherwise(-F.col("_v")))
     w = Window.partitionBy(*by, "_slice").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)
+    n, total = F.sum(steps).over(w), F.sum(signed).over(w)
+    out = both.withColumns({"_n": n, "_sum": total}).where("_sign = 1 AND _own")
+    if cuts:
+        names, up = [*by, "_slice"], Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+        ends = both.groupBy(*names).agg(F.sum(steps).alias("_n_end"), F.sum(signed).alias("_sum_end"))
+        carried = checked(ends.select(*[F.col(c).alias(f"_on_{c}") for c in names], F.sum("_n_end").over(up).alias("_n_before"), F.sum("_sum_end").over(up).alias("_sum_before")))
+        out = out.join(carried, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in names], "left")
+        more = lambda c, before: F.coalesce(F.col(c) + F.col(before), F.col(c), F.col(before))
+        out = out.withColumns({"_n": more("_n", "_n_before"), "_sum": more("_sum", "_sum_before")})
+    out = out.withColumn("_sum", F.col("_sum").cast("double"))
     there = F.col("_t").isNotNull() & F.col("_own")
-    n = F.sum(F.when(F.col("_o").isNotNull() & F.col("_v").isNotNull(), F.col("_sign")).otherwise(0)).over(w)
-    total = F.sum(F.when(F.col("_o").isNotNull(), F.when(F.col("_sign") > 0, F.col("_v")).otherwise(-F.col("_v")))).over(w).cast("double")
-    out = enters.unionByName(gone, allowMissingColumns=True).withColumns({"_n": n, "_sum": total}).where("_sign = 1 AND _own")
     some = there & (F.col("_n") > 0)
     return out.select(*df.columns, F.when(there, F.col("_n")).cast("long").alias("rolling_n"), F.when(some, F.col("_sum")).alias("rolling_sum"), F.when(some, F.col("_sum") / F.col("_n")).alias("rolling_mean"))
 

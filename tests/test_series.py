@@ -208,6 +208,22 @@ def test_statistics_of_bursts_cost_no_more_than_other_rows(spark):
     assert tuple(last) == (60_000, sum(60 * 60 * k for k in range(1, 1001)), 0.0, 59_999.0)
 
 
+def test_exact_sums_are_carried_over_slices_shorter_than_the_window(spark, monkeypatch):
+    """Windows that hold a large part of a series and bursts don't join slices: no task holds more than the order asks for."""
+    rng = np.random.default_rng(14)
+    times = np.concatenate([rng.uniform(0, 1000, 1500), rng.uniform(400, 400.01, 500)])
+    data = [("hot" if i % 7 else f"c{i % 3}", i, None if i % 97 == 0 else float(t), None if i % 31 == 0 else i / 100) for i, t in enumerate(times)]
+    df = frame(spark, data, "k string, i long, t double, x double")
+    parts, cut = [], rolling.sliced
+    monkeypatch.setattr(rolling, "sliced", lambda df, column, cuts: parts.append(len(cuts)) or cut(df, column, cuts))
+    for by in (["k"], []):
+        got = {r.i: r for r in rolling.rolling_sums(df, "x", by, "t", 300.0, 100, places=2).collect()}
+        assert len(got) == len(data) and parts.pop() > 20 and not parts
+        for k, i, t, _ in data:
+            near = [j for k2, j, t2, x in data if t is not None and t2 is not None and (not by or k == k2) and 0 <= round(t * 1e6) - round(t2 * 1e6) <= 300_000_000 and x is not None]
+            assert (got[i].rolling_n, got[i].rolling_sum) == ((len(near), sum(near) / 100 if near else None) if t is not None else (None, None))
+
+
 def test_rolling_sums_of_decimals_are_exact(spark):
     """Beside a great value doubles lose a cent for good; decimals don't."""
     df = frame(spark, [(i, float(i), 1e15 if i == 3 else 0.01) for i in range(40)], "i long, t double, x double")
