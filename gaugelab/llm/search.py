@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, discard, materialize
 
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 8_000_000
 #: Items that are searched in one pass over the index.
 BLOCK_ITEMS = 5_000
 #: Intervals that are split at once, and postings up to which one is scored outright.
@@ -77,41 +77,68 @@ def index(docs: DataFrame, docs_total: int, terms_total: int, shard_bytes: int =
     """A row for each shard and term: ``(shard, term, size, at, tf, left)`` in preorder, and one without term for the documents: their ids, numbers of
     terms, and which have no id."""
 
-    def shard(held: list[tuple[int | None, bytes]], number: int) -> pd.DataFrame:
+    def shard(held: list[tuple[int | None, bytes]], number: int) -> pa.RecordBatch:
+        """Postings stand end to end in a few arrays, which Arrow's columns point into: no object is made for a term."""
         held.sort(key=lambda d: (d[0] is None, d[0] or 0))
-        data = b" \n ".join(t.translate(_LOWER) for _, t in held)
+        named, docs = np.array([i for i, _ in held if i is not None], "<i8"), len(held)
+        data = b" \n ".join([t.translate(_LOWER) for _, t in held])
+        held.clear()
         parts = pc.split_pattern(pa.array([data], pa.large_binary()), b" ").values.dictionary_encode()
-        words, ids = parts.dictionary.to_pylist(), parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        index_of = {w: i for i, w in enumerate(words)}
-        doc = np.cumsum(ids == index_of.get(b"\n", -1))
-        term = (ids != index_of.get(b"\n", -1)) & (ids != index_of.get(b"", -1))
-        pairs, tf = np.unique(ids[term] * len(held) + doc[term], return_counts=True)
-        word, at = np.divmod(pairs, len(held))
-        n = np.bincount(doc[term], minlength=len(held))
+        del data
+        words, ids = parts.dictionary, parts.indices.to_numpy(zero_copy_only=False)
+        mark, none = (pc.index(words, pa.scalar(w, words.type)).as_py() for w in (b"\n", b""))
+        term = np.flatnonzero((ids != mark) & (ids != none))
+        doc = np.cumsum(ids == mark, dtype=np.int32)[term]
+        n = np.bincount(doc, minlength=docs)
+        pairs = ids[term].astype(np.int64)
+        del parts, ids, term
+        pairs *= docs
+        pairs += doc
+        del doc
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(pairs)))
+        pairs = pairs[first]
+        del first
+        word, at = np.divmod(pairs, docs)
+        del pairs
         begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(word)) if len(word) else begin
+        of = word[begin]
+        del word
         key = (impacts(tf, n[at], docs_total, terms_total) << 32) | (at * 2654435761 % (1 << 32))
         order, left = treaps(begin, end, key)
-        at, tf, left = at[order].astype("<i4"), tf[order].astype("<i4"), left.astype("<i4")
-        rows = [(number, words[word[a]].decode("utf-8", "surrogatepass"), b - a, at[a:b].tobytes(), tf[a:b].tobytes(), left[a:b].tobytes()) for a, b in zip(begin.tolist(), end.tolist())]
-        named = np.array([i for i, _ in held if i is not None], "<i8")
-        rows.append((number, None, len(held), named.tobytes(), n.astype("<i4").tobytes(), b""))
-        return pd.DataFrame(rows, columns=["shard", "term", "size", "at", "tf", "left"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        del key
+        ends = np.concatenate([[0], end])
+
+        def column(x: np.ndarray, last: np.ndarray) -> pa.Array:
+            """A stretch of ``x`` for each term, and ``last`` for the documents."""
+            bounds = np.append(ends * 4, ends[-1] * 4 + last.nbytes).astype("<i4")
+            return pa.Array.from_buffers(pa.binary(), len(of) + 1, [None, pa.py_buffer(bounds), pa.py_buffer(x.astype("<i4").tobytes() + last.tobytes())])
+
+        text = pc.CastOptions(pa.string(), allow_invalid_utf8=True)
+        terms = pa.concat_arrays([pc.cast(words.take(pa.array(of)), options=text), pa.nulls(1, pa.string())])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(of) + 1, number)), terms, pa.array(np.append(end - begin, docs)), column(at[order], named), column(tf[order], n.astype("<i4")), column(left, np.zeros(0, "<i4"))],
+            ["shard", "term", "size", "at", "tf", "left"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for f in frames:
-            for i, known, text in zip(f["doc_id"], f["known"], f["text"]):
-                held.append((int(i) if known else None, text.encode("utf-8", "surrogatepass")))
+        for f in batches:
+            texts = f["text"].cast(pa.large_binary())
+            for i, known, text in zip(f["doc_id"].to_pylist(), f["known"].to_pylist(), texts):
+                held.append((i if known else None, text.as_py()))
                 size += len(held[-1][1])
                 if size >= shard_bytes:
                     yield shard(held, task << 32 | made)
                     made, held, size = made + 1, [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield shard(held, task << 32 | made)
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInPandas(run, "shard long, term string, size long, at binary, tf binary, left binary")
+    return src.mapInArrow(run, "shard long, term string, size long, at binary, tf binary, left binary")
 
 
 class Shard:
