@@ -430,3 +430,19 @@ def test_live_moving_range_with_late_rows(spark, tmp_path):
         live.ordered_moving_range(stream, "x", "k", "i", "ts", "10 seconds", forget=20).writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     got = {(r.k, r.i): r.moving_range for r in spark.read.parquet(out).collect()}
     assert {x: v for x, v in got.items() if x[0] != "z"} == {("a", 1): None, ("a", 2): 1.0, ("a", 4): None, ("a", 5): None, ("a", 30): None, ("b", 1): None, ("b", 40): None}
+
+
+def test_waiting_rows_are_merged_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(live, "MERGED_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2], i, None if i % 11 == 0 else float(i % 37), T0 + timedelta(seconds=int(s))) for i, s in enumerate(rng.integers(0, 60, 200))]
+    shape, folder, out = "k string, i long, x double, ts timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([*rows, ("end", -1, 0.0, T0 + timedelta(seconds=900))], shape).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(shape).parquet(folder)
+    live.ordered_moving_range(stream, "x", "k", "i", "ts", "70 seconds").writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    want = {}
+    for k in "ab":
+        xs = sorted((t, i, x) for k2, i, x, t in rows if k2 == k)
+        want |= {(k, b[1]): None if a is None or a[2] is None or b[2] is None else abs(b[2] - a[2]) for a, b in zip([None, *xs], xs)}
+    assert {(r.k, r.i): r.moving_range for r in spark.read.parquet(out).collect() if r.k != "end"} == want
