@@ -145,6 +145,24 @@ def test_interval_join_in_slices(spark, by):
         assert plan.count("Generate explode") == (1 if most < 600 or not by else 0)  # of intervals alone
 
 
+@pytest.mark.parametrize("by", [["k"], []])
+def test_interval_join_has_tasks_by_its_pairs(spark, by, monkeypatch):
+    """Few bytes and many pairs: tasks are counted by pairs; where one time holds most rows, Spark is left to part the join."""
+    monkeypatch.setattr(align, "TASK_PAIRS", 1_000, raising=False)
+    hot = F.when(F.col("id") < 5000, "hot").alias("k")  # no constant, which would drop out of the keys
+    df = spark.range(2000).select(hot, F.col("id").alias("i"), (F.col("id") * 7 % 2003).cast("double").alias("t"))
+    lim = spark.range(100).select(hot, F.col("id").alias("j"), (F.col("id") * 10).cast("double").alias("a"), (F.col("id") * 10 + 900).cast("double").alias("b"))
+    joined = align.interval_join(df, lim, by, "t", "a", "b", ["j"], 50)
+    want = Counter((i, j) for i in range(2000) for j in range(100) if j * 10 <= i * 7 % 2003 < j * 10 + 900)
+    assert Counter((r.i, r.j) for r in joined.collect()) == want and len(want) > 80_000
+    assert joined.rdd.getNumPartitions() == 40  # as many as slices; session's and AQE's are 4 at most
+    monkeypatch.setattr(align, "MOST_TIED", 1_000, raising=False)
+    tied = df.withColumn("t", F.when(F.col("i") < 1500, 300.0).otherwise(F.col("t")))
+    joined = align.interval_join(tied, lim, by, "t", "a", "b", ["j"], 50)
+    assert joined.rdd.getNumPartitions() <= 4
+    assert joined.count() == sum(1 for i in range(2000) for j in range(100) if j * 10 <= (300 if i < 1500 else i * 7 % 2003) < j * 10 + 900)
+
+
 def test_interval_join_of_a_table_with_itself(spark):
     df = spark.range(50).select((F.col("id") % 3).alias("k"), "id", F.col("id").cast("double").alias("t"))
     limits = df.select("k", F.col("id").alias("j"), "t", F.lead("t").over(align.Window.partitionBy("k").orderBy("t")).alias("u"))
